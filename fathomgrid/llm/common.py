@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,14 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ready(spark: SparkSession) -> None:
+    """Let the Python workers import this package wherever the driver has it from."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +39,7 @@ def written(df: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     ``keep`` is an earlier result of this function that is no longer needed; its files are removed.
     """
     spark = df.sparkSession
+    ready(spark)
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -166,7 +177,7 @@ class TextBlock:
         return mixed(out + length.astype(np.uint64) * _TURN[60]), bounds
 
 
-def small_blocks(batches, text: str, most: int = 1 << 21):
+def small_blocks(batches, text: str, most: int = 1 << 20):
     """Cut Arrow batches to about ``most`` bytes of text each; a longer text is a block by itself, never cut."""
     for batch in batches:
         if not batch.num_rows:

@@ -128,69 +128,129 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int = K_WORDS)
     return some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, n_shingles long, node long")
 
 
-def _packed(docs: DataFrame, text_col: str, k: int, groups: int) -> DataFrame:
-    """Signature records in packed rows, one a group and batch: equal sets of a batch count once."""
+def _six(x: np.ndarray) -> bytes:
+    """The low six bytes of each word."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _packed(docs: DataFrame, text_col: str, k: int, groups: int, most: int = 300_000) -> DataFrame:
+    """Signature records in packed rows, one a group and about ``most`` records: runs of one set keep its name once.
+
+    Equal sets of such a piece count once. Signatures lose two bytes here, which can only add candidates.
+    """
+
+    def flush(sig, node, meta):
+        sig, node, meta = map(np.concatenate, (sig, node, meta))
+        g = (sig >> np.uint64(48)) % np.uint64(groups)
+        order = np.argsort(g, kind="stable")
+        sig, node, meta, g = sig[order], node[order], meta[order], g[order]
+        cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        stop = np.r_[cut[1:], len(g)]
+        run = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (node[1:] != node[:-1]) | (meta[1:] != meta[:-1])])
+        length = np.diff(np.r_[run, len(g)]).astype(np.uint32)
+        first, last = np.searchsorted(run, cut), np.searchsorted(run, stop)
+        columns = [
+            [_six(sig[a:b]) for a, b in zip(cut, stop, strict=True)],
+            *([x[a:b].tobytes() for a, b in zip(first, last, strict=True)] for x in (node[run], meta[run], length)),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(g[cut].astype(np.int32))] + [pa.array(x, pa.binary()) for x in columns], names=["g", "sig", "node", "meta", "length"])
 
     def run(batches):
-        for batch in batches:
-            seen, sig, node, meta = set(), [], [], []
-            for part in small_blocks([batch], "text"):
-                for s in _sets(TextBlock(part.column("text")), k):
-                    if not len(s) or (name := int(_node(s))) in seen:
-                        continue
-                    seen.add(name)
-                    band = int(np.searchsorted(BANDS, len(s)))
-                    for lower in (0, 1):
-                        a, b = signatures(s, band, band + lower, bool(lower))
-                        if len(a):
-                            sig.append(a)
-                            meta.append(b)
-                            node.append(np.full(len(a), name, np.uint64))
-            if not sig:
-                continue
-            sig, node, meta = map(np.concatenate, (sig, node, meta))
-            g = (sig >> np.uint64(33)) % np.uint64(groups)
-            order = np.argsort(g, kind="stable")
-            sig, node, meta, g = sig[order], node[order], meta[order], g[order]
-            cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            stop = np.r_[cut[1:], len(g)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g[cut].astype(np.int32))] + [pa.array([x[a:b].tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary()) for x in (sig, node, meta)], names=["g", "sig", "node", "meta"]
-            )
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "g int, sig binary, node binary, meta binary")
+        seen, sig, node, meta, size = set(), [], [], [], 0
+        for part in small_blocks(batches, "text"):
+            for s in _sets(TextBlock(part.column("text")), k):
+                if not len(s) or (name := int(_node(s))) in seen:
+                    continue
+                seen.add(name)
+                band = int(np.searchsorted(BANDS, len(s)))
+                for lower in (0, 1):
+                    a, b = signatures(s, band, band + lower, bool(lower))
+                    if len(a):
+                        sig.append(a)
+                        meta.append(b)
+                        node.append(np.full(len(a), name, np.uint64))
+                        size += len(a)
+                if size >= most:
+                    yield flush(sig, node, meta)
+                    seen, sig, node, meta, size = set(), [], [], [], 0
+        if sig:
+            yield flush(sig, node, meta)
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "g int, sig binary, node binary, meta binary, length binary")
 
 
 def _matched(table: pa.Table) -> pa.Table:
-    """Of one group's records: the pairs of cold signatures (kind 0: a < b), and the rows of hot ones (kind 1: node, sig)."""
+    """Of one group's records: the pairs of cold signatures (kind 0: a < b, the context, both slacks, how many), and the
+    rows of hot ones (kind 1: node, sig, meta)."""
     read = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    sig, node, meta = read("sig", np.uint64), read("node", np.uint64), read("meta", np.uint32)
-    order = np.lexsort((node, sig))
+    sig = _from_six(b"".join(table.column("sig").to_pylist()))
+    length = read("length", np.uint32)
+    node, meta = np.repeat(read("node", np.uint64), length), np.repeat(read("meta", np.uint32), length)
+    order = np.argsort(sig, kind="stable")
+    sig = sig[order]
+    shared = np.r_[False, sig[1:] == sig[:-1]]
+    shared[:-1] |= shared[1:]
+    order, sig = order[shared], sig[shared]  # signatures of one record match nothing
+    node, meta = node[order], meta[order]
+    order = np.lexsort((meta, node, sig))
     sig, node, meta = sig[order], node[order], meta[order]
-    once = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
+    once = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])][: len(sig)]
     sig, node, meta = sig[once], node[once], meta[once]
-    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    size = np.repeat(np.diff(np.r_[first, len(sig)]), np.diff(np.r_[first, len(sig)]))
-    lower = (meta >> 9) & 1
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+    sizes = np.diff(np.r_[first, len(sig)])
+    size = np.repeat(sizes, sizes)
     cold = np.flatnonzero((size > 1) & (size <= COLD))
-    sig_c, node_c, low_c = sig[cold], node[cold], lower[cold]
-    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    sig_c, node_c, meta_c = sig[cold], _signed(node[cold]), meta[cold].astype(np.int64)
+    parts = [np.zeros((0, 4), np.int64)]
     for d in range(1, COLD):
-        same = np.flatnonzero((sig_c[d:] == sig_c[:-d]) & ((low_c[d:] & low_c[:-d]) == 0))
-        a.append(node_c[same])
-        b.append(node_c[same + d])
-    a, b = _signed(np.concatenate(a)), _signed(np.concatenate(b))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        i = np.flatnonzero((sig_c[d:] == sig_c[:-d]) & ((meta_c[d:] & meta_c[:-d]) >> 9 & 1 == 0))
+        a, b, ma, mb = node_c[i], node_c[i + d], meta_c[i], meta_c[i + d]
+        swap = a > b
+        parts.append(np.stack([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, mb, ma), np.where(swap, ma, mb)], 1))
+    pairs = np.concatenate(parts)
+    if len(pairs):
+        pairs = pairs[np.lexsort(pairs.T[::-1])]
+        cut = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(1)])
+        times = np.diff(np.r_[cut, len(pairs)])
+        pairs = pairs[cut]
+    else:
+        times = np.zeros(0, np.int64)
     hot = size > COLD
-    n, h = len(pairs), int(hot.sum())
-    return pa.table(
-        {
-            "kind": pa.array(np.r_[np.zeros(n, np.int32), np.ones(h, np.int32)], pa.int32()),
-            "a": pa.array(np.r_[pairs[:, 0], _signed(node[hot])], pa.int64()),
-            "b": pa.array(np.r_[pairs[:, 1], _signed(sig[hot])], pa.int64()),
-            "meta": pa.array(np.r_[np.zeros(n, np.int64), meta[hot].astype(np.int64)], pa.int64()),
-        }
-    )
+    h = int(hot.sum())
+    none = np.zeros(h, np.int64)
+    columns = {
+        "kind": np.r_[np.zeros(len(pairs), np.int32), np.ones(h, np.int32)],
+        "a": np.r_[pairs[:, 0], _signed(node[hot])],
+        "b": np.r_[pairs[:, 1], _signed(sig[hot])],
+        "ma": np.r_[pairs[:, 2], meta[hot].astype(np.int64)],
+        "mb": np.r_[pairs[:, 3], none],
+        "times": np.r_[times, none],
+    }
+    return pa.table({c: pa.array(v.astype(np.int32) if c == "kind" else v.astype(np.int64)) for c, v in columns.items()})
+
+
+def _likely(found: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(a, b) of cold pairs that match often enough. Of a set's segments in a context at most H differ from a linked
+    set's, so at least slack + 1, less its hot ones, must match; one is enough where a set has no slack."""
+    pairs = found.where("kind = 0").groupBy("a", "b", "ma", "mb").agg(F.sum("times").alias("times"))
+    if hot is not None:
+        counts = hot.groupBy("node", "meta").agg(F.count(F.lit(1)).alias("n"))
+        for side in "ab":
+            pairs = pairs.join(counts.select(F.col("node").alias(side), F.col("meta").alias(f"m{side}"), F.col("n").alias(f"hot_{side}")), [side, f"m{side}"], "left")
+    else:
+        pairs = pairs.withColumns({"hot_a": F.lit(0), "hot_b": F.lit(0)})
+
+    def needed(side):
+        slack = F.col(f"m{side}") % 512
+        return F.when(slack == 511, 1).otherwise(slack + 1 - F.coalesce(f"hot_{side}", F.lit(0)))
+
+    return pairs.where(F.col("times") >= F.greatest(F.lit(1), needed("a"), needed("b"))).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,11 +304,11 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, k: int =
     """(a, b): links between nodes that connect every pair of linked sets: all links of cold pairs, and of hot ones
     enough that two linked sets are always in one component."""
     spark = docs.sparkSession
-    groups = 4 * partitions(docs)
-    found = written(_packed(docs, text_col, k, groups).groupBy("g").applyInArrow(_matched, "kind int, a long, b long, meta long"))
-    cold = found.where("kind = 0").select("a", "b")
-    hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("sig"), "meta")
+    groups = 2 * partitions(docs)
+    found = written(_packed(docs, text_col, k, groups).groupBy("g").applyInArrow(_matched, "kind int, a long, b long, ma long, mb long, times long"))
+    hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("sig"), F.col("ma").alias("meta"))
     some_hot = hot.limit(1).count() > 0
+    cold = _likely(found, hot if some_hot else None)
     if some_hot:
         members, stars = _hot_pairs(hot)
         members, stars = written(members), written(stars)
