@@ -7,12 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, ngram_join, pieces
+from . import exact_dedup, language, mixing, near_vectors, ngram_join, page_text, pieces, quality, token_counts, transcripts
+from .common import ready, written
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,16 +23,64 @@ def _held_out(divisor: int, value: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(divisor)) == value
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _held_out(5, 0))
+    return scores.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, held_out=_held_out(4, 2))
     return language.identify(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after three edits of its own: an insertion, a deletion and a replacement
+    at places that its id and length choose."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), n + 1)
+    edit = lambda at, size, text: F.struct(at.alias("start"), (at + size).alias("stop"), F.lit(text).alias("text"))
+    edits = F.array(edit(place(1), 0, " an inserted remark,"), edit(place(2), 24, ""), edit(place(3), 5, "won't\n\n42"))
+    return token_counts.edited_counts(docs.select("doc_id", "text", edits.alias("edits")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as raw lines: each turn's text, after a speaker marker in the conversation's style; some turns
+    have none and are set off by a blank line."""
+    turns = table(spark, sf_dir, "conversations")
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(5))
+    bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
+    known = F.coalesce(F.col("role"), F.lit("user"))
+    name = F.when(style == 0, F.initcap(known)).when(style == 1, F.when(known == "user", "Human").when(known == "assistant", "AI").otherwise("System")).otherwise(known)
+    mark = F.when(style < 2, F.concat(name, F.lit(": "))).when(style == 2, F.concat(F.lit("<|"), name, F.lit("|> "))).when(style == 3, F.concat(F.lit("### "), name, F.lit(": "))).otherwise(F.concat(F.lit("["), name, F.lit("] ")))
+    raw = F.concat(F.when(bare, F.lit("\n")).otherwise(mark), F.coalesce("text", F.lit("")))
+    some = turns.select("conv_id", "turn", "role", raw.alias("raw"))
+    chunk = F.floor(F.coalesce(F.col("turn"), F.lit(0)) / 64)
+    return transcripts.lines_of(some, "conv_id", ["turn"], "raw", ["role"], chunk)
+
+
+def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles recovered from raw transcripts of all conversations; learned on those of crc32(conv_id) mod 5 other than 0."""
+    lines = written(_transcripts(spark, sf_dir))
+    learned = F.pmod(F.crc32(F.coalesce(F.col("conv").cast("string"), F.lit(""))), F.lit(5)) != 0
+    model = transcripts.fit(lines.where(learned))
+    found = transcripts.turns_of(transcripts.parse(lines, model))
+    return found.select(F.col("conv").cast("long").alias("conv_id"), (F.col("chunk") * 64 + F.col("turn") - 1).alias("turn_no"), "role", "text", "rendered")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -43,7 +93,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op5_language_id, op8_exact_dedup, op9_sentencepiece, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_near_vectors, op4_page_text, op5_language_id, op6_token_counts, op7_transcripts, op8_exact_dedup, op9_sentencepiece, op10_mixing)}
 
 ORACLES = {
     "op8_exact_dedup": """
