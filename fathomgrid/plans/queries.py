@@ -1,4 +1,708 @@
-"""Registered queries over the supplied tables, and their DuckDB SQL."""
+"""Registered queries over the supplied tables, and their DuckDB SQL.
 
-QUERIES = {}
-ORACLES = {}
+Names begin with the operators they apply. Floats are rounded to few digits on both sides.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import aggregates as A
+from ..functions import geometry as G
+from ..functions import scalars as S
+from ..operators import allocate, cleaning, exposure, period
+from ..operators import contracts as C
+from ..sources import sinks
+from ..streaming import ingest
+from . import standins as I
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its oracle."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def pairs(spark, sf_dir):
+    return period.segments(I.observations(spark, sf_dir))
+
+
+_EXCL = """CASE WHEN metres IS NULL OR NOT isfinite(metres) THEN 'invalid_coordinate' WHEN elapsed_s <= 0 THEN 'non_increasing_time' WHEN grp <> next_grp THEN 'group_change'
+     WHEN elapsed_s > {gap} THEN 'maximum_gap' WHEN knots > {speed} THEN 'implied_speed' ELSE 'retained' END"""
+GAP, SPEED = 43_200.0, 30.0
+
+
+@query(f"SELECT grp, {_EXCL.format(gap=GAP, speed=SPEED)} AS outcome, count(*) AS pairs, round(sum(metres) / 1000, 4) AS km FROM ({I.PAIRS_DUCK}) GROUP BY 1, 2")
+def segment_rules(spark, sf_dir):
+    """WIN-4, JN-2, FLT-16, SCL-8, SCL-10, AGG-14: how many consecutive pairs of each group a gap and a speed rule keep or
+    exclude, why, and over how many kilometres."""
+    return rounded(period.rule_outcomes(pairs(spark, sf_dir), GAP, SPEED))
+
+
+# --- cleaning ----------------------------------------------------------------------------------------------------------
+
+_NUM = r"'\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*'"
+_PARSED = f"""
+    SELECT *, CASE WHEN regexp_full_match(BaseDateTime, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') THEN try_strptime(BaseDateTime, '%Y-%m-%dT%H:%M:%S') END AS at,
+           {", ".join(f"CASE WHEN regexp_full_match({c}, {_NUM}) THEN try_cast({c} AS DOUBLE) END AS {n}" for c, n in (("LAT", "la"), ("LON", "lo"), ("SOG", "sog"), ("COG", "cog"), ("Heading", "hd"), ("Length", "len")))},
+           CASE WHEN regexp_full_match(trim(VesselType), '[0-9]+') THEN try_cast(trim(VesselType) AS INTEGER) END AS vt
+    FROM ({I.RAW_DUCK})"""
+_LABEL = f"""
+    SELECT *, CASE WHEN at IS NULL THEN 'invalid_timestamp' WHEN NOT coalesce(isfinite(la) AND isfinite(lo) AND la BETWEEN -90 AND 90 AND lo BETWEEN -180 AND 180, false) THEN 'invalid_coordinate'
+        WHEN NOT (lo BETWEEN -122 AND -117 AND la BETWEEN 30 AND 36) THEN 'outside_extent' WHEN NOT coalesce(regexp_full_match(MMSI, '[1-9][0-9]{{8}}'), false) THEN 'invalid_mmsi'
+        WHEN NOT coalesce(sog = 102.3 OR (isfinite(sog) AND sog >= 0), false) THEN 'invalid_speed' WHEN VesselType IS NULL OR trim(VesselType) = '' THEN 'missing_type'
+        WHEN NOT regexp_full_match(trim(VesselType), '[0-9]+') THEN 'malformed_type' WHEN vt = 0 THEN 'unavailable_type' WHEN vt IS NULL OR vt NOT BETWEEN 1 AND 99 THEN 'malformed_type'
+        WHEN vt NOT BETWEEN 60 AND 89 THEN 'noncommercial_type' END AS bad FROM ({_PARSED})"""
+_COLUMNS = "MMSI, BaseDateTime, LAT, LON, SOG, COG, Heading, VesselName, IMO, CallSign, VesselType, Status, Length, Width, Draft, Cargo, TransceiverClass"
+_FINAL = f"""
+    SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN copy > 1 THEN 'exact_duplicate' WHEN sum(CASE WHEN copy = 1 AND bad IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY MMSI, at, bad IS NULL) > 1 THEN 'conflict' ELSE 'kept' END AS label
+    FROM (SELECT *, row_number() OVER (PARTITION BY bad IS NULL, {_COLUMNS}) AS copy FROM ({_LABEL}))"""
+
+
+@query(f"SELECT l.label, count(f.label) AS rows FROM (SELECT unnest({[*cleaning.REASONS, 'kept']}) AS label) l LEFT JOIN ({_FINAL}) f ON l.label = f.label GROUP BY 1")
+def cleaning_removals(spark, sf_dir):
+    """SRC-1, FLT-1..9, WIN-1..3, AGG-2, AGG-3, VAL-1: rows removed by each check."""
+    return cleaning.removal_counts(cleaning.labelled(I.raw(spark, sf_dir)))
+
+
+@query(
+    f"SELECT mmsi, epoch_us(at) AS at_us, la AS latitude, lo AS longitude, CASE WHEN sog <> 102.3 THEN sog END AS sog_knots, CASE WHEN cog <> 360 AND cog BETWEEN 0 AND 360 THEN cog END AS cog_degrees, "
+    f"CASE WHEN hd <> 511 AND hd BETWEEN 0 AND 359 THEN hd END AS heading_degrees, CAST(vt AS SMALLINT) AS vessel_type_code, CASE WHEN vt < 70 THEN 'passenger' WHEN vt < 80 THEN 'cargo' ELSE 'tanker' END AS vessel_type_group, "
+    f"CASE WHEN len >= 0 THEN len END AS length_m FROM ({_FINAL}) WHERE label = 'kept'"
+)
+def cleaning_rows(spark, sf_dir):
+    """FLT-10..12, SNK-1, SRT-1: the cleaned rows."""
+    out = cleaning.cleaned(cleaning.labelled(I.raw(spark, sf_dir)))
+    return out.select("mmsi", F.unix_micros("observed_at_utc").alias("at_us"), *out.columns[2:])
+
+
+_LEFT = lambda k: f"count(*) FILTER (label NOT IN ({', '.join(repr(r) for r in cleaning.REASONS[:k])}))"
+
+
+@query(
+    f"SELECT count(*) AS source_rows, {_LEFT(1)} AS after_timestamp, {_LEFT(2)} AS after_coordinates, {_LEFT(3)} AS after_extent, {_LEFT(4)} AS after_mmsi, {_LEFT(5)} AS after_speed, {_LEFT(8)} AS after_type, "
+    f"{_LEFT(9)} AS after_commercial, {_LEFT(10)} AS after_exact, {_LEFT(11)} AS final_rows FROM ({_FINAL})"
+)
+def cleaning_funnel(spark, sf_dir):
+    """AGG-2: rows left after each stage."""
+    return cleaning.stage_counts(cleaning.labelled(I.raw(spark, sf_dir)))
+
+
+@query(
+    f"SELECT count(*) FILTER (sog = 102.3) AS sog_sentinel, count(*) FILTER (cog = 360) AS cog_sentinel, count(*) FILTER (hd = 511) AS heading_sentinel, count(*) FILTER (cog <> 360 AND NOT cog BETWEEN 0 AND 360) AS cog_out_of_range, "
+    f"count(*) FILTER (hd <> 511 AND NOT hd BETWEEN 0 AND 359) AS heading_out_of_range, count(*) FILTER (len IS NULL OR len < 0) AS length_unavailable FROM ({_FINAL}) WHERE label = 'kept'"
+)
+def cleaning_normalisations(spark, sf_dir):
+    """AGG-4."""
+    return cleaning.normalisation_counts(cleaning.labelled(I.raw(spark, sf_dir)))
+
+
+_COORD = "coalesce(isfinite(la) AND isfinite(lo) AND la BETWEEN -90 AND 90 AND lo BETWEEN -180 AND 180, false)"
+
+
+@query(f"""SELECT count(*) AS rows, count(*) FILTER (at IS NULL) AS invalid_timestamp, count(*) FILTER (NOT {_COORD}) AS invalid_coordinate, count(*) FILTER ({_COORD} AND NOT (lo BETWEEN -122 AND -117 AND la BETWEEN 30 AND 36)) AS outside_extent,
+    count(*) FILTER (NOT regexp_full_match(MMSI, '[1-9][0-9]{{8}}')) AS invalid_mmsi, count(*) FILTER (NOT coalesce(sog = 102.3 OR (isfinite(sog) AND sog >= 0), false)) AS invalid_speed,
+    count(*) FILTER (t = 'missing') AS missing_type, count(*) FILTER (t = 'malformed') AS malformed_type, count(*) FILTER (t = 'unavailable') AS unavailable_type, count(*) FILTER (t = 'noncommercial') AS noncommercial_type,
+    count(*) FILTER (t = 'commercial') AS commercial_type, count(*) FILTER (sog = 102.3) AS sog_sentinel, count(*) FILTER (cog = 360) AS cog_sentinel, count(*) FILTER (hd = 511) AS heading_sentinel
+    FROM (SELECT *, CASE WHEN trim(VesselType) = '' THEN 'missing' WHEN NOT regexp_full_match(trim(VesselType), '[0-9]+') THEN 'malformed' WHEN vt = 0 THEN 'unavailable' WHEN vt NOT BETWEEN 1 AND 99 THEN 'malformed'
+          WHEN vt NOT BETWEEN 60 AND 89 THEN 'noncommercial' ELSE 'commercial' END AS t FROM ({_PARSED}))""")
+def raw_profile(spark, sf_dir):
+    """AGG-1: each check by itself, in one scan."""
+    return cleaning.profile(I.raw(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS rows, epoch_us(min(at)) AS first_us, epoch_us(max(at)) AS last_us, count(DISTINCT CAST(at AS DATE)) AS days FROM ({I.OBS_DUCK})")
+def temporal_coverage(spark, sf_dir):
+    """AGG-12."""
+    c = cleaning.coverage(I.observations(spark, sf_dir), "at")
+    return c.select("rows", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "days")
+
+
+@query(f"SELECT type_code, count(*) AS rows, count(DISTINCT vessel) AS vessels, count(sog) AS speeds, round(avg(sog), 4) AS mean_speed FROM ({I.OBS_DUCK}) GROUP BY 1")
+def group_by_type(spark, sf_dir):
+    """AGG-5, VAL-21."""
+    return rounded(cleaning.by_type(I.observations(spark, sf_dir), "type_code", "vessel", "sog"))
+
+
+@query(f"""WITH s AS (SELECT MMSI, BaseDateTime, {_COLUMNS.replace("MMSI, BaseDateTime, ", "")}, count(*) AS n FROM ({I.RAW_DUCK}) GROUP BY ALL), k AS (SELECT MMSI, BaseDateTime, sum(n) AS rows, count(*) AS contents FROM s GROUP BY 1, 2)
+    SELECT CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(contents) AS BIGINT) AS distinct_rows, count(*) AS keys, count(*) FILTER (rows > 1) AS repeated_keys, count(*) FILTER (contents > 1) AS conflicting_keys,
+    CAST(sum(CASE WHEN MMSI IS NULL THEN rows ELSE 0 END) AS BIGINT) AS "null_MMSI", CAST(sum(CASE WHEN BaseDateTime IS NULL THEN rows ELSE 0 END) AS BIGINT) AS "null_BaseDateTime" FROM k""")
+def duplicate_profile(spark, sf_dir):
+    """AGG-36."""
+    return cleaning.duplicate_profile(I.raw(spark, sf_dir), _COLUMNS.split(", "), ["MMSI", "BaseDateTime"])
+
+
+# --- period ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT seq, epoch_us(next_at) AS next_us, next_lat, next_grp, round(elapsed_s, 4) AS elapsed_s FROM ({I.PAIRS_DUCK})")
+def successor_pairs(spark, sf_dir):
+    """WIN-4, WIN-7, STR-4, SCL-6: every row with its successor, across midnight."""
+    return rounded(pairs(spark, sf_dir).select("seq", F.unix_micros("next_at").alias("next_us"), "next_lat", "next_grp", "elapsed_s"))
+
+
+@query(f"""SELECT count(*) AS rows, count(n) AS pairs, count(d) AS daily_pairs, count(*) FILTER (n IS NOT NULL AND d IS NULL) AS lost_pairs, count(DISTINCT CASE WHEN n IS NOT NULL AND d IS NULL THEN vessel END) AS vessels_crossing
+    FROM (SELECT *, lead(at) OVER (PARTITION BY vessel ORDER BY {I._ORDER}) AS n, lead(at) OVER (PARTITION BY vessel, CAST(at AS DATE) ORDER BY {I._ORDER}) AS d FROM ({I.OBS_DUCK}))""")
+def continuity(spark, sf_dir):
+    """WIN-5, AGG-13."""
+    return period.continuity(I.observations(spark, sf_dir))
+
+
+@query(f"SELECT vessel, epoch_us(at) AS at_us, epoch_us(next_at) AS next_us, epoch_us(next_at) - epoch_us(at) AS elapsed_us FROM ({I.PAIRS_DUCK}) WHERE CAST(next_at AS DATE) > utc_date")
+def midnight_crossings(spark, sf_dir):
+    """WIN-6, FLT-14."""
+    return period.crossings(I.observations(spark, sf_dir)).select("vessel", F.unix_micros("at").alias("at_us"), F.unix_micros("next_at").alias("next_us"), "elapsed_us")
+
+
+@query(f"SELECT vessel, round(quantile_cont(gap, 0.5), 4) AS median_gap_s, count(gap) AS gaps FROM (SELECT vessel, (epoch_us(at) - epoch_us(lag(at) OVER (PARTITION BY vessel ORDER BY at, seq))) / 1e6 AS gap FROM ({I.OBS_DUCK})) GROUP BY 1")
+def median_gaps(spark, sf_dir):
+    """WIN-10."""
+    return rounded(period.time_gaps(I.observations(spark, sf_dir)))
+
+
+_SETS = f"""SELECT coalesce(CASE WHEN grouping(d) = 1 THEN 'period' ELSE CAST(d AS VARCHAR) END) AS date_key, CASE WHEN grouping(grp) = 1 THEN 'all_commercial' ELSE grp END AS group_key, count(*) AS rows,
+    count(DISTINCT vessel) AS vessels, count(DISTINCT (vessel, d)) AS vessel_dates FROM (SELECT *, CAST(at AS DATE) AS d FROM ({I.OBS_DUCK})) GROUP BY GROUPING SETS ((d, grp), (d), (grp), ())"""
+
+
+@query(_SETS)
+def grouping_sets(spark, sf_dir):
+    """AGG-7, AGG-23, SET-4."""
+    return period.grouped_sets(I.observations(spark, sf_dir))
+
+
+@query(f"WITH s AS ({_SETS}) SELECT d.date_key, g.group_key, coalesce(rows, 0) AS rows, coalesce(vessels, 0) AS vessels, coalesce(vessel_dates, 0) AS vessel_dates FROM (SELECT DISTINCT date_key FROM s) d CROSS JOIN (SELECT DISTINCT group_key FROM s) g LEFT JOIN s ON s.date_key = d.date_key AND s.group_key = g.group_key")
+def grouping_sets_dense(spark, sf_dir):
+    """AGG-8."""
+    return period.dense_sets(period.grouped_sets(I.observations(spark, sf_dir)))
+
+
+@query(f"SELECT CAST(at AS DATE) AS utc_date, count(*) AS rows FROM ({I.OBS_DUCK}) GROUP BY 1")
+def rows_by_date(spark, sf_dir):
+    """AGG-6, SRC-4, SET-5."""
+    return period.by_date(I.observations(spark, sf_dir))
+
+
+@query(f"SELECT CAST(at AS DATE) AS utc_date, CAST(hour(at) AS INT) AS hour, grp, count(*) AS rows, count(DISTINCT vessel) AS vessels FROM ({I.OBS_DUCK}) GROUP BY 1, 2, 3")
+def rows_by_hour(spark, sf_dir):
+    """AGG-9."""
+    return period.by_hour(I.observations(spark, sf_dir))
+
+
+_LEN = [50.0, 100.0, 200.0, 300.0]
+_GAPS, _SPEEDS = [3600.0, 21600.0, 86400.0], [5.0, 30.0, 100.0]
+
+
+def _band(x, edges):
+    return f"CASE WHEN {x} IS NULL THEN 'unknown' WHEN {x} < {edges[0]} THEN 'below' " + " ".join(f"WHEN {x} >= {e} THEN 'from_{e:g}'" for e in reversed(edges)) + " END"
+
+
+@query(f"SELECT grp, {_band('length_m', _LEN)} AS band, count(*) AS rows, count(DISTINCT vessel) AS vessels FROM ({I.OBS_DUCK}) GROUP BY 1, 2")
+def length_bands(spark, sf_dir):
+    """AGG-10."""
+    return period.by_band(I.observations(spark, sf_dir), "length_m", _LEN)
+
+
+_STATUS = "CASE WHEN sog IS NULL OR next_sog IS NULL OR sog = 102.3 OR next_sog = 102.3 THEN 'unavailable' WHEN abs((sog + next_sog) / 2 - knots) > 5 THEN 'inconsistent' ELSE 'available' END"
+
+
+@query(f"""SELECT grp, {_band("elapsed_s", _GAPS)} AS gap_band, {_band("knots", _SPEEDS)} AS speed_band, count(*) AS pairs, count(*) FILTER ({_STATUS} = 'available') AS agree, count(*) FILTER ({_STATUS} = 'unavailable') AS unavailable,
+    count(*) FILTER (elapsed_s IN (3600, 21600, 86400)) AS at_edge FROM ({I.PAIRS_DUCK}) WHERE elapsed_s > 0 AND grp = next_grp GROUP BY 1, 2, 3""")
+def segment_strata(spark, sf_dir):
+    """AGG-11, FLT-17, SCL-13."""
+    return period.strata(pairs(spark, sf_dir), _GAPS, _SPEEDS)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT CAST({g} AS DOUBLE) AS gap, CAST({v} AS DOUBLE) AS speed, {_EXCL.format(gap=g, speed=v)} AS outcome, count(*) AS pairs, count(*) FILTER (metres = 0) AS zero_length, count(*) FILTER (CAST(next_at AS DATE) > utc_date) AS cross_midnight, round(sum(metres) / 1000, 4) AS km FROM ({I.PAIRS_DUCK}) GROUP BY 3"
+        for g in (21600.0, 43200.0)
+        for v in (15.0, 30.0)
+    )
+)
+def rule_matrix(spark, sf_dir):
+    """AGG-22, JN-13."""
+    return rounded(period.rule_matrix(pairs(spark, sf_dir), (21600.0, 43200.0), (15.0, 30.0)))
+
+
+@query(f"SELECT grp || '_to_' || next_grp AS transition, count(*) AS pairs FROM ({I.PAIRS_DUCK}) WHERE grp <> next_grp GROUP BY 1")
+def group_transitions(spark, sf_dir):
+    """AGG-33."""
+    return period.transitions(pairs(spark, sf_dir))
+
+
+_KEEP = f"({_EXCL.format(gap=GAP, speed=SPEED)} = 'retained')"
+
+
+@query(f"""SELECT count(*) AS vessels, count(*) FILTER (NOT a) AS without, count(*) FILTER (NOT f) AS first_lost, count(*) FILTER (NOT l) AS last_lost FROM (SELECT vessel, bool_or(k) AS a, arg_min(k, r) AS f, arg_max(k, r) AS l
+    FROM (SELECT vessel, {_KEEP} AS k, row_number() OVER (PARTITION BY vessel ORDER BY {I._ORDER}) AS r FROM ({I.PAIRS_DUCK})) GROUP BY 1)""")
+def endpoint_censoring(spark, sf_dir):
+    """AGG-32."""
+    return period.censoring(pairs(spark, sf_dir), GAP, SPEED)
+
+
+_EDGES = [60.0, 600.0, 3600.0, 21600.0, 86400.0]
+
+
+@query(f"SELECT grp, CAST({' + '.join(f'(elapsed_s >= {e})::INT' for e in _EDGES)} AS INT) AS bin, count(*) AS rows FROM ({I.PAIRS_DUCK}) GROUP BY 1, 2")
+def gap_histogram(spark, sf_dir):
+    """AGG-19, VAL-19."""
+    return period.histogram(pairs(spark, sf_dir), "elapsed_s", _EDGES, ["grp"])
+
+
+@query(f"""SELECT grp, count(*) AS rows, round(min(metres), 3) AS least, round(max(metres), 3) AS largest, round(avg(metres), 3) AS mean, {", ".join(f"round(quantile_cont(metres, {q}), 3) AS {n}" for q, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95")))}
+    FROM ({I.PAIRS_DUCK}) GROUP BY 1""")
+def length_distribution(spark, sf_dir):
+    """AGG-20."""
+    return rounded(period.distribution(pairs(spark, sf_dir), "metres", ["grp"]), 3)
+
+
+@query(f"""SELECT grp, {", ".join(f"round(coalesce(sum(CASE WHEN st = '{s}' THEN metres END), 0) / 1000, 4) AS {s}_km" for s in ("available", "unavailable", "inconsistent"))},
+    round(sum(CASE WHEN st = 'available' THEN metres * (sog + next_sog) / 2 END) / nullif(sum(CASE WHEN st = 'available' THEN metres END), 0), 4) AS reported_mean, round(sum(metres * knots) / nullif(sum(metres), 0), 4) AS implied_mean
+    FROM (SELECT *, {_STATUS} AS st FROM ({I.PAIRS_DUCK}) WHERE elapsed_s > 0 AND grp = next_grp) GROUP BY 1""")
+def speed_means(spark, sf_dir):
+    """AGG-18, VAL-9."""
+    return rounded(period.sog_means(period.structural(pairs(spark, sf_dir)), ["grp"]))
+
+
+_CAL = "SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-02-29', INTERVAL 1 DAY)) AS DATE) AS utc_date"
+
+
+@query(f"SELECT c.utc_date, coalesce(s.state, 'absent') AS state FROM ({_CAL}) c LEFT JOIN (SELECT DISTINCT CAST(ts AS DATE) AS utc_date, 'verified' AS state FROM events WHERE event_id % 3 = 0) s ON c.utc_date = s.utc_date")
+def period_states(spark, sf_dir):
+    """JN-10."""
+    days = period.calendar(spark, "2024-01-01", "2024-02-29")
+    state = I.events(spark, sf_dir).where("event_id % 3 = 0").select(F.to_date("ts").alias("utc_date"), F.lit("verified").alias("state")).distinct()
+    return period.with_states(days, state)
+
+
+@query(f"SELECT utc_date FROM ({_CAL}) EXCEPT SELECT CAST(ts AS DATE) FROM events WHERE event_id % 500 = 0")
+def missing_dates(spark, sf_dir):
+    """JN-11, SET-1, VAL-18."""
+    have = I.events(spark, sf_dir).where("event_id % 500 = 0").select(F.to_date("ts").alias("utc_date"))
+    return period.missing_dates(period.calendar(spark, "2024-01-01", "2024-02-29"), have)
+
+
+@query(f"""SELECT vessel, track, epoch_us(min(at)) AS first_us, epoch_us(max(at)) AS last_us, count(*) AS rows FROM (SELECT *, CAST(sum(b) OVER (PARTITION BY vessel ORDER BY at, seq) AS BIGINT) AS track FROM
+    (SELECT *, CASE WHEN epoch_us(at) - epoch_us(lag(at) OVER (PARTITION BY vessel ORDER BY at, seq)) > 43200000000 THEN 1 ELSE 0 END AS b FROM ({I.OBS_DUCK}))) GROUP BY 1, 2""")
+def gap_tracks(spark, sf_dir):
+    """STR-3."""
+    return ingest.tracks(I.observations(spark, sf_dir), 43200.0).select("vessel", "track", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "rows")
+
+
+# --- grid --------------------------------------------------------------------------------------------------------------
+
+_RC = "CAST(floor((y0 + 670000) / 5000) AS INT)", "CAST(floor((x0 + 190000) / 5000) AS INT)"
+
+
+@query(f"SELECT seq AS point_id, printf('r%03d_c%03d', {_RC[0]}, {_RC[1]}) AS cell_id, 'one' AS status FROM (SELECT seq, {I._X} AS x0, {I._Y} AS y0 FROM ({I.OBS_DUCK}))")
+def point_cells(spark, sf_dir):
+    """JN-3, SCL-10, SCL-14, SRT-4: the cell of every position."""
+    o = I.observations(spark, sf_dir)
+    x, y = S.project(F.col("lat"), F.col("lon"))
+    points = o.select(F.col("seq").alias("point_id"), x.alias("x"), y.alias("y"))
+    return allocate.point_cells(points, allocate.grid(spark)).select("point_id", "cell_id", "status")
+
+
+@query(f"SELECT seq, round({I._X}, 3) AS x, round({I._Y}, 3) AS y, lat, lon FROM ({I.OBS_DUCK})")
+def projection_round_trip(spark, sf_dir):
+    """SCL-10, SCL-11: projected positions, and the inverse's latitude and longitude, equal to the input's to 9 digits."""
+    o = I.observations(spark, sf_dir)
+    x, y = S.project(F.col("lat"), F.col("lon"))
+    p = o.select("seq", x.alias("x"), y.alias("y"))
+    lat, lon = S.unproject(F.col("x"), F.col("y"))
+    return p.select("seq", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+
+
+_BOX = "(SELECT CAST(event_id AS BIGINT) AS segment_id, CAST(event_id * 37 % 16000 AS DOUBLE) + 0.5 AS x0, CAST(event_id * 91 % 12000 AS DOUBLE) + 0.5 AS y0, CAST(event_id * 53 % 16000 AS DOUBLE) + 0.25 AS x1, CAST(event_id * 17 % 12000 AS DOUBLE) + 0.25 AS y1, CAST(user_id % 97 AS STRING) AS vessel, CASE WHEN event_id % 3 = 0 THEN 'cargo' WHEN event_id % 3 = 1 THEN 'tanker' ELSE 'passenger' END AS grp, CAST(ts AS DATE) AS utc_date, CAST(event_id % 3600 + 1 AS DOUBLE) AS elapsed_s FROM {events} WHERE user_id IS NOT NULL AND event_id % 2 = 0)"
+_LINES = """(WITH s AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS metres FROM """ + _BOX.format(events="events") + """),
+    c AS (SELECT segment_id, 0.0::DOUBLE AS t FROM s UNION SELECT segment_id, 1.0 FROM s UNION SELECT segment_id, (1000.0 * k - x0) / (x1 - x0) FROM s, range(0, 17) r(k) WHERE 1000.0 * k > least(x0, x1) AND 1000.0 * k < greatest(x0, x1)
+          UNION SELECT segment_id, (1000.0 * k - y0) / (y1 - y0) FROM s, range(0, 13) r(k) WHERE 1000.0 * k > least(y0, y1) AND 1000.0 * k < greatest(y0, y1)),
+    p AS (SELECT segment_id, t AS t0, lead(t) OVER (PARTITION BY segment_id ORDER BY t) AS t1 FROM c)
+    SELECT s.*, p.t0, p.t1, metres * (t1 - t0) AS piece_m, elapsed_s * (t1 - t0) AS piece_s, CAST(floor((y0 + (t0 + t1) / 2 * (y1 - y0)) / 1000) AS INT) AS row_index, CAST(floor((x0 + (t0 + t1) / 2 * (x1 - x0)) / 1000) AS INT) AS column_index
+    FROM s JOIN p USING (segment_id) WHERE t1 IS NOT NULL)"""
+
+
+def _box_segments(spark, sf_dir):
+    s = spark.sql("SELECT * FROM " + _BOX, events=I.events(spark, sf_dir))
+    return s.withColumn("metres", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+
+
+def _box_pieces(spark, sf_dir):
+    cut = allocate.pieces(_box_segments(spark, sf_dir), 0, 0, 1000)
+    water = I.cells(spark).where("i % 9 >= 2").select("row_index", "column_index", "cell_id")
+    return allocate.allocated(cut, water), water
+
+
+_W = f"(SELECT row_index, column_index, cell_id FROM ({I.CELLS_DUCK}) WHERE i % 9 >= 2)"
+
+
+@query(f"SELECT w.cell_id, count(*) AS pieces, round(sum(piece_m), 3) AS metres, round(sum(piece_s), 3) AS seconds FROM {_LINES} l JOIN {_W} w USING (row_index, column_index) GROUP BY 1")
+def segment_pieces(spark, sf_dir):
+    """JN-4, SRT-8, SCL-30, AGG-31, UDTF: segments cut at grid lines, summed by cell."""
+    done, _ = _box_pieces(spark, sf_dir)
+    out = done.where("status = 'allocated'").groupBy("cell_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("piece_m").alias("metres"), F.sum("piece_s").alias("seconds"))
+    return rounded(out, 3)
+
+
+@query(f"""SELECT w.cell_id, w.row_index, w.column_index, {", ".join(f"round(coalesce(sum(CASE WHEN grp = '{g}' THEN piece_m END), 0) / 1000, 4) AS vessel_km_{g}" for g in ("passenger", "cargo", "tanker"))},
+    round(coalesce(sum(piece_m), 0) / 1000, 4) AS vessel_km_all, {", ".join(f"count(DISTINCT CASE WHEN grp = '{g}' THEN vessel END) AS vessels_{g}" for g in ("passenger", "cargo", "tanker"))}, count(DISTINCT vessel) AS vessels_all,
+    count(DISTINCT CASE WHEN vessel IS NOT NULL THEN (vessel, utc_date) END) AS vessel_dates_all FROM {_W} w LEFT JOIN {_LINES} l ON l.row_index = w.row_index AND l.column_index = w.column_index GROUP BY 1, 2, 3""")
+def cell_grid(spark, sf_dir):
+    """AGG-14, AGG-15, JN-15: every retained cell with km and distinct vessels by group."""
+    done, water = _box_pieces(spark, sf_dir)
+    return rounded(allocate.cell_totals(done, water))
+
+
+@query(f"""SELECT grp, round(p, 2) AS parent_m, round(a, 2) AS allocated_m, round(p - a, 2) AS outside_m, true AS conserved FROM (SELECT grp, sum(metres) AS p FROM {_BOX.replace("CAST(event_id % 3600 + 1 AS DOUBLE) AS elapsed_s", "0 AS e").replace("(SELECT", "(SELECT sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS metres, * FROM (SELECT", 1).format(events="events")}) GROUP BY 1)
+    JOIN (SELECT grp, sum(piece_m) AS a FROM {_LINES} l JOIN {_W} w USING (row_index, column_index) GROUP BY 1) USING (grp)""")
+def distance_balance(spark, sf_dir):
+    """VAL-2, VAL-3, VAL-4: parents against allocated and outside metres."""
+    done, _ = _box_pieces(spark, sf_dir)
+    out = allocate.balance(_box_segments(spark, sf_dir), done)
+    return rounded(out.select("grp", "parent_m", "allocated_m", "outside_m", "conserved"), 2)
+
+
+# --- density, overlay, exposure ----------------------------------------------------------------------------------------
+
+_SRC = "(SELECT p_partkey AS source_id, CAST(p_partkey * 131 % 15000 AS DOUBLE) AS sx0, CAST(p_partkey * 71 % 11000 AS DOUBLE) AS sy0, CAST(p_partkey * 131 % 15000 + 200 + p_size * 16 AS DOUBLE) AS sx1, CAST(p_partkey * 71 % 11000 + 300 AS DOUBLE) AS sy1, CAST(p_size AS DOUBLE) / 8 AS density FROM {part} WHERE p_partkey % 4 = 0)"
+
+
+def _sources(spark, sf_dir):
+    return spark.sql("SELECT * FROM " + _SRC, part=table(spark, sf_dir, "part"))
+
+
+_COMMON = "greatest(0, least(sx1, cx1) - greatest(sx0, cx0)) * greatest(0, least(sy1, cy1) - greatest(sy0, cy0))"
+
+
+@query(f"SELECT cell_id, round(sum({_COMMON} * s.density) / 1e6, 6) AS abundance, round(sum({_COMMON}) / 1e6, 6) AS covered_km2, round(sum({_COMMON} * s.density) / sum({_COMMON}), 6) AS density FROM {_SRC.format(part='part')} s JOIN ({I.CELLS_DUCK}) c ON {_COMMON} > 0 GROUP BY 1")
+def density_transfer(spark, sf_dir):
+    """JN-5, FLT-18: densities of boxes onto cells by common area."""
+    return rounded(exposure.transfer_boxes(_sources(spark, sf_dir), I.cells(spark).drop("density"), 1000.0), 6)
+
+
+@query(f"SELECT cell_id, round(sum({_COMMON} * s.density) / 1e6, 6) AS abundance, round(sum({_COMMON}) / 1e6, 6) AS covered_km2, round(sum({_COMMON} * s.density) / sum({_COMMON}), 6) AS density FROM {_SRC.format(part='part')} s JOIN ({I.CELLS_DUCK}) c ON {_COMMON} > 0 GROUP BY 1")
+def density_transfer_polygons(spark, sf_dir):
+    """JN-5, SCL-25, SCL-28: the same through WKB polygons and the clipping function."""
+    import pandas as pd
+
+    @F.pandas_udf("binary")
+    def boxes(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([G.wkb_of([G.box(*b)]) for b in zip(x0, y0, x1, y1, strict=True)])
+
+    s = _sources(spark, sf_dir).withColumn("geometry", boxes("sx0", "sy0", "sx1", "sy1")).select("source_id", "density", "geometry")
+    c = I.cells(spark).drop("density").withColumn("water", F.lit(None).cast("binary"))
+    return rounded(exposure.transfer_polygons(s, c, 1000.0, 0.0, 0.0), 6)
+
+
+@query(f"""WITH b AS (SELECT source_id AS id, sx0 AS x0, sy0 AS y0, sx1 AS x1, sy1 AS y1 FROM {_SRC.format(part="part")}) SELECT a.id AS aid, b.id AS bid,
+    greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS common FROM b a JOIN b ON a.id < b.id WHERE common > 1""")
+def overlapping_sources(spark, sf_dir):
+    """JN-6: pairs of source boxes that overlap."""
+    b = _sources(spark, sf_dir).select(F.col("source_id").alias("id"), F.col("sx0").alias("x0"), F.col("sy0").alias("y0"), F.col("sx1").alias("x1"), F.col("sy1").alias("y1"))
+    return exposure.overlaps(b, 1000.0)
+
+
+DOMAIN, BOUNDARY = (500.0, 1500.0, 14250.0, 11750.0), (4100.0, 0.0, 9900.0, 8300.0)
+
+
+def _ov(b):
+    return f"greatest(0, least(cx1, {b[2]}) - greatest(cx0, {b[0]})) * greatest(0, least(cy1, {b[3]}) - greatest(cy0, {b[1]}))"
+
+
+_BOTH = (4100.0, 1500.0, 9900.0, 8300.0)
+_AREAS = f"SELECT *, 1e6 AS water_m2, {_ov(DOMAIN)} AS qualified_m2, {_ov(_BOTH)} AS inside_m2, {_ov(DOMAIN)} - {_ov(_BOTH)} AS outside_m2 FROM ({I.CELLS_DUCK})"
+
+
+def _areas(spark):
+    return exposure.overlay_boxes(I.cells(spark), DOMAIN, BOUNDARY)
+
+
+@query(f"SELECT cell_id, CAST(water_m2 AS DOUBLE) AS water_m2, qualified_m2, inside_m2, outside_m2, water_m2 - qualified_m2 AS excluded_m2 FROM ({_AREAS})")
+def three_way_overlay(spark, sf_dir):
+    """JN-7, VAL-6, SCL-22, SCL-23."""
+    return _areas(spark).select("cell_id", "water_m2", "qualified_m2", "inside_m2", "outside_m2", "excluded_m2")
+
+
+@query(f"SELECT cell_id, CAST(water_m2 AS DOUBLE) AS water_m2, round(qualified_m2, 3) AS qualified_m2, round(inside_m2, 3) AS inside_m2 FROM ({_AREAS})")
+def three_way_overlay_polygons(spark, sf_dir):
+    """JN-7..9 through the polygon function."""
+    c = I.cells(spark).withColumn("water", F.lit(None).cast("binary"))
+    out = exposure.overlay_polygons(c, [G.box(*DOMAIN)], [G.box(*BOUNDARY)])
+    return rounded(out.select("cell_id", "water_m2", "qualified_m2", "inside_m2"), 3)
+
+
+_INT = f"SELECT *, CASE WHEN qualified_m2 > 0 THEN density * vessel_km / (water_m2 / 1e6) END AS product, CASE WHEN qualified_m2 > 0 THEN density * ln(1 + vessel_km / (water_m2 / 1e6)) END AS log_ FROM ({_AREAS})"
+
+
+@query(f"SELECT cell_id, round(product, 6) AS product, round(log_, 6) AS log, round(product / max(product) OVER (), 6) AS product_index, round(log_ / max(log_) OVER (), 6) AS log_index FROM ({_INT})")
+def intensity_index(spark, sf_dir):
+    """AGG-27, SCL-7."""
+    return rounded(exposure.intensities(_areas(spark)).select("cell_id", "product", "log", "product_index", "log_index"), 6)
+
+
+@query(f"""SELECT m AS method, round(sum(qualified_m2) / 1e6, 6) AS qualified_km2, round(sum(v * qualified_m2) / 1e6, 6) AS integrated_qualified, round(sum(v * inside_m2) / 1e6, 6) AS integrated_inside, round(sum(v * outside_m2) / 1e6, 6) AS integrated_outside, round(max(v), 6) AS maximum,
+    round(sum(v * inside_m2) / sum(v * qualified_m2), 6) AS share_inside, round(sum(v * outside_m2) / sum(v * qualified_m2), 6) AS share_outside FROM (SELECT *, 'product' AS m, product AS v FROM ({_INT}) UNION ALL SELECT *, 'log', log_ FROM ({_INT})) WHERE qualified_m2 > 0 GROUP BY 1""")
+def integrated_overlap(spark, sf_dir):
+    """AGG-25."""
+    c = exposure.intensities(_areas(spark))
+    parts = [exposure.summary(c, m).select(F.lit(m).alias("method"), "*") for m in exposure.METHODS]
+    return rounded(parts[0].unionByName(parts[1]), 6)
+
+
+_Q = f"""WITH c AS (SELECT * FROM ({_INT}) WHERE qualified_m2 > 0), p AS (SELECT 'all_valid' AS reference, product AS v, sum(qualified_m2) AS w FROM c GROUP BY 2 UNION ALL SELECT 'positive_only', product, sum(qualified_m2) FROM c WHERE product > 0 GROUP BY 2),
+    r AS (SELECT *, sum(w) OVER (PARTITION BY reference ORDER BY v) AS cum, sum(w) OVER (PARTITION BY reference) AS total FROM p), t AS (SELECT reference, CAST(s AS DOUBLE) AS share, min(v) AS threshold FROM r, (SELECT unnest([0.8, 0.9, 0.95]) AS s) WHERE cum >= s * total GROUP BY 1, 2)"""
+
+
+@query(_Q + " SELECT t.reference, t.share, round(t.threshold, 6) AS threshold, round(sum(qualified_m2) / 1e6, 6) AS high_qualified_km2, round(sum(inside_m2) / 1e6, 6) AS high_inside_km2, round(sum(outside_m2) / 1e6, 6) AS high_outside_km2, count(*) AS cells, true AS available FROM t JOIN c ON c.product >= t.threshold AND t.threshold > 0 GROUP BY 1, 2, 3")
+def high_thresholds(spark, sf_dir):
+    """AGG-21, AGG-26, WIN-9."""
+    out = exposure.thresholds(exposure.intensities(_areas(spark)))
+    return rounded(out.select("reference", "share", "threshold", "high_qualified_km2", "high_inside_km2", "high_outside_km2", "cells", "available"), 6)
+
+
+@query("WITH s AS (SELECT l_quantity AS v, sum(l_extendedprice) AS w FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1), r AS (SELECT *, sum(w) OVER (ORDER BY v) AS cum, sum(w) OVER () AS total FROM s) SELECT CAST(p AS DOUBLE) AS share, min(v) AS threshold FROM r, (SELECT unnest([0.5, 0.8, 0.9]) AS p) WHERE cum >= p * total GROUP BY 1")
+def weighted_quantiles(spark, sf_dir):
+    """AGG-21 on a large table."""
+    return A.weighted_quantiles(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", (0.5, 0.8, 0.9))
+
+
+@query(f"SELECT cell_id, round(product * outside_m2 / 1e6, 6) AS outside_integrated FROM ({_INT}) WHERE product * outside_m2 > 0 ORDER BY 2 DESC, 1 LIMIT 10")
+def outside_top(spark, sf_dir):
+    """SRT-6."""
+    return rounded(exposure.outside_contributors(exposure.intensities(_areas(spark))), 6)
+
+
+@query(f"""SELECT CAST(floor(cx0 / 2000) * 2000 AS BIGINT) AS coarse_x, CAST(floor(cy0 / 2000) * 2000 AS BIGINT) AS coarse_y, CAST(count(*) AS DOUBLE) AS water_km2, sum(density) AS abundance, sum(vessel_km) AS vessel_km, count(*) AS fine_cells, round(sum(density) / count(*), 6) AS density
+    FROM ({I.CELLS_DUCK}) GROUP BY 1, 2""")
+def coarsened_cells(spark, sf_dir):
+    """AGG-24, SCL-15, VAL-8."""
+    c = I.cells(spark).select(F.col("cx0").alias("x_min_m"), F.col("cy0").alias("y_min_m"), F.lit(1.0).alias("water_km2"), F.col("density").alias("abundance"), "vessel_km")
+    return rounded(exposure.coarsened(c, 2000), 6)
+
+
+@query(f"""WITH r AS (SELECT rank() OVER (ORDER BY density) + (count(*) OVER (PARTITION BY density) - 1) / 2.0 AS a, rank() OVER (ORDER BY vessel_km) + (count(*) OVER (PARTITION BY vessel_km) - 1) / 2.0 AS b FROM ({I.CELLS_DUCK})) SELECT round(corr(a, b), 6) AS spearman, count(*) AS rows FROM r""")
+def rank_correlation(spark, sf_dir):
+    """AGG-28, WIN-8."""
+    return rounded(A.spearman(I.cells(spark), "density", "vessel_km"), 6)
+
+
+_SH = f"SELECT round(sum(product * inside_m2) / sum(product * qualified_m2), 6) AS share_inside, round(sum(product * outside_m2) / sum(product * qualified_m2), 6) AS share_outside FROM ({_INT})"
+
+
+@query(f"SELECT 'as_is' AS run, * FROM ({_SH}) UNION ALL SELECT 'scaled', * FROM ({_SH})")
+def scaling_control(spark, sf_dir):
+    """AGG-29."""
+    return rounded(exposure.scaling_control(_areas(spark), 7.0), 6)
+
+
+@query(f"""WITH r AS (SELECT 'p' || k AS name, cell_id, CASE WHEN (i + k) % 4 = 0 THEN 0.0 ELSE vessel_km + k * (i % 3) END AS value FROM ({I.CELLS_DUCK}), (SELECT unnest([1, 2, 3]) AS k)) SELECT x.name AS a, y.name AS b, count(*) AS cells, count(*) FILTER (y.value > x.value) AS larger, count(*) FILTER (y.value < x.value) AS smaller,
+    count(*) FILTER (x.value = 0 AND y.value > 0) AS newly_positive, CAST(max(abs(y.value - x.value)) AS DOUBLE) AS largest_difference FROM r x JOIN r y ON x.cell_id = y.cell_id AND x.name < y.name GROUP BY 1, 2""")
+def candidate_differences(spark, sf_dir):
+    """JN-14, AGG-30, SRT-7."""
+    k = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    r = I.cells(spark).withColumn("k", k).select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("name"), "cell_id", F.when((F.col("i") + F.col("k")) % 4 == 0, 0.0).otherwise(F.col("vessel_km") + F.col("k") * (F.col("i") % 3)).alias("value"))
+    return exposure.pair_differences(r)
+
+
+@query(f"WITH s AS (SELECT 'primary' AS scenario, * FROM ({_SH}) UNION ALL SELECT 'log', round(sum(log_ * inside_m2) / sum(log_ * qualified_m2), 6), 0 FROM ({_INT})) SELECT a.scenario, round((a.share_inside - b.share_inside) * 100, 3) AS points FROM s a, s b WHERE a.scenario <> 'primary' AND b.scenario = 'primary'")
+def scenario_deltas(spark, sf_dir):
+    """AGG-35, VAL-10."""
+    c = exposure.intensities(_areas(spark))
+    s = exposure.summary(c).select(F.lit("primary").alias("scenario"), F.round("share_inside", 6).alias("share_inside")).unionByName(exposure.summary(c, "log").select(F.lit("log").alias("scenario"), F.round("share_inside", 6).alias("share_inside")))
+    return rounded(exposure.share_deltas(s), 3)
+
+
+_ST = "(SELECT s_suppkey AS station_id, CAST(s_suppkey * 997 % 16000 AS DOUBLE) AS sx, CAST(s_suppkey * 613 % 12000 AS DOUBLE) AS sy FROM {supplier} WHERE s_suppkey % 3 = 0)"
+
+
+@query(f"SELECT DISTINCT cell_id FROM ({I.CELLS_DUCK}) c JOIN {_ST.format(supplier='supplier')} s ON ((cx0 + cx1) / 2 - sx) * ((cx0 + cx1) / 2 - sx) + ((cy0 + cy1) / 2 - sy) * ((cy0 + cy1) / 2 - sy) <= 1500.0 * 1500.0")
+def domain_by_distance(spark, sf_dir):
+    """JN-8, FLT-19, AGG-34, SCL-26: cells within reach of stations."""
+    return exposure.domain_cells(I.cells(spark), spark.sql("SELECT * FROM " + _ST, supplier=table(spark, sf_dir, "supplier")), 1500.0)
+
+
+@query(f"SELECT c.cell_id, c.density, d.vessel_km, c.row_index FROM ({I.CELLS_DUCK}) c JOIN ({I.CELLS_DUCK}) d USING (cell_id)")
+def strict_one_to_one(spark, sf_dir):
+    """JN-1."""
+    a = I.cells(spark).select("cell_id", "row_index", "density")
+    b = I.cells(spark).select("cell_id", "row_index", "vessel_km")
+    return exposure.strict_join(a, b, "cell_id", ["row_index"]).select("cell_id", "density", "vessel_km", "row_index")
+
+
+# --- aggregates and scalars --------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, round(fsum(l_extendedprice * l_discount), 2) AS exact, round(fsum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
+def deterministic_sums(spark, sf_dir):
+    """AGG-16, AGG-17: sums that no order of rows changes."""
+    li = table(spark, sf_dir, "lineitem")
+    by_key = li.groupBy("l_returnflag", F.pmod("l_orderkey", F.lit(64)).alias("k")).agg(A.neumaier(F.col("l_extendedprice") * F.col("l_discount")).alias("e"), A.decimal_sum(F.col("l_extendedprice"), 6).alias("t"))
+    return rounded(by_key.groupBy("l_returnflag").agg(A.neumaier(F.col("e")).alias("exact"), A.neumaier(F.col("t")).alias("total")), 2)
+
+
+@query("SELECT event_id, CAST(CASE WHEN value >= 0 AND value < 10 THEN 0 WHEN value >= 10 AND value < 50 THEN 1 WHEN value >= 50 AND value <= 100 THEN 2 END AS INT) AS left_class, CAST(CASE WHEN value = 0 THEN -1 WHEN value > 0 AND value <= 10 THEN 0 WHEN value > 10 AND value <= 50 THEN 1 WHEN value > 50 AND value <= 100 THEN 2 END AS INT) AS right_class FROM events")
+def class_breaks(spark, sf_dir):
+    """FLT-20."""
+    b = [0.0, 10.0, 50.0, 100.0]
+    return I.events(spark, sf_dir).select("event_id", S.class_of(F.col("value"), b, False).alias("left_class"), S.class_of(F.col("value"), b, True, True).alias("right_class"))
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (NOT coalesce(abs(l_extendedprice / l_quantity * l_quantity - l_extendedprice) <= greatest(1e-6 * l_extendedprice, 1e-9), false)) AS consistent, count(*) FILTER (NOT coalesce(l_discount BETWEEN 0 AND 0.05, false)) AS discount, count(*) FILTER (NOT coalesce(l_returnflag IN ('A', 'R'), false)) AS flag FROM lineitem")
+def rule_violations(spark, sf_dir):
+    """FLT-21, FLT-22, VAL-16, VAL-17, PUB-6, PUB-7, SRC-11, SCL-29: rows that break each rule."""
+    li = table(spark, sf_dir, "lineitem")
+    p, q = F.col("l_extendedprice"), F.col("l_quantity")
+    return C.violations(li, consistent=S.close(p / q * q, p, 1e-6, 1e-9), discount=F.col("l_discount").between(0, 0.05), flag=F.col("l_returnflag").isin("A", "R"))
+
+
+@query("SELECT event_id, regexp_full_match(props, '[^a-z]*') AS no_letters, trim(' x ' || event_type) AS trimmed, nullif(event_type, 'view') AS not_view, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at_text, epoch_us(ts) AS at_us, CAST(hour(ts) AS INT) AS at_hour FROM events")
+def scalar_texts(spark, sf_dir):
+    """SCL-1..6, FLT-13."""
+    e = I.events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    full = F.when(F.col("props").isNotNull(), S.full_match(F.col("props"), "[^a-z]*"))
+    return e.select("event_id", full.alias("no_letters"), F.trim(F.concat(F.lit(" x "), F.col("event_type"))).alias("trimmed"), F.nullif("event_type", F.lit("view")).alias("not_view"), S.utc_text(F.col("at")).alias("at_text"), F.unix_micros("at").alias("at_us"), F.hour("at").alias("at_hour"))
+
+
+@query("SELECT o_orderkey, 'ord-' || substr(sha256(strlen(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey || '|' || strlen(o_orderstatus) || ':' || o_orderstatus), 1, 24) AS content_id, regexp_replace('see a' || o_orderkey || '@mail.example.com?token=' || o_orderkey, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[redacted]', 'g').regexp_replace('(token|key)=[^&\\s]+', '\\1=[redacted]', 'g') AS safe FROM orders")
+def content_ids(spark, sf_dir):
+    """SCL-17, SCL-21."""
+    o = table(spark, sf_dir, "orders")
+    text = F.concat(F.lit("see a"), F.col("o_orderkey").cast("string"), F.lit("@mail.example.com?token="), F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", S.content_id("ord-", F.col("o_orderkey"), F.col("o_orderstatus")).alias("content_id"), S.redacted(text).alias("safe"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'complete' WHEN p_size <= 20 THEN 'within_tolerance' ELSE 'partial' END AS coverage, CAST(floor((p_partkey - 500) / 100.0) * 100 AS BIGINT) AS origin, round(p_size * 1852.0 / 1609.344, 6) AS miles FROM part")
+def units_and_coverage(spark, sf_dir):
+    """SCL-12, SCL-15, SCL-16, SCL-18, SCL-23."""
+    p = table(spark, sf_dir, "part")
+    uncovered = F.when(F.col("p_size") <= 5, 0.0).when(F.col("p_size") <= 20, 0.05).otherwise(1.0)
+    return p.select("p_partkey", S.coverage_status(uncovered).alias("coverage"), S.coarse_origin(F.col("p_partkey") - 500, 100).alias("origin"), F.round(F.col("p_size") * S.NAUTICAL_MILE_M / S.STATUTE_MILE_M, 6).alias("miles"))
+
+
+@query("SELECT c_custkey, CAST(round(CAST(CAST(c_acctbal AS VARCHAR) AS DECIMAL(30, 10)), 1) AS DECIMAL(30, 1))::VARCHAR AS one_place FROM customer")
+def half_up_text(spark, sf_dir):
+    """SCL-19."""
+    return table(spark, sf_dir, "customer").select("c_custkey", S.half_up_text(F.col("c_acctbal"), 1).alias("one_place"))
+
+
+@query(None)
+def geodesic_lengths(spark, sf_dir):
+    """SCL-9: geodesic and projected lengths of pairs, by group (tests hold the function against known distances)."""
+    p = pairs(spark, sf_dir).withColumn("geodesic_m", allocate.geodesic_column("lat", "lon", "next_lat", "next_lon"))
+    return rounded(p.groupBy("grp").agg((F.sum("geodesic_m") / 1000).alias("geodesic_km"), (F.sum("metres") / 1000).alias("projected_km"), F.max(F.abs(F.col("metres") - F.col("geodesic_m"))).alias("largest_difference_m")), 3)
+
+
+# --- ingest and publication --------------------------------------------------------------------------------------------
+
+_OLD = "SELECT CAST(ts AS DATE) AS utc_date, sha256(CAST(CAST(ts AS DATE) AS VARCHAR)) AS sha256, 'verified' AS state, CAST(1 AS BIGINT) AS attempts FROM events WHERE event_id % 3 = 0 GROUP BY 1"
+_NEW = "SELECT CAST(ts AS DATE) AS utc_date, CASE WHEN day(CAST(ts AS DATE)) % 5 = 0 THEN sha256('other') ELSE sha256(CAST(CAST(ts AS DATE) AS VARCHAR)) END AS sha256 FROM events WHERE event_id % 100 < 2 GROUP BY 1, 2"
+
+
+def _state(spark, sf_dir):
+    d = F.to_date("ts")
+    e = I.events(spark, sf_dir).select(d.alias("utc_date"), "event_id")
+    old = e.where("event_id % 3 = 0").select("utc_date", F.sha2(F.col("utc_date").cast("string"), 256).alias("sha256"), F.lit("verified").alias("state"), F.lit(1).cast("long").alias("attempts")).distinct()
+    other = hashlib.sha256(b"other").hexdigest()
+    new = e.where("event_id % 100 < 2").select("utc_date", F.when(F.dayofmonth("utc_date") % 5 == 0, other).otherwise(F.sha2(F.col("utc_date").cast("string"), 256)).alias("sha256")).distinct()
+    return old, new
+
+
+@query(f"SELECT coalesce(o.utc_date, n.utc_date) AS utc_date, coalesce(o.sha256, n.sha256) AS sha256, CASE WHEN n.sha256 <> o.sha256 THEN 'conflict' ELSE 'verified' END AS state, CAST(coalesce(o.attempts, 0) + CASE WHEN n.utc_date IS NULL THEN 0 ELSE 1 END AS BIGINT) AS attempts FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.utc_date = n.utc_date")
+def ingest_upsert(spark, sf_dir):
+    """STR-2, STA-1, STA-4, STA-5."""
+    return ingest.upsert(*_state(spark, sf_dir))
+
+
+@query(f"SELECT coalesce(o.utc_date, f.utc_date) AS utc_date, o.sha256, CASE WHEN o.state IS NOT NULL THEN o.state ELSE 'failed' END AS state, CAST(coalesce(o.attempts, 0) + coalesce(f.n, 0) AS BIGINT) AS attempts FROM ({_OLD}) o FULL JOIN (SELECT CAST(ts AS DATE) AS utc_date, count(*) AS n FROM events WHERE event_id % 50 = 1 GROUP BY 1) f ON o.utc_date = f.utc_date")
+def ingest_failures(spark, sf_dir):
+    """STA-2."""
+    old, _ = _state(spark, sf_dir)
+    return ingest.failed(old, I.events(spark, sf_dir).where("event_id % 50 = 1").select(F.to_date("ts").alias("utc_date")))
+
+
+@query(f"SELECT n.* FROM ({_NEW}) n WHERE NOT EXISTS (SELECT 1 FROM ({_OLD}) o WHERE o.utc_date = n.utc_date AND o.sha256 = n.sha256)")
+def ingest_to_do(spark, sf_dir):
+    """STA-6."""
+    old, new = _state(spark, sf_dir)
+    return ingest.to_do(new, old)
+
+
+@query(f"WITH u AS (SELECT CASE WHEN n.sha256 <> o.sha256 THEN 'conflict' ELSE 'verified' END AS state FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.utc_date = n.utc_date) SELECT count(*) AS dates, count(*) FILTER (state = 'verified') AS verified, count(*) FILTER (state = 'conflict') AS conflict, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS absent FROM u")
+def ingest_roll_up(spark, sf_dir):
+    """STA-8, STA-9."""
+    return ingest.roll_up(ingest.upsert(*_state(spark, sf_dir)))
+
+
+_R, _O = "SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE event_id % 100 = 0", "SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE event_id % 100 = 1"
+
+
+@query(f"SELECT 'missing' AS which, count(*) AS dates FROM ({_R} EXCEPT {_O}) UNION ALL SELECT 'common', count(*) FROM ({_R} INTERSECT {_O}) UNION ALL SELECT 'unrequested', count(*) FROM ({_O} EXCEPT {_R})")
+def date_sets(spark, sf_dir):
+    """SET-1, SET-2, FLT-15, STA-9."""
+    d = lambda k: I.events(spark, sf_dir).where(F.col("event_id") % 100 == k).select(F.to_date("ts").alias("utc_date"))
+    return ingest.date_sets(d(0), d(1))
+
+
+@query("SELECT event_id, CASE WHEN bytes = 100 OR event_id % 7 = 0 THEN 'verified' ELSE 'unverified' END AS bytes_state FROM (SELECT event_id, 100 + event_id % 3 AS bytes FROM events)")
+def byte_completeness(spark, sf_dir):
+    """STA-7."""
+    e = I.events(spark, sf_dir)
+    return e.select("event_id", ingest.byte_state(F.lit(100), 100 + F.col("event_id") % 3, F.col("event_id") % 7 == 0).alias("bytes_state"))
+
+
+@query("SELECT event_id, t <> '' AND NOT (t LIKE '%://%' OR t LIKE '/%' OR t LIKE '%\\%') AS public FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'https://x.example/y' WHEN 1 THEN '/root/data' WHEN 2 THEN '' WHEN 3 THEN 'C:\\data' ELSE 'Monthly mean' END AS t FROM events)")
+def public_texts(spark, sf_dir):
+    """PUB-1, PUB-2."""
+    t = F.element_at(F.array(*map(F.lit, ("https://x.example/y", "/root/data", "", "C:\\data", "Monthly mean"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return I.events(spark, sf_dir).select("event_id", S.public_text(t).alias("public"))
+
+
+@query(f"SELECT cell_id, CASE WHEN qualified_m2 <= 0 THEN 'none' WHEN abs(qualified_m2 - water_m2) <= 1e-12 * water_m2 THEN 'full' ELSE 'partial' END AS overlap FROM ({_AREAS})")
+def display_overlap_class(spark, sf_dir):
+    """PUB-10, JN-9."""
+    q, w = F.col("qualified_m2"), F.col("water_m2")
+    return _areas(spark).select("cell_id", F.when(q <= 0, "none").when(F.abs(q - w) <= 1e-12 * w, "full").otherwise("partial").alias("overlap"))
+
+
+@query(None)
+def geojson_features(spark, sf_dir):
+    """SNK-4: the cells as GeoJSON features."""
+    import pandas as pd
+
+    @F.pandas_udf("binary")
+    def boxes(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([G.wkb_of([G.box(*b)]) for b in zip(x0, y0, x1, y1, strict=True)])
+
+    return sinks.features(I.cells(spark).withColumn("geometry", boxes("cx0", "cy0", "cx1", "cy1")), "geometry", "cell_id", ["density", "vessel_km"])
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT l_returnflag) AS dates, CAST(0 AS BIGINT) AS inversions FROM lineitem WHERE l_returnflag = 'A'")
+def sorted_slice(spark, sf_dir):
+    """STA-11."""
+    from pyspark.sql import Window
+
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select("l_orderkey", "l_linenumber", "l_returnflag")
+    blocks = li.withColumn("b", F.floor(F.col("l_orderkey") / 1000))
+    base = blocks.groupBy("b").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = blocks.join(base, "b").withColumn("position", F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("l_orderkey", "l_linenumber")))
+    return C.sorted_slice(placed, ["l_orderkey", "l_linenumber"], "l_returnflag")
