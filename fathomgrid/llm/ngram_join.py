@@ -9,8 +9,8 @@ Cost-based allocation decides what is indexed. Empty segments cost most (everyth
 segments whose signatures turn out to be hot give none either, as long as H + 1 others are left. A set with too few
 segments takes part once more with one-deletion neighbourhoods, where a segment counts twice, in partitions of other
 salts until it has enough. A pair is found if either set has enough, so nothing is lost. What is left of hot
-signatures is compared with one pivot each; only sets that did not end up in one component, and that the triangle
-inequality of the Jaccard distance cannot tell apart, are compared with each other. Pairs are verified on whole sets.
+signatures is compared with one pivot each; where that does not put all sets of a signature in one component, sets that
+share enough shingles with any other are compared in blocks of bounded size. Everything is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -262,11 +262,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.select("a", "b", (1 - F.col("common") / F.col("union")).alias("distance"), (100 * F.col("common") >= 75 * F.col("union")).alias("linked"))
 
 
-def _shingle_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def _shingle_sets(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(node, shingles) of the nodes in pairs, each from one of its documents, read again."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
-    wanted = written(rows.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")).select("node", key("id").alias("key")))
+    wanted = written(firsts.join(nodes, "node").select("node", key("first").alias("key")))
     keys = wanted.select("key").distinct()
     if wanted.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
@@ -300,11 +300,11 @@ def _hot_pairs(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, stars
 
 
-def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, k: int = K_WORDS) -> DataFrame:
+def links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k: int = K_WORDS) -> DataFrame:
     """(a, b): links between nodes that connect every pair of linked sets: all links of cold pairs, and of hot ones
-    enough that two linked sets are always in one component."""
+    enough that two linked sets are always in one component. ``firsts`` names a document (first) of each node."""
     spark = docs.sparkSession
-    groups = 2 * partitions(docs)
+    groups = partitions(docs)
     found = written(_packed(docs, text_col, k, groups).groupBy("g").applyInArrow(_matched, "kind int, a long, b long, ma long, mb long, times long"))
     hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("sig"), F.col("ma").alias("meta"))
     some_hot = hot.limit(1).count() > 0
@@ -315,26 +315,94 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, k: int =
         pairs = written(cold.unionByName(stars).distinct())
     else:
         pairs = written(cold.distinct())
-    sets = _shingle_sets(docs, rows, pairs, id_col, text_col, k)
+    sets = _shingle_sets(docs, firsts, pairs, id_col, text_col, k)
     checked = written(_verified(pairs, sets))
     good = checked.where("linked").select("a", "b")
     if not some_hot:
-        return good
+        out = written(good)
+        for table in (found, pairs, sets, checked):
+            forget(table)
+        return out
     labels = components(good)
-    of = labels.select("node", "component")
-    placed = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = _torn_links(members, labels, sets)
+    out = written(good.unionByName(more))
+    for table in (found, members, stars, pairs, sets, checked, labels):
+        forget(table)
+    return out
+
+
+def _torn_links(members: DataFrame, labels: DataFrame, sets: DataFrame, block: int = 256) -> DataFrame:
+    """Links between components within hot signatures that hold several.
+
+    Two sets that link share three quarters of either, so a set of which fewer shingles occur in any other of these
+    sets links with none; this is counted twice, as sets that go make others rarer. Those left are compared within
+    their pivot's group in pairs of blocks of bounded size, however large a group is, and blocks of a single component
+    are passed over. Only links come out, one for two components that a pair of blocks connects.
+    """
+    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     torn = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    d = checked.select("a", "b", "distance")
-    away = placed.join(torn, "sig", "left_semi").select("sig", "node", "component", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    away = written(away.join(d, ["a", "b"], "left").select("sig", "node", "component", F.coalesce("distance", F.lit(0.0)).alias("distance")))
-    x, y = away.alias("x"), away.alias("y")
-    near = F.abs(F.col("x.distance") - F.col("y.distance")) <= 0.2500001
-    more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & near)
-    more = written(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.limit(1).count():
-        return good
-    again = written(_verified(more, _shingle_sets(docs, rows, more, id_col, text_col, k)))
-    return written(good.unionByName(again.where("linked").select("a", "b")))
+    near = written(placed.join(torn, "sig", "left_semi").select("pivot", "node", "component").distinct())
+    left = near.select("node").distinct()
+    for _ in range(2):
+        tokens = sets.join(left, "node", "left_semi").select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("t"))
+        shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t")
+        left = written(tokens.join(shared, "t").groupBy("node", "size").agg(F.count(F.lit(1)).alias("n")).where("4 * n >= 3 * size").select("node"))
+    some = near.join(left, "node", "left_semi")
+    mixed_groups = some.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    dealt = some.join(mixed_groups.select("pivot", F.ceil(F.col("n") / block).cast("int").alias("parts")), "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("pivot", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "node", "component")
+    mixed_cells = cells.groupBy("pivot", "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("pivot", "i", "j")
+    rows = cells.join(mixed_cells, ["pivot", "i", "j"], "left_semi").join(sets, "node").select("pivot", "i", "j", "part", "node", "component", "shingles")
+    sorted_rows = rows.repartition(partitions(members), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    out = written(sorted_rows.mapInArrow(_compared, "a long, b long"))
+    forget(near)
+    return out
+
+
+def _compared(batches):
+    """Links across components in each cell of sorted rows (pivot, i, j, part, node, component, shingles)."""
+    rest = None
+    for batch in [*(), *batches, None]:
+        table = pa.Table.from_batches([batch]) if batch is not None else None
+        if rest is not None:
+            table = pa.concat_tables([rest, table]) if table is not None else rest
+        if table is None or not len(table):
+            continue
+        c = np.stack([np.asarray(table.column(k)).astype(np.int64) for k in ("pivot", "i", "j")], 1)
+        cuts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]).any(1), True])
+        done = cuts if batch is None else cuts[:-1]
+        for a, b in zip(done[:-1], done[1:], strict=True):
+            yield _cell_links(table.slice(a, b - a).combine_chunks())
+        rest = table.slice(int(done[-1])) if batch is not None else None
+
+
+def _cell_links(cell: pa.Table, width: int = 8192) -> pa.RecordBatch:
+    node, component, part = (np.asarray(cell.column(k)) for k in ("node", "component", "part"))
+    lists = cell.column("shingles").combine_chunks()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    tokens = lists.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(node)), lengths)
+    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    owner, column = owner[several], np.unique(column[several], return_inverse=True)[1] if several.any() else column[several]
+    i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+    a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    common = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        present = np.zeros((len(node), width), np.float32)
+        present[owner[lo:hi], column[lo:hi] - start] = 1
+        common += present[a] @ present[b].T
+    union = lengths[a][:, None] + lengths[b][None] - common
+    x, y = np.nonzero((100 * common >= 75 * union) & (component[a][:, None] != component[b][None]))
+    x, y = a[x], b[y]
+    if len(x):
+        _, first = np.unique(np.stack([component[x], component[y]], 1), axis=0, return_index=True)
+        x, y = x[first], y[first]
+    return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K_WORDS) -> DataFrame:
@@ -347,15 +415,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     scratch_dir(docs.sparkSession)
     rows = written(document_sets(docs, id_col, text_col, k))
-    found = links(docs, rows.where("node is not null"), id_col, text_col, k)
-    firsts = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+    found = links(docs, firsts, id_col, text_col, k)
     labels = components(found)
     linked = firsts.join(labels, "node")
     roots = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     wide = linked.join(roots, "component").select("node", "component_id")
     copies = firsts.join(labels, "node", "left_anti").where("n > 1").select("node", F.col("first").alias("component_id"))
     known = written(wide.unionByName(copies))
-    forget(labels)
+    for table in (labels, found, firsts):
+        forget(table)
     out = rows.join(known, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
