@@ -99,9 +99,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the same ``kept``. Where all ids of a group are null, keep_id is null and kept is true. An empty table gives none.
     """
     rows = written(identities(docs, id_col, text_col, **options))
-    groups = rows.groupBy("n_bytes", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["n_bytes", "name"]).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256")
+    # only groups of several are joined back, from a written table, so the join itself can split a large group
+    several = written(rows.groupBy("n_bytes", "name").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    alone = F.col("n").isNull()
+    keep = F.when(alone, F.col("id")).otherwise(F.col("keep"))
+    return rows.join(several, ["n_bytes", "name"], "left").select(
+        F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha256").alias("text_sha256")
     )
 
 
