@@ -66,8 +66,8 @@ def average_ranks(rows: DataFrame, value: str, out: str = "rank") -> DataFrame:
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """AGG-28: (spearman, rows): correlation of tie-averaged ranks, null where either has no variance."""
     ranked = average_ranks(average_ranks(rows.select(a, b), a, "ra"), b, "rb")
-    out = ranked.agg(F.corr("ra", "rb").alias("c"), F.count(F.lit(1)).alias("rows"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb"))
-    return out.select(F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.col("c")).alias("spearman"), "rows")
+    out = ranked.agg(F.covar_pop("ra", "rb").alias("c"), F.count(F.lit(1)).alias("rows"), (F.stddev_pop("ra") * F.stddev_pop("rb")).alias("s"))
+    return out.select((F.col("c") / F.nullif("s", F.lit(0.0))).alias("spearman"), "rows")
 
 
 def top_k(rows: DataFrame, measure: str, tie: str, k: int = 10) -> DataFrame:

@@ -205,11 +205,13 @@ def unproject(x: Column, y: Column, rounds: int = 6) -> tuple[Column, Column]:
     rho = F.sqrt(x * x + dy * dy)
     q = (_C - rho * rho * _N * _N / (_A * _A)) / _N
     lon = _LON0 + F.degrees(F.atan2(x, dy)) / _N
-    phi = F.asin(q / 2)
-    for _ in range(rounds):
+    def step(phi, q):
         s = F.sin(phi)
         w = 1 - _E2 * s * s
-        phi = phi + w * w / (2 * F.cos(phi)) * (q / (1 - _E2) - s / w + F.log((1 - _E * s) / (1 + _E * s)) / (2 * _E))
+        return phi + w * w / (2 * F.cos(phi)) * (q / (1 - _E2) - s / w + F.log((1 - _E * s) / (1 + _E * s)) / (2 * _E))
+
+    # a fold over the rounds, so that the expression does not grow with them
+    phi = F.aggregate(F.array_repeat(q, rounds), F.asin(q / 2), step)
     return F.degrees(phi), lon
 
 

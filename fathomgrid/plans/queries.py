@@ -6,7 +6,9 @@ Names begin with the operators they apply. Floats are rounded to few digits on b
 from __future__ import annotations
 
 import hashlib
+import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +23,19 @@ from . import standins as I
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Queries that return dates; both sides give them as text.
+DATED = {"period_states", "missing_dates", "ingest_upsert", "ingest_failures", "ingest_to_do", "rows_by_date", "rows_by_hour"}
 
 
 def query(sql: str | None = None):
     """Register a function under its name, with its oracle."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        name = f.__name__
+        QUERIES[name] = (lambda spark, sf_dir: f(spark, sf_dir).withColumn("utc_date", F.col("utc_date").cast("string"))) if name in DATED else f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            text = re.sub(r"(?<![\w\"'])at(?![\w\"'(])", '"at"', sql)  # a keyword there
+            ORACLES[name] = f"SELECT * REPLACE (CAST(utc_date AS VARCHAR) AS utc_date) FROM ({text})" if name in DATED else text
         return f
 
     return put
@@ -64,13 +70,13 @@ def segment_rules(spark, sf_dir):
 _NUM = r"'\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*'"
 _PARSED = f"""
     SELECT *, CASE WHEN regexp_full_match(BaseDateTime, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') THEN try_strptime(BaseDateTime, '%Y-%m-%dT%H:%M:%S') END AS at,
-           {", ".join(f"CASE WHEN regexp_full_match({c}, {_NUM}) THEN try_cast({c} AS DOUBLE) END AS {n}" for c, n in (("LAT", "la"), ("LON", "lo"), ("SOG", "sog"), ("COG", "cog"), ("Heading", "hd"), ("Length", "len")))},
+           {", ".join(f"CASE WHEN regexp_full_match({c}, {_NUM}) THEN try_cast({c} AS DOUBLE) END AS {n}" for c, n in (("LAT", "la"), ("LON", "lo"), ("SOG", "sg"), ("COG", "cg"), ("Heading", "hd"), ("Length", "len")))},
            CASE WHEN regexp_full_match(trim(VesselType), '[0-9]+') THEN try_cast(trim(VesselType) AS INTEGER) END AS vt
     FROM ({I.RAW_DUCK})"""
 _LABEL = f"""
     SELECT *, CASE WHEN at IS NULL THEN 'invalid_timestamp' WHEN NOT coalesce(isfinite(la) AND isfinite(lo) AND la BETWEEN -90 AND 90 AND lo BETWEEN -180 AND 180, false) THEN 'invalid_coordinate'
         WHEN NOT (lo BETWEEN -122 AND -117 AND la BETWEEN 30 AND 36) THEN 'outside_extent' WHEN NOT coalesce(regexp_full_match(MMSI, '[1-9][0-9]{{8}}'), false) THEN 'invalid_mmsi'
-        WHEN NOT coalesce(sog = 102.3 OR (isfinite(sog) AND sog >= 0), false) THEN 'invalid_speed' WHEN VesselType IS NULL OR trim(VesselType) = '' THEN 'missing_type'
+        WHEN NOT coalesce(sg = 102.3 OR (isfinite(sg) AND sg >= 0), false) THEN 'invalid_speed' WHEN VesselType IS NULL OR trim(VesselType) = '' THEN 'missing_type'
         WHEN NOT regexp_full_match(trim(VesselType), '[0-9]+') THEN 'malformed_type' WHEN vt = 0 THEN 'unavailable_type' WHEN vt IS NULL OR vt NOT BETWEEN 1 AND 99 THEN 'malformed_type'
         WHEN vt NOT BETWEEN 60 AND 89 THEN 'noncommercial_type' END AS bad FROM ({_PARSED})"""
 _COLUMNS = "MMSI, BaseDateTime, LAT, LON, SOG, COG, Heading, VesselName, IMO, CallSign, VesselType, Status, Length, Width, Draft, Cargo, TransceiverClass"
@@ -86,7 +92,7 @@ def cleaning_removals(spark, sf_dir):
 
 
 @query(
-    f"SELECT mmsi, epoch_us(at) AS at_us, la AS latitude, lo AS longitude, CASE WHEN sog <> 102.3 THEN sog END AS sog_knots, CASE WHEN cog <> 360 AND cog BETWEEN 0 AND 360 THEN cog END AS cog_degrees, "
+    f"SELECT MMSI AS mmsi, epoch_us(at) AS at_us, la AS latitude, lo AS longitude, CASE WHEN sg <> 102.3 THEN sg END AS sog_knots, CASE WHEN cg <> 360 AND cg BETWEEN 0 AND 360 THEN cg END AS cog_degrees, "
     f"CASE WHEN hd <> 511 AND hd BETWEEN 0 AND 359 THEN hd END AS heading_degrees, CAST(vt AS SMALLINT) AS vessel_type_code, CASE WHEN vt < 70 THEN 'passenger' WHEN vt < 80 THEN 'cargo' ELSE 'tanker' END AS vessel_type_group, "
     f"CASE WHEN len >= 0 THEN len END AS length_m FROM ({_FINAL}) WHERE label = 'kept'"
 )
@@ -109,7 +115,7 @@ def cleaning_funnel(spark, sf_dir):
 
 
 @query(
-    f"SELECT count(*) FILTER (sog = 102.3) AS sog_sentinel, count(*) FILTER (cog = 360) AS cog_sentinel, count(*) FILTER (hd = 511) AS heading_sentinel, count(*) FILTER (cog <> 360 AND NOT cog BETWEEN 0 AND 360) AS cog_out_of_range, "
+    f"SELECT count(*) FILTER (sg = 102.3) AS sog_sentinel, count(*) FILTER (cg = 360) AS cog_sentinel, count(*) FILTER (hd = 511) AS heading_sentinel, count(*) FILTER (cg <> 360 AND NOT cg BETWEEN 0 AND 360) AS cog_out_of_range, "
     f"count(*) FILTER (hd <> 511 AND NOT hd BETWEEN 0 AND 359) AS heading_out_of_range, count(*) FILTER (len IS NULL OR len < 0) AS length_unavailable FROM ({_FINAL}) WHERE label = 'kept'"
 )
 def cleaning_normalisations(spark, sf_dir):
@@ -121,9 +127,9 @@ _COORD = "coalesce(isfinite(la) AND isfinite(lo) AND la BETWEEN -90 AND 90 AND l
 
 
 @query(f"""SELECT count(*) AS rows, count(*) FILTER (at IS NULL) AS invalid_timestamp, count(*) FILTER (NOT {_COORD}) AS invalid_coordinate, count(*) FILTER ({_COORD} AND NOT (lo BETWEEN -122 AND -117 AND la BETWEEN 30 AND 36)) AS outside_extent,
-    count(*) FILTER (NOT regexp_full_match(MMSI, '[1-9][0-9]{{8}}')) AS invalid_mmsi, count(*) FILTER (NOT coalesce(sog = 102.3 OR (isfinite(sog) AND sog >= 0), false)) AS invalid_speed,
+    count(*) FILTER (NOT regexp_full_match(MMSI, '[1-9][0-9]{{8}}')) AS invalid_mmsi, count(*) FILTER (NOT coalesce(sg = 102.3 OR (isfinite(sg) AND sg >= 0), false)) AS invalid_speed,
     count(*) FILTER (t = 'missing') AS missing_type, count(*) FILTER (t = 'malformed') AS malformed_type, count(*) FILTER (t = 'unavailable') AS unavailable_type, count(*) FILTER (t = 'noncommercial') AS noncommercial_type,
-    count(*) FILTER (t = 'commercial') AS commercial_type, count(*) FILTER (sog = 102.3) AS sog_sentinel, count(*) FILTER (cog = 360) AS cog_sentinel, count(*) FILTER (hd = 511) AS heading_sentinel
+    count(*) FILTER (t = 'commercial') AS commercial_type, count(*) FILTER (sg = 102.3) AS sog_sentinel, count(*) FILTER (cg = 360) AS cog_sentinel, count(*) FILTER (hd = 511) AS heading_sentinel
     FROM (SELECT *, CASE WHEN trim(VesselType) = '' THEN 'missing' WHEN NOT regexp_full_match(trim(VesselType), '[0-9]+') THEN 'malformed' WHEN vt = 0 THEN 'unavailable' WHEN vt NOT BETWEEN 1 AND 99 THEN 'malformed'
           WHEN vt NOT BETWEEN 60 AND 89 THEN 'noncommercial' ELSE 'commercial' END AS t FROM ({_PARSED}))""")
 def raw_profile(spark, sf_dir):
@@ -155,10 +161,10 @@ def duplicate_profile(spark, sf_dir):
 # --- period ------------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT seq, epoch_us(next_at) AS next_us, next_lat, next_grp, round(elapsed_s, 4) AS elapsed_s FROM ({I.PAIRS_DUCK})")
+@query(f"SELECT seq, epoch_us(next_at) AS next_us, next_lat, next_grp, epoch_us(next_at) - epoch_us(at) AS elapsed_us FROM ({I.PAIRS_DUCK})")
 def successor_pairs(spark, sf_dir):
     """WIN-4, WIN-7, STR-4, SCL-6: every row with its successor, across midnight."""
-    return rounded(pairs(spark, sf_dir).select("seq", F.unix_micros("next_at").alias("next_us"), "next_lat", "next_grp", "elapsed_s"))
+    return pairs(spark, sf_dir).select("seq", F.unix_micros("next_at").alias("next_us"), "next_lat", "next_grp", (F.unix_micros("next_at") - F.unix_micros("at")).alias("elapsed_us"))
 
 
 @query(f"""SELECT count(*) AS rows, count(n) AS pairs, count(d) AS daily_pairs, count(*) FILTER (n IS NOT NULL AND d IS NULL) AS lost_pairs, count(DISTINCT CASE WHEN n IS NOT NULL AND d IS NULL THEN vessel END) AS vessels_crossing
@@ -403,8 +409,6 @@ def density_transfer(spark, sf_dir):
 @query(f"SELECT cell_id, round(sum({_COMMON} * s.density) / 1e6, 6) AS abundance, round(sum({_COMMON}) / 1e6, 6) AS covered_km2, round(sum({_COMMON} * s.density) / sum({_COMMON}), 6) AS density FROM {_SRC.format(part='part')} s JOIN ({I.CELLS_DUCK}) c ON {_COMMON} > 0 GROUP BY 1")
 def density_transfer_polygons(spark, sf_dir):
     """JN-5, SCL-25, SCL-28: the same through WKB polygons and the clipping function."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def boxes(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
         return pd.Series([G.wkb_of([G.box(*b)]) for b in zip(x0, y0, x1, y1, strict=True)])
@@ -687,8 +691,6 @@ def display_overlap_class(spark, sf_dir):
 @query(None)
 def geojson_features(spark, sf_dir):
     """SNK-4: the cells as GeoJSON features."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def boxes(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
         return pd.Series([G.wkb_of([G.box(*b)]) for b in zip(x0, y0, x1, y1, strict=True)])

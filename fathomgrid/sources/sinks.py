@@ -8,6 +8,7 @@ import shutil
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +47,6 @@ def geo_metadata(path: str) -> dict:
 
 def features(rows: DataFrame, geometry: str, id_col: str, properties: list[str]) -> DataFrame:
     """SNK-4: one JSON feature a row, rings oriented as RFC 7946 wants, on the executors."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def coordinates(g: pd.Series) -> pd.Series:
         out = []
