@@ -78,6 +78,8 @@ class PieceModel:
             raise ValueError("a piece has a space mark inside")
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == self.BYTE}
         self.end_id = self.pieces.index("</s>")
+        self.ranks = {p: -self.scores[i] for p, i in self.ids.items()}
+        self.surfaces = [p.replace(SPACE, " ") if k == self.NORMAL else None for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.chars = {p for p in self.ids if len(p) == 1}
         self.bits = max(map(len, self.ids))
         self.automaton = ahocorasick.Automaton()
@@ -89,6 +91,8 @@ class PieceModel:
 
     def merged(self, text: str) -> list[str]:
         """Merging as it is defined: the adjacent pair of the best score first, the leftmost of equals."""
+        if len(text) <= 24:
+            return self._merged_short(list(text))
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str]] = []
@@ -113,10 +117,28 @@ class PieceModel:
             offer(i)
         return [p for p in parts if p is not None]
 
+    def _merged_short(self, parts: list[str]) -> list[str]:
+        """The same for few parts, by looking at all pairs each time."""
+        rank = self.ranks.get
+        ranks = [rank(a + b) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while True:
+            best = None
+            for k, r in enumerate(ranks):
+                if r is not None and (best is None or r < best):
+                    best, at = r, k
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1])
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at])
+
     def compatible(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 400_000:
+            if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = a + b not in self.ids and self.merged(a + b) == [a, b]
         return known
@@ -143,9 +165,22 @@ class PieceModel:
         """Pieces of a run of characters that all are pieces, with at most one space mark, at its start."""
         if len(word) == 1 or word in self.ids and self.merged_whole(word):
             return [word]
+        # the automaton's longest matches from the left, all at once; where a pair fails, the search goes on from there
+        greedy = [p for _, p in self.automaton.iter_long(word)]
+        if not self.merged_whole(greedy[0]):
+            good = 0
+        else:
+            known, good = self.pairs.get, 1
+            for pair in zip(greedy, greedy[1:]):  # noqa: B905
+                ok = known(pair)
+                if not (self.compatible(*pair) if ok is None else ok):
+                    break
+                good += 1
+            else:
+                return greedy
+        out = greedy[:good]
+        at, piece = sum(map(len, out)), greedy[good]
         failed = 0  # bit i: no way leads on from position i
-        out: list[str] = []
-        at, piece = 0, self.longest(word, 0)
         n = len(word)
         while True:
             end = at + len(piece)
@@ -175,6 +210,9 @@ class PieceModel:
         word = run.lstrip(SPACE)
         marks = len(run) - len(word)
         ids: list[int] = []
+        if marks <= 1 and self.chars.issuperset(word):
+            ids_of = self.ids
+            return [ids_of[p] for p in self.encoded_word(run)] if run else ids
         known, parts = "", []
         for c in word:
             if c in self.chars:
@@ -226,7 +264,7 @@ class PieceModel:
 class Encoder:
     """Whole texts through a model, with what recurring words give kept: at most ``most`` words, then begun anew."""
 
-    def __init__(self, model: PieceModel, most: int = 300_000):
+    def __init__(self, model: PieceModel, most: int = 600_000):
         self.model, self.most = model, most
         self.clear()
 
@@ -247,6 +285,9 @@ class Encoder:
     def _surface(self, ids: list[int]) -> str:
         # decoded() drops the first leading mark of a text, not of a word; an ended id in front keeps it
         m = self.model
+        plain = [m.surfaces[i] for i in ids]
+        if None not in plain:
+            return "".join(plain)
         head = m.pieces[ids[0]] if ids and m.kinds[ids[0]] == m.NORMAL else ""
         return (" " if head.startswith(SPACE) else "") + m.decoded(ids)
 

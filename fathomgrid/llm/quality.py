@@ -38,7 +38,7 @@ _CLASSES = np.stack(
 ).T
 #: Rates that a text is taken to have before any of its bytes are seen, worth SEEN bytes: short texts are near them.
 _USUAL = np.array([0.02, 0.001, 0.001, 0.001, 0.001, 0.02, 0.01, 0.15, 0.03, 0.01])
-SEEN = 40.0
+SEEN = 300.0
 FEATURES = ["upper", "digit", "symbol", "bang", "bar", "punct", "line", "space", "wide", "control", "word_length", "repeat", "distinct", "top_word", "entropy", "odd_words"]
 
 

@@ -75,10 +75,10 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles recovered from raw transcripts of all conversations; learned on those of crc32(conv_id) mod 5 other than 0."""
     lines = written(_transcripts(spark, sf_dir))
-    learned = F.pmod(F.crc32(F.coalesce(F.col("conv").cast("string"), F.lit(""))), F.lit(5)) != 0
+    learned = F.pmod(F.crc32("conv"), F.lit(5)) != 0
     model = transcripts.fit(lines.where(learned))
     found = transcripts.turns_of(transcripts.parse(lines, model))
-    return found.select(F.col("conv").cast("long").alias("conv_id"), (F.col("chunk") * 64 + F.col("turn") - 1).alias("turn_no"), "role", "text", "rendered")
+    return found.select(F.col("conv").try_cast("long").alias("conv_id"), (F.col("chunk") * 64 + F.col("turn") - 1).alias("turn_no"), "role", "text", "rendered")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,9 +108,13 @@ def decode(model: Model, symbols: np.ndarray, before: int = -1, end: int = -1) -
 
 
 def lines_of(turns: DataFrame, conv: str, order: list[str], text: str, keep: list[str], chunk_col: Column) -> DataFrame:
-    """(conv, chunk, pos, line, after_blank, keep...): raw lines, blank ones left out but noted on the next."""
+    """(conv, chunk, turn_pos, line_no, line, after_blank, keep...): raw lines, blank ones left out but noted on the next.
+
+    Null and blank texts have no lines. A row without a conversation is one by itself, named by its content.
+    """
+    own = F.concat(F.lit("?"), F.xxhash64(F.col(text), *order).cast("string"))
     parts = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n")
-    rows = turns.select(F.col(conv).alias("conv"), chunk_col.alias("chunk"), F.array(*[F.col(c).cast("long") for c in order]).alias("turn_pos"), *keep, parts.alias("parts"))
+    rows = turns.select(F.coalesce(F.col(conv).cast("string"), own).alias("conv"), chunk_col.alias("chunk"), F.array(*[F.col(c).cast("long") for c in order]).alias("turn_pos"), *keep, parts.alias("parts"))
     one = rows.select("conv", "chunk", "turn_pos", *keep, F.posexplode("parts").alias("line_no", "line"), F.col("parts"))
     blank = (F.col("line_no") > 0) & (F.trim(F.element_at("parts", F.greatest(F.col("line_no"), F.lit(1)))) == "")
     return one.select("conv", "chunk", "turn_pos", *keep, "line_no", "line", F.coalesce(blank, F.lit(False)).alias("after_blank")).where(F.trim("line") != "")
@@ -143,10 +147,12 @@ def fit(lines: DataFrame, smooth: float = 0.5) -> Model:
 
 
 def chunks_of(lines: DataFrame) -> DataFrame:
-    """(conv, chunk, lines) with a chunk's lines in order: by turn, line and, for repeated turns, wording. A chunk is
-    bounded by the turns that one number of ``chunk`` covers."""
+    """(conv, chunk, lines) with a chunk's lines in order: by turn, line and, for several rows of a turn, wording.
+
+    Repeated rows count once. A chunk is bounded by the turns that one number of ``chunk`` covers.
+    """
     item = F.struct("turn_pos", "line_no", "line", "after_blank")
-    keyed = lines.select(F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv"), F.col("chunk").cast("long").alias("chunk"), item.alias("item"))
+    keyed = lines.select(F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv"), F.col("chunk").cast("long").alias("chunk"), item.alias("item")).distinct()
     return keyed.groupBy("conv", "chunk").agg(F.array_sort(F.collect_list("item")).alias("lines"))
 
 
