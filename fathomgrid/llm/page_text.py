@@ -28,11 +28,12 @@ from .common import written
 SKIPPED = frozenset("head script style noscript template svg iframe object select button textarea option canvas math audio video map".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
+_ARTICLE = 1000  # depth in articles counts for more than depth in main elements
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = (BLOCKS | SKIPPED) - frozenset("hr p".split())
+CONTAINERS = (BLOCKS | SKIPPED) - frozenset(["hr"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 # Words in a class, id or role that mark what is not main text.
@@ -122,6 +123,8 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
         if name not in BLOCKS and name not in SKIPPED and name != "title":
             continue
         flush()
+        if stack and stack[-1][0] == "p" and (kind > 0 or name != "p"):
+            stack.pop()  # a paragraph ends where any block begins or an outer one ends
         path, off, main = stack[-1][1:] if stack else ("", 0, 0)
         if kind < 0:
             tags.append(f"{path}|/{name}")
@@ -140,7 +143,7 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
         away = name in SKIPPED or name == "title" or name in BOILERPLATE or hidden or (name not in ("body", "html", *MAIN) and bool(marks) and HINTS.search(marks) is not None)
         if name in MAIN and marks and re.search(r"comment|reply|related|teaser|promo", marks, re.I):
             away = True
-        stack.append((name, f"{path}/{label}", off + away, main + (name in MAIN or a.get("role") == "main")))
+        stack.append((name, f"{path}/{label}", off + away, main + (_ARTICLE if name == "article" else name == "main" or a.get("role") == "main")))
     flush()
     return tags, blocks
 
@@ -220,13 +223,14 @@ def extracted(page: str, root: frozenset[int] = frozenset(), valid: frozenset[in
 
     A slot is what lies between two of the template's tags (between any two tags where there is no template). Slots
     within containers of menus, notices and the like are away, and so are slots that are mostly links and text that
-    the root class holds, as it is in every page once. If an article or main element holds text, the main text is what
-    it holds, whatever its slots; else what all remaining slots hold.
+    the root class holds, as it is in every page once. If articles hold text, the main text is what they hold, whatever
+    its slots; else what a main element holds; else what all remaining slots hold.
     """
     tags, blocks = parsed(page)
     own = [b for b in blocks if not b.off]
-    if any(b.main for b in own):
-        return [b.text for b in own if b.main]
+    for least in (_ARTICLE, 1):
+        if any(b.main >= least for b in own):
+            return [b.text for b in own if b.main >= least]
     template = root | valid
     bounds = [_as_long(_hash(t)) in template for t in tags] if template else [True] * len(tags)
     slot_after = [0]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern of pre-tokens that belongs to the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF_CHARS = 2048
+LEAF_CHARS = 512
 
 _ENCODINGS: dict = {}
 
