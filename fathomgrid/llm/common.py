@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -177,6 +178,15 @@ class TextBlock:
         return mixed(out + length.astype(np.uint64) * _TURN[60]), bounds
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system, so that a reused worker does not hold on to it in later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def small_blocks(batches, text: str, most: int = 1 << 20):
     """Cut Arrow batches to about ``most`` bytes of text each; a longer text is a block by itself, never cut."""
     for batch in batches:
@@ -188,3 +198,4 @@ def small_blocks(batches, text: str, most: int = 1 << 20):
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
+    trimmed()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, components, forget, mixed, partitions, scratch_dir, small_blocks, written
+from .common import TextBlock, components, forget, mixed, partitions, scratch_dir, small_blocks, trimmed, written
 
 K_WORDS = 5
 COLD = 12  # signatures of more sets than this are hot
@@ -232,7 +232,9 @@ def _matched(table: pa.Table) -> pa.Table:
         "mb": np.r_[pairs[:, 3], none],
         "times": np.r_[times, none],
     }
-    return pa.table({c: pa.array(v.astype(np.int32) if c == "kind" else v.astype(np.int64)) for c, v in columns.items()})
+    out = pa.table({c: pa.array(v.astype(np.int32) if c == "kind" else v.astype(np.int64)) for c, v in columns.items()})
+    trimmed()
+    return out
 
 
 def _likely(found: DataFrame, hot: DataFrame | None) -> DataFrame:

@@ -138,7 +138,7 @@ class PieceModel:
     def compatible(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = a + b not in self.ids and self.merged(a + b) == [a, b]
         return known
@@ -262,65 +262,60 @@ class PieceModel:
 
 
 class Encoder:
-    """Whole texts through a model, with what recurring words give kept: at most ``most`` words, then begun anew."""
+    """Whole texts through a model. What a word gives is kept, for at most ``most`` words, then begun anew.
 
-    def __init__(self, model: PieceModel, most: int = 600_000):
-        self.model, self.most = model, most
-        self.clear()
+    A word's ids are decoded when it is first met. Where that gives the word back, as it does for all but odd ones, its
+    ids alone are kept, and a text of such words decodes to what they spell; other texts are decoded id by id.
+    """
 
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids: list[str] = []
-        self.counts: list[int] = []
-        self.texts: list[str] = []
+    def __init__(self, model: PieceModel, most: int = 400_000):
+        self.model, self.most = model, most
+        self.known: dict[str, str | tuple[str]] = {}
 
-    def _miss(self, word: str) -> int:
+    def _miss(self, word: str) -> str | tuple[str]:
         ids = self.model.encoded(word)
-        self.ids.append("".join(f"{i} " for i in ids))
-        self.counts.append(len(ids))
-        self.texts.append(self._surface(ids))
-        k = self.at[word] = len(self.counts) - 1
-        return k
+        text = "".join([f"{i} " for i in ids])
+        value = self.known[word] = text if self._surface(ids) == word.replace(SPACE, " ") else (text,)
+        return value
 
     def _surface(self, ids: list[int]) -> str:
-        # decoded() drops the first leading mark of a text, not of a word; an ended id in front keeps it
+        """What ids decode to within a text, where a leading mark is a space."""
         m = self.model
         plain = [m.surfaces[i] for i in ids]
         if None not in plain:
             return "".join(plain)
-        head = m.pieces[ids[0]] if ids and m.kinds[ids[0]] == m.NORMAL else ""
+        head = m.pieces[ids[0]] if m.kinds[ids[0]] == m.NORMAL else ""
         return (" " if head.startswith(SPACE) else "") + m.decoded(ids)
 
     def text(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids as text, decoded text) with the end id last."""
+        end = str(self.model.end_id)
         if not text:
-            return 1, str(self.model.end_id), ""
-        if len(self.at) > self.most:
-            self.clear()
-        get, miss = self.at.get, self._miss
-        codes: list[int] = []
+            return 1, end, ""
+        if len(self.known) > self.most:
+            self.known.clear()
+        get, miss = self.known.get, self._miss
+        words: list[str] = []
         for row, line in enumerate(text.split("\n")):
             if row:
-                line_codes = [get("\n", -1)]
-                if line_codes[0] < 0:
-                    line_codes = [miss("\n")]
-                codes += line_codes
+                words.append("\n")
             if SPACE in line or "  " in line or line[-1:] == " " or line[:1] == " ":
-                words = _runs((SPACE if not row else "") + line.replace(" ", SPACE))
-            else:
-                words = line.replace(" ", " " + SPACE).split(" ")
+                words += _runs((SPACE if not row else "") + line.replace(" ", SPACE))
+            elif line or not row:
+                new = line.replace(" ", " " + SPACE).split(" ")
                 if not row:
-                    words[0] = SPACE + words[0]
-                elif not line:
-                    continue
-            found = list(map(get, words))
-            if None in found:
-                found = [miss(w) if (k := get(w)) is None else k for w in words]
-            codes += found
-        n = sum(map(self.counts.__getitem__, codes)) + 1
-        ids = "".join(map(self.ids.__getitem__, codes)) + str(self.model.end_id)
-        decoded = "".join(map(self.texts.__getitem__, codes))
-        return n, ids, decoded[1:] if decoded[:1] == " " else decoded
+                    new[0] = SPACE + new[0]
+                words += new
+        found = list(map(get, words))
+        if None in found:
+            found = [miss(w) if (k := get(w)) is None else k for w in words]
+        try:
+            ids = "".join(found) + end
+        except TypeError:
+            ids = "".join([x if isinstance(x, str) else x[0] for x in found]) + end
+            return ids.count(" ") + 1, ids, self.model.decoded([int(i) for i in ids.split(" ")])
+        decoded = "".join(words).replace(SPACE, " ")
+        return ids.count(" ") + 1, ids, decoded[1:] if decoded[:1] == " " else decoded
 
 
 def _runs(line: str) -> list[str]:
