@@ -14,11 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ready(spark: SparkSession) -> None:
-    """Let the Python workers import this package wherever the driver has it from."""
+    """Let the Python workers import this package wherever the driver has it from, and bound what a batch of whole texts
+    holds: a fifth of the rows that Arrow batches have unless the session says otherwise."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

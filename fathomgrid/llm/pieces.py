@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 SPACE = "▁"
 
 
@@ -138,7 +140,7 @@ class PieceModel:
     def compatible(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 200_000:
+            if len(self.pairs) > 150_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = a + b not in self.ids and self.merged(a + b) == [a, b]
         return known
@@ -268,10 +270,16 @@ class Encoder:
     ids alone are kept, and a text of such words decodes to what they spell; other texts are decoded id by id.
     """
 
-    def __init__(self, model: PieceModel, most: int = 400_000):
+    def __init__(self, model: PieceModel, most: int = 300_000):
         self.model, self.most = model, most
         self.known: dict[str, str | tuple[str]] = {}
 
+    def released(self) -> None:
+        """Keep nothing between tasks: a worker lives on in stages that need the memory."""
+        self.known.clear()
+        self.model.pairs.clear()
+        trimmed()
+
     def _miss(self, word: str) -> str | tuple[str]:
         ids = self.model.encoded(word)
         text = "".join([f"{i} " for i in ids])
@@ -359,6 +367,7 @@ def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 b.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
             new = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + new, names=[*carried, "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.released()
 
     schema = some.select(*carried).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     out = some.mapInArrow(digest, schema)
@@ -375,6 +384,7 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             rows = [e.text(t.as_py() or "") for t in batch.column("text")]
             ids = pa.array([[int(i) for i in r[1].split(" ")] for r in rows], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), ids, pa.array([r[2] for r in rows], pa.string())], names=["id", "ids", "decoded"])
+        e.released()
 
     out = some.mapInArrow(encode, f"id {some.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
