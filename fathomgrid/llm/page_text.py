@@ -28,7 +28,7 @@ from .common import written
 SKIPPED = frozenset("head script style noscript template svg iframe object select button textarea option canvas math audio video map".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
-_ARTICLE = 1000  # depth in articles counts for more than depth in main elements
+_EVIDENCE = 4  # text in a main element, or in a page's only article, weighs so many times other text
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
@@ -82,12 +82,13 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class Block:
-    """A text block: its text, the path of containers, and how far it is main text."""
+    """A text block: its text, the path of containers, how many of them are away, and its region: the number of the
+    outermost article, -1 in a main element outside articles, 0 in neither."""
 
-    __slots__ = ("after", "linked", "main", "off", "path", "text")
+    __slots__ = ("after", "linked", "off", "path", "region", "text")
 
-    def __init__(self, path, text, off, main, after, linked):
-        self.path, self.text, self.off, self.main = path, text, off, main
+    def __init__(self, path, text, off, region, after, linked):
+        self.path, self.text, self.off, self.region = path, text, off, region
         self.after, self.linked = after, linked  # tags before it; its characters within links
 
 
@@ -96,16 +97,16 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
     a closing tag closes the nearest open container of its name, if any; what stays open ends with the page."""
     tags: list[str] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, int, int]] = []  # name, path, off, main
+    stack: list[tuple[str, str, int, int]] = []  # name, path, off, region
     parts: list[str] = []
-    linked = link = 0
+    linked = link = articles = 0
 
     def flush():
         nonlocal linked
         text = BLANK.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            path, off, main = stack[-1][1:] if stack else ("", 0, 0)
-            blocks.append(Block(path, text, off, main, len(tags), min(linked, len(text))))
+            path, off, region = stack[-1][1:] if stack else ("", 0, 0)
+            blocks.append(Block(path, text, off, region, len(tags), min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -125,7 +126,7 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
         flush()
         if stack and stack[-1][0] == "p" and (kind > 0 or name != "p"):
             stack.pop()  # a paragraph ends where any block begins or an outer one ends
-        path, off, main = stack[-1][1:] if stack else ("", 0, 0)
+        path, off, region = stack[-1][1:] if stack else ("", 0, 0)
         if kind < 0:
             tags.append(f"{path}|/{name}")
             for k in range(len(stack) - 1, -1, -1):
@@ -143,7 +144,12 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
         away = name in SKIPPED or name == "title" or name in BOILERPLATE or hidden or (name not in ("body", "html", *MAIN) and bool(marks) and HINTS.search(marks) is not None)
         if name in MAIN and marks and re.search(r"comment|reply|related|teaser|promo", marks, re.I):
             away = True
-        stack.append((name, f"{path}/{label}", off + away, main + (_ARTICLE if name == "article" else name == "main" or a.get("role") == "main")))
+        if name == "article" and region <= 0:
+            articles += 1
+            region = articles
+        elif not region and (name == "main" or a.get("role") == "main"):
+            region = -1
+        stack.append((name, f"{path}/{label}", off + away, region))
     flush()
     return tags, blocks
 
@@ -222,15 +228,17 @@ def extracted(page: str, root: frozenset[int] = frozenset(), valid: frozenset[in
     """The blocks of a page's main text, given its host's template: tokens of the root class and of the other valid ones.
 
     A slot is what lies between two of the template's tags (between any two tags where there is no template). Slots
-    within containers of menus, notices and the like are away, and so are slots that are mostly links and text that
-    the root class holds, as it is in every page once. If articles hold text, the main text is what they hold, whatever
-    its slots; else what a main element holds; else what all remaining slots hold.
+    within containers of menus, notices and the like are away; so is text that the root class holds, as it is in every
+    page once, and so are slots that are mostly links, unless an article or a main element holds them. The remaining
+    slots are ranked by where they are: each article, the main element outside articles, and the rest of the page weigh
+    as much as their text is long, main elements and a page's only article ``_EVIDENCE`` times that. The main text is
+    what the heaviest of them holds, or all articles if it is an article. If nothing but the template's text is left,
+    the articles and main elements are taken to be copies on every page, and their text stays.
     """
     tags, blocks = parsed(page)
-    own = [b for b in blocks if not b.off]
-    for least in (_ARTICLE, 1):
-        if any(b.main >= least for b in own):
-            return [b.text for b in own if b.main >= least]
+    some = [b for b in blocks if not b.off]
+    own = [b for b in some if _as_long(_hash(f"{b.path}\n{b.text}")) not in root] if root else some
+    own = own or [b for b in some if b.region]
     template = root | valid
     bounds = [_as_long(_hash(t)) in template for t in tags] if template else [True] * len(tags)
     slot_after = [0]
@@ -242,8 +250,13 @@ def extracted(page: str, root: frozenset[int] = frozenset(), valid: frozenset[in
         k = slot_after[b.after]
         length[k] = length.get(k, 0) + len(b.text)
         linked[k] = linked.get(k, 0) + b.linked
-    own = [b for b in own if linked[slot_after[b.after]] <= 0.6 * length[slot_after[b.after]]]
-    return [b.text for b in own if _as_long(_hash(f"{b.path}\n{b.text}")) not in root]
+    own = [b for b in own if b.region or linked[slot_after[b.after]] <= 0.6 * length[slot_after[b.after]]]
+    weight: dict[int, int] = {}
+    for b in own:
+        weight[b.region] = weight.get(b.region, 0) + len(b.text)
+    single = sum(r > 0 for r in weight) == 1
+    best = max(weight, key=lambda r: (weight[r] * (_EVIDENCE if r < 0 or r and single else 1), r), default=0)
+    return [b.text for b in own if b.region == best or b.region > 0 and best > 0]
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many_hosts: int = 20_000, **options) -> DataFrame:
