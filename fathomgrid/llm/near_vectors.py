@@ -3,11 +3,12 @@
 Vectors that are identical within a label are one node. Lists of nearest neighbours start from windows over sorted
 hyperplane signatures; then, round by round, every node's neighbours are introduced to each other (neighbours of
 neighbours are likely neighbours) and lists keep the nearest. A list whose every entry is above the threshold is
-saturated: it is enlarged until it holds all of its component, whose members are compared in blocks of bounded size.
-Recall is audited against brute force on a bounded set of nodes, and rounds go on while it is too low. Edges at or
-above the threshold are kept.
+saturated: it stands for all of its component, whose members are compared in blocks of bounded size, and it is
+enlarged by the nearest nodes of other components. To find those, windows go on beyond the run of a component, however
+long it is. Rounds go on until none joins components. Recall is audited against brute force on a bounded set of nodes,
+pooled and a node, and further rounds follow while it is too low. Edges at or above the threshold are kept.
 
-The lists bound what a round moves: each node receives its neighbours' vectors, ``list_size`` of them.
+The lists bound what a round moves: each node receives its neighbours' vectors, twice ``list_size`` of them at most.
 """
 
 from __future__ import annotations
@@ -111,18 +112,87 @@ def _windows(ordered: DataFrame, width: int, keep: int) -> DataFrame:
     return ordered.mapInArrow(run, "node long, other long, sim double")
 
 
-def _lists(pairs: DataFrame, size: int) -> DataFrame:
-    """(node, other, sim): the nearest ``size`` of each node, ties by the other's number."""
+def _beyond(ordered: DataFrame, width: int, keep: int) -> DataFrame:
+    """(node, other, sim) both ways, for nodes of components: of the ``width`` nodes before and after the run of the
+    node's component in an order, the ``keep`` nearest that are of other components."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            if not len(new):
+                continue
+            table = pa.concat_tables([last, new]).combine_chunks() if last is not None else new
+            part, t, node, comp = (np.asarray(table.column(c)) for c in ("part", "t", "node", "component"))
+            grouped = np.asarray(table.column("grouped"))
+            n = len(table)
+            ends = np.flatnonzero(np.r_[(part[1:] != part[:-1]) | (t[1:] != t[:-1]), True]) + 1
+            starts = np.r_[0, ends[:-1]]
+            cut = np.flatnonzero(np.r_[True, (comp[1:] != comp[:-1]) | (part[1:] != part[:-1]) | (t[1:] != t[:-1])])
+            # the run that the batch ends in, and what lies before it, are seen again with the next batch
+            last = table.slice(max(0, int(cut[-1]) - width))
+            for a, b in zip(starts, ends, strict=True):
+                p = a + np.flatnonzero(grouped[a:b])
+                if not len(p):
+                    continue
+                x = _matrix(table.column("vec").slice(a, b - a))
+                r = np.searchsorted(cut, p, "right") - 1
+                first, stop = cut[r], np.r_[cut[1:], n][r]
+                best = np.full((len(p), 2 * width), -2.0)
+                who = np.zeros((len(p), 2 * width), np.int64)
+                for d in range(width):
+                    for k, q in ((d, first - 1 - d), (width + d, stop + d)):
+                        ok = (q >= a) & (q < b)
+                        ok[ok] = comp[q[ok]] != comp[p[ok]]
+                        best[ok, k] = (x[p[ok] - a] * x[q[ok] - a]).sum(1)
+                        who[ok, k] = node[q[ok]]
+                k = min(keep, 2 * width)
+                top = np.argpartition(-best, k - 1, axis=1)[:, :k]
+                i = np.repeat(np.arange(len(p)), k)
+                sim, other = best[i, top.ravel()], who[i, top.ravel()]
+                good = sim > -1.5
+                one, two, sim = node[p][i][good], other[good], sim[good]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[one, two]), pa.array(np.r_[two, one]), pa.array(np.r_[sim, sim])], names=["node", "other", "sim"])
+
+    return ordered.mapInArrow(run, "node long, other long, sim double")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, slack: float = 1e-6) -> DataFrame:
+    """Edges (a, b), a < b, of pairs whose similarity in single precision is known; where that is within ``slack`` of the
+    threshold, the similarity in double precision decides."""
+    some = pairs.where(F.col("sim") >= threshold - slack).groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.max("sim").alias("sim"))
+    close = some.where(F.col("sim") < threshold + slack)
+    both = close.join(nodes.select(F.col("node").alias("a"), F.col("vec").alias("v")), "a").join(nodes.select(F.col("node").alias("b"), F.col("vec").alias("w")), "b")
+
+    def run(batches):
+        for batch in batches:
+            v, w = (batch.column(c).to_pylist() for c in ("v", "w"))
+            good = [float((_unit(np.array([x], float)) @ _unit(np.array([y], float)).T)[0, 0]) >= threshold for x, y in zip(v, w, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good, pa.bool_())), batch.column("b").filter(pa.array(good, pa.bool_()))], names=["a", "b"])
+
+    return some.where(F.col("sim") >= threshold + slack).select("a", "b").unionByName(both.select("a", "b", "v", "w").mapInArrow(run, "a long, b long"))
+
+
+def _lists(pairs: DataFrame, size: int, groups: DataFrame | None = None) -> DataFrame:
+    """(node, other, sim): the nearest ``size`` of each node, ties by the other's number; given components, also the
+    nearest ``size`` of other components, and whether an entry is of another one: foreign."""
     best = pairs.groupBy("node", "other").agg(F.max("sim").alias("sim"))
-    w = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
+    foreign = F.lit(True)
+    if groups is not None:
+        mine = groups.select("node", F.col("component").alias("c1"))
+        best = best.join(mine, "node", "left").join(mine.select(F.col("node").alias("other"), F.col("c1").alias("c2")), "other", "left")
+        foreign = F.coalesce("c1", "node") != F.coalesce("c2", "other")
+    best = best.select("node", "other", "sim", foreign.alias("foreign"))
+    w = Window.partitionBy("node", "foreign").orderBy(F.desc("sim"), "other")
     return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size).drop("r")
 
 
-def _introduced(lists: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
+def _introduced(lists: DataFrame, nodes: DataFrame, threshold: float, size: int, groups: DataFrame | None = None) -> DataFrame:
     """Neighbours of each node compared with each other: (node, other, sim) both ways, of those that improve a list
-    or reach the threshold."""
-    worst = lists.groupBy("node").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n")).select("node", F.when(F.col("n") < size, -1.0).otherwise(F.col("low")).alias("low"))
-    other = nodes.join(worst, "node", "left").select(F.col("node").alias("other"), "vec", F.coalesce("low", F.lit(-1.0)).alias("low"))
+    or reach the threshold; given components, of nodes of different ones."""
+    placed = nodes.withColumn("component", F.col("node")) if groups is None else nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    worst = lists.where("foreign").groupBy("node").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n")).select("node", F.when(F.col("n") < size, -1.0).otherwise(F.col("low")).alias("low"))
+    other = placed.join(worst, "node", "left").select(F.col("node").alias("other"), "vec", "component", F.coalesce("low", F.lit(-1.0)).alias("low"))
     meet = lists.select("node", "other").join(other, "other").repartition(partitions(lists), "node").sortWithinPartitions("node")
 
     def run(batches):
@@ -141,7 +211,7 @@ def _introduced(lists: DataFrame, nodes: DataFrame, threshold: float, size: int)
             if not len(table):
                 continue
             table = table.combine_chunks()
-            node, other, low = (np.asarray(table.column(c)) for c in ("node", "other", "low"))
+            node, other, low, component = (np.asarray(table.column(c)) for c in ("node", "other", "low", "component"))
             cut = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             sizes = np.diff(np.r_[cut, len(node)])
             lengths = pc.list_value_length(table.column("vec")).combine_chunks().to_numpy(zero_copy_only=False)
@@ -153,10 +223,10 @@ def _introduced(lists: DataFrame, nodes: DataFrame, threshold: float, size: int)
                 sims = x @ x.transpose(0, 2, 1)
                 i, j = np.nonzero(~np.eye(k, dtype=bool))
                 s = sims[:, i, j]
-                good = (s > low[at][:, i]) | (s >= threshold)
+                good = ((s > low[at][:, i]) | (s >= threshold)) & (component[at][:, i] != component[at][:, j])
                 yield pa.RecordBatch.from_arrays([pa.array(other[at][:, i][good]), pa.array(other[at][:, j][good]), pa.array(s[good])], names=["node", "other", "sim"])
 
-    return meet.select("node", "other", "vec", "low").mapInArrow(run, "node long, other long, sim double")
+    return meet.select("node", "other", "vec", "low", "component").mapInArrow(run, "node long, other long, sim double")
 
 
 def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -203,11 +273,12 @@ def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return dealt.mapInArrow(run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int) -> tuple[int, int]:
-    """(links found, links there are) of ``sample`` nodes at most, against all nodes, in blocks."""
+def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int) -> float:
+    """The share of links found of ``sample`` nodes at most, against all nodes, in blocks: pooled, or the mean of the
+    nodes' shares if that is less; 1 if there is no link."""
     picked = nodes.orderBy(F.xxhash64("node")).limit(sample).select("node", F.col("label").cast("string").alias("label"), "vec", "copies").collect()
     if not picked:
-        return 0, 0
+        return 1.0
     by: dict = {}
     for r in picked:
         by.setdefault((r["label"], len(r["vec"])), []).append(r)
@@ -230,8 +301,9 @@ def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["node", "n"])
 
     truth = nodes.select("node", F.col("label").cast("string").alias("label"), "dim", "vec", "copies").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    both = truth.join(counted, "node", "left").agg(F.sum(F.coalesce("n_links", F.lit(0))).alias("found"), F.sum("n").alias("there")).first()
-    return int(both["found"] or 0), int(both["there"] or 0)
+    share = F.coalesce("n_links", F.lit(0)) / F.col("n")
+    both = truth.where("n > 0").join(counted, "node", "left").agg(F.sum(F.coalesce("n_links", F.lit(0))).alias("found"), F.sum("n").alias("there"), F.avg(share).alias("mean")).first()
+    return min(1.0, both["found"] / both["there"], both["mean"]) if both["there"] else 1.0
 
 
 def near_vectors(
@@ -264,23 +336,40 @@ def near_vectors(
     edges = written(pairs.where(F.col("sim") >= threshold - 1e-6).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
     lists = written(_lists(pairs, list_size))
     forget(pairs)
-    found, there = 0, 0
+    groups, counted, wider, rate = None, None, None, 1.0
     for k in range(max_rounds):
-        new = written(_introduced(lists, nodes, threshold, list_size))
-        edges = written(edges.unionByName(new.where(F.col("sim") >= threshold).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct(), keep=edges)
-        lists = written(_lists(lists.unionByName(new), list_size), keep=lists)
+        if groups is not None:
+            placed = nodes.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("grouped"))
+            wide = _signed_order(nodes, orders, seed).join(placed, "node").repartitionByRange(n_parts, "part", "t", "bits", "along", "node").sortWithinPartitions("part", "t", "bits", "along", "node")
+            wider = written(_beyond(wide, width, max(4, list_size // 2)))
+            lists = written(_lists(lists.drop("foreign").unionByName(wider), list_size, groups), keep=lists)
+        new = written(_introduced(lists, nodes, threshold, list_size, groups))
+        fresh = new.where(F.col("sim") >= threshold).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        if wider is not None:
+            fresh = fresh.unionByName(_verified(wider, nodes, threshold))
+        joins = groups is None or fresh.limit(1).count() > 0  # given components, all that is fresh joins two
+        if joins:
+            edges = written(edges.unionByName(fresh).distinct(), keep=edges)
+        lists = written(_lists(lists.drop("foreign").unionByName(new), list_size, groups), keep=lists)
         forget(new)
+        if wider is not None:
+            forget(wider)
         if k + 1 < rounds:
             continue
-        groups = components(edges)
+        if joins:
+            if groups is not None:
+                forget(groups)
+            groups = components(edges)
+            if k + 1 < max_rounds:
+                continue
+        if counted is not None and not joins:
+            break  # nothing was found since the last count
         members = groups.join(nodes.select("node", "vec", "copies"), "node").select("component", "node", "vec", "copies")
         alone = nodes.join(groups, "node", "left_anti").select("node", (F.col("copies") - 1).alias("n_links"))
-        counted = written(_counted(members, threshold, block).unionByName(alone))
-        found, there = _audit(nodes, counted, threshold, sample)
-        if there == 0 or found >= recall * there:
+        counted = written(_counted(members, threshold, block).unionByName(alone), keep=counted)
+        rate = _audit(nodes, counted, threshold, sample)
+        if rate >= recall:
             break
-        forget(counted)
-    rate = 1.0 if there == 0 else min(1.0, found / there)
     placed = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = placed.join(least, "component").join(counted, "node").select(F.col("label").alias("l"), F.col("vec").alias("v"), "n_links", "component_id")
