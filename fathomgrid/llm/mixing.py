@@ -5,6 +5,7 @@ excess. Each source's documents lie end to end, in a seeded order, in shards of
 blocks of equally many words. Seats (blocks) go to sources by the highest quotient target / (2 seats + 1), then from
 each source to its shards in the same way, so every shard has an integer quota; whole passes over a shard come
 first and a seeded choice of its blocks takes the rest. What a document gives follows in closed form from its span.
+Where whole documents are wanted, each shard's words are rounded to documents, and what rounding leaves is carried on.
 
 Only the table of shards, of at most ``max_shards`` rows plus one for each source, reaches the driver.
 """
@@ -144,15 +145,8 @@ def plan_mix(
     return dealt, quotas, block
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target, taken (words the mix takes, repeats counted).
-
-    Documents without words, and sources without any, take 0. Repeated ids are separate rows, each with a span of its
-    own. An empty table gives none. The same rows and seed give the same result, whatever their order or partitions
-    (rows that agree in id, source, length and size are alike, and share their common span in some order).
-    See ``plan_mix`` for the options.
-    """
-    dealt, quotas, block = plan_mix(docs, id_col, text_col, source_col, **options)
+def _taken(dealt: DataFrame, quotas: DataFrame, block: int) -> DataFrame:
+    """The rows of ``plan_mix`` with their shards' quotas and the words that the chosen blocks take of each."""
     w = Window.partitionBy("source_no", "shard").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     spans = dealt.withColumn("stop", F.sum("size").over(w)).withColumn("from", F.col("stop") - F.col("size"))
     # at most max_shards rows and one a source
@@ -163,24 +157,64 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return F.expr(f"({chosen.format(0)}) * {block} + ({chosen.format(1)} - {chosen.format(0)}) * (`{x}` % {block})")
 
     taken = F.col("passes") * F.col("size") + before("stop") - before("from")
-    return both.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return both.withColumn("taken", taken.cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per row of docs: id, source, size, source_size, target, taken (words the mix takes, repeats counted).
+
+    Documents without words, and sources without any, take 0. Repeated ids are separate rows, each with a span of its
+    own. An empty table gives none. The same rows and seed give the same result, whatever their order or partitions
+    (rows that agree in id, source, length and size are alike, and share their common span in some order).
+    See ``plan_mix`` for the options.
+    """
+    both = _taken(*plan_mix(docs, id_col, text_col, source_col, **options))
+    return both.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
+
+
+def _rounded(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows of ``_taken`` with copies: a document is taken as often as its shard has whole passes, or once more. Within
+    a shard the longest come first, each by a seeded draw whose chance is the share of it that is due; what is taken too
+    much or too little is carried to the next, so that a shard's words end near its quota."""
+    some = rows.select("source_no", "shard", "size", "draw", "id", "source", "passes", "taken", (F.pmod(F.xxhash64(F.lit(seed + 2), "draw"), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
+    dealt = some.repartition("source_no", "shard").sortWithinPartitions("source_no", "shard", F.desc("size"), "draw", "id")
+
+    def run(batches):
+        at, rest = None, 0
+        for batch in batches:
+            copies = []
+            columns = (batch.column(c).to_pylist() for c in ("source_no", "shard", "size", "passes", "taken", "u"))
+            for no, shard, size, passes, taken, u in zip(*columns, strict=True):
+                if (no, shard) != at:
+                    at, rest = (no, shard), 0
+                rest += taken - passes * size
+                more = size > 0 and rest > u * size
+                rest -= size if more else 0
+                copies.append(passes + more)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), batch.column("draw"), batch.column("size"), pa.array(copies, pa.int64())], names=["id", "source", "draw", "size", "copies"])
+
+    return dealt.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, source string, draw long, size long, copies long")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
-    """docs itself, each row as often as its shard's quota says: the whole passes, and one more by a seeded draw whose
-    chance is the share of the shard's blocks in the last, partial pass. All columns come back as they were.
+    """docs itself, each row as often as the block choice of ``mix`` says, rounded to whole documents along its shard, so
+    that a shard's words stay within about a document of its quota. All columns come back as they were.
 
-    A row finds its shard from its own id and length, so texts are not shuffled.
+    Rows find their copies by id, source and draw; those that agree in all three are told apart by their words.
     """
-    dealt, quotas, _ = plan_mix(docs, id_col, text_col, source_col, seed=seed, **options)
-    sources = dealt.select("source", "source_no", "shards").distinct()
-    table = sources.join(quotas, F.col("source_no") == F.col("q_source")).select(
-        F.col("source").alias("__mix_source"), F.col("shards").alias("__mix_shards"), F.col("q_shard").alias("__mix_shard"), F.col("passes").alias("__mix_passes"), (F.col("some") / F.col("blocks")).alias("__mix_rate")
-    )
-    by_source = table.groupBy("__mix_source", "__mix_shards").agg(F.map_from_entries(F.collect_list(F.struct("__mix_shard", F.struct("__mix_passes", "__mix_rate")))).alias("__mix_quota"))
-    ready = docs.withColumn("__mix_draw", _draw(id_col, text_col, seed))
-    told = ready.join(F.broadcast(by_source), F.col(source_col).eqNullSafe(F.col("__mix_source")))  # bounded by max_shards, as above
-    told = told.withColumn("__mix_q", F.col("__mix_quota")[F.pmod("__mix_draw", F.col("__mix_shards")).cast("int")])
-    chance = F.pmod(F.xxhash64(F.lit(seed + 2), "__mix_draw"), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.col("__mix_q.__mix_passes") + (chance < F.col("__mix_q.__mix_rate")).cast("long")
-    return told.withColumn("__mix_copies", copies.cast("int")).where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
+    copies = _rounded(_taken(*plan_mix(docs, id_col, text_col, source_col, seed=seed, **options)), seed)
+    keys = ("__mix_draw", "__mix_id", "__mix_source")
+    told = written(copies.select(F.col("draw").alias(keys[0]), F.col("id").alias(keys[1]), F.col("source").alias(keys[2]), F.col("size").alias("__mix_size"), F.col("copies").cast("int").alias("__mix_copies")))
+    ready = docs.withColumns({keys[0]: _draw(id_col, text_col, seed), keys[1]: F.col(id_col), keys[2]: F.col(source_col)})
+    words = F.size(F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")), " "))
+    twice = told.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    alike = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    rare = ready.join(twice, alike(ready, twice), "left_semi").withColumn("__mix_size", words)
+    more = told.join(twice, alike(told, twice), "left_semi")
+    number = lambda df: df.withColumn("__mix_k", F.row_number().over(Window.partitionBy(*keys).orderBy("__mix_size")))
+    rare, more = number(rare), number(more)
+    once = told.join(twice, alike(told, twice), "left_anti").where("__mix_copies > 0")
+    found = ready.join(once, alike(ready, once)).select(*[ready[c] for c in docs.columns], "__mix_copies")
+    again = rare.join(more, [*alike(rare, more), rare["__mix_k"] == more["__mix_k"]]).where("__mix_copies > 0").select(*[rare[c] for c in docs.columns], "__mix_copies")
+    out = found.unionByName(again)
+    return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
