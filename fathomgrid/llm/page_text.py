@@ -2,9 +2,10 @@
 
 Tokens of a page are its tags, told apart by the path of containers they stand in, and its text blocks. Over the pages
 of a host every token has an occurrence vector, how often it occurs in each page; tokens of equal vectors form an
-equivalence class. A class is valid if it occurs in enough of the host's pages. The class of what every page has once
-is the root template; valid classes are nested into it by their containers, and what lies between template tokens are
-slots. Text of the root class is the template's own; slots in containers of menus, headers, notices and the like are
+equivalence class. A class is valid if it occurs in enough of the host's pages that have any tokens. The class of the
+highest support is the root template, as single pages may be broken or of another layout; valid classes are nested into
+it by their containers, and what lies between template tokens are slots. Text of valid classes, and text that almost
+all pages have, is the template's own; slots in containers of menus, headers, notices and the like are
 not the page's main text, and what remains is extracted whole.
 
 A vector is kept as a sum of hashes over pages, so it is aggregated with partial sums, however many pages a host has;
@@ -179,12 +180,13 @@ def host_of(url):
 
 
 def vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, vector, support): the occurrence vector of each token over the host's pages, and in how many
-    pages it occurs; token 0 stands for the pages themselves. Tags count by path, text blocks by path and text."""
+    """(host, token, vector, support, is_text): the occurrence vector of each token over the host's pages, and in how many
+    pages it occurs; token 0 stands for the pages that have tokens. Tags count by path, text blocks by path and text."""
 
     def run(batches):
         for batch in batches:
             sums: dict[tuple[str, int], list[int]] = {}
+            texts: set[int] = set()
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 tags, blocks = parsed(page or "")
                 key = _hash(page or "", 1)
@@ -194,33 +196,38 @@ def vectors(pages: DataFrame) -> DataFrame:
                 for b in blocks:
                     t = f"{b.path}\n{b.text}"
                     counts[t] = counts.get(t, 0) + 1
-                for token, times in [(0, 1), *((_hash(t), c) for t, c in counts.items())]:
+                    texts.add(_hash(t))
+                for token, times in [*([(0, 1)] if counts else []), *((_hash(t), c) for t, c in counts.items())]:
                     s = sums.setdefault((host, token), [0, 0])
                     s[0] = (s[0] + _spread(key, times)) & _MASK
                     s[1] += 1
             if sums:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in sums]), pa.array([_as_long(k[1]) for k in sums], pa.int64()), pa.array([_as_long(v[0]) for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())],
-                    names=["host", "token", "vector", "support"],
+                    [pa.array([k[0] for k in sums]), pa.array([_as_long(k[1]) for k in sums], pa.int64()), pa.array([_as_long(v[0]) for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64()), pa.array([k[1] in texts for k in sums])],
+                    names=["host", "token", "vector", "support", "is_text"],
                 )
 
-    parts = pages.mapInArrow(run, "host string, token long, vector long, support long")
+    parts = pages.mapInArrow(run, "host string, token long, vector long, support long, is_text boolean")
     # sums wrap around, as the hashes do: both halves are summed apart
-    halves = parts.groupBy("host", "token").agg(F.sum(F.shiftrightunsigned("vector", 32)).alias("hi"), F.sum(F.col("vector").bitwiseAND(0xFFFFFFFF)).alias("lo"), F.sum("support").alias("support"))
+    halves = parts.groupBy("host", "token").agg(F.sum(F.shiftrightunsigned("vector", 32)).alias("hi"), F.sum(F.col("vector").bitwiseAND(0xFFFFFFFF)).alias("lo"), F.sum("support").alias("support"), F.max("is_text").alias("is_text"))
     carry = F.pmod(F.col("hi") + F.shiftrightunsigned("lo", 32), F.lit(1 << 32))
-    return halves.select("host", "token", F.shiftleft(carry, 32).bitwiseOR(F.col("lo").bitwiseAND(0xFFFFFFFF)).alias("vector"), "support")
+    return halves.select("host", "token", F.shiftleft(carry, 32).bitwiseOR(F.col("lo").bitwiseAND(0xFFFFFFFF)).alias("vector"), "support", "is_text")
 
 
-def templates(pages: DataFrame, least_pages: int = 4, share: float = 0.5) -> DataFrame:
+def templates(pages: DataFrame, least_pages: int = 4, share: float = 0.5, missing: float = 0.1) -> DataFrame:
     """(host, root: the tokens of the root class, valid: those of the other valid classes), one row a host that has at
-    least ``least_pages`` pages. A class is valid if it occurs in ``share`` of the pages and has two tokens or more."""
+    least ``least_pages`` pages with tokens. A class is valid if it occurs in ``share`` of these and has two tokens or
+    more; the root is the class of the highest support, of these that of the most tokens. Text that at most ``missing``
+    of the pages lack belongs to the root, other text to a class only if ``least_pages`` pages have it."""
     v = written(vectors(pages))
-    hosts = v.where("token = 0").select("host", F.col("support").alias("pages"), F.col("vector").alias("root")).where(F.col("pages") >= least_pages)
+    hosts = v.where("token = 0").select("host", F.col("support").alias("pages")).where(F.col("pages") >= least_pages)
     often = v.where("token <> 0").join(hosts, "host").where(F.col("support") >= share * F.col("pages"))
-    classes = often.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("tokens"), F.max(F.col("vector") == F.col("root")).alias("is_root")).where("tokens > 1 or is_root")
-    kept = often.join(classes, ["host", "vector"]).groupBy("host").agg(
-        F.collect_list(F.when(F.col("is_root"), F.col("token"))).alias("root"), F.collect_list(F.when(~F.col("is_root"), F.col("token"))).alias("valid")
-    )
+    classes = often.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("tokens"), F.max("support").alias("most"))
+    roots = classes.groupBy("host").agg(F.max(F.struct("most", "tokens", "vector"))["vector"].alias("root"))
+    known = often.join(classes, ["host", "vector"]).join(roots, "host")
+    is_root = (F.col("vector") == F.col("root")) | (F.col("is_text") & (F.col("support") >= (1 - missing) * F.col("pages")))
+    is_valid = ~is_root & (F.col("tokens") > 1) & (~F.col("is_text") | (F.col("support") >= least_pages))
+    kept = known.groupBy("host").agg(F.collect_list(F.when(is_root, F.col("token"))).alias("root"), F.collect_list(F.when(is_valid, F.col("token"))).alias("valid"))
     return written(kept)
 
 
@@ -228,18 +235,21 @@ def extracted(page: str, root: frozenset[int] = frozenset(), valid: frozenset[in
     """The blocks of a page's main text, given its host's template: tokens of the root class and of the other valid ones.
 
     A slot is what lies between two of the template's tags (between any two tags where there is no template). Slots
-    within containers of menus, notices and the like are away; so is text that the root class holds, as it is in every
-    page once, and so are slots that are mostly links, unless an article or a main element holds them. The remaining
+    within containers of menus, notices and the like are away; so is text that the root or another valid class holds,
+    and so are slots that are mostly links, unless an article or a main element holds them. The remaining
     slots are ranked by where they are: each article, the main element outside articles, and the rest of the page weigh
     as much as their text is long, main elements and a page's only article ``_EVIDENCE`` times that. The main text is
-    what the heaviest of them holds, or all articles if it is an article. If nothing but the template's text is left,
-    the articles and main elements are taken to be copies on every page, and their text stays.
+    what the heaviest of them holds, or all articles if it is an article. If less than half of what
+    articles and main elements hold is left without the template's text, they are taken to be near copies, and their
+    text stays.
     """
     tags, blocks = parsed(page)
     some = [b for b in blocks if not b.off]
-    own = [b for b in some if _as_long(_hash(f"{b.path}\n{b.text}")) not in root] if root else some
-    own = own or [b for b in some if b.region]
     template = root | valid
+    own = [b for b in some if _as_long(_hash(f"{b.path}\n{b.text}")) not in template] if template else some
+    if 2 * sum(len(b.text) for b in own if b.region) < sum(len(b.text) for b in some if b.region):
+        left = set(map(id, own))
+        own = [b for b in some if b.region or id(b) in left]
     bounds = [_as_long(_hash(t)) in template for t in tags] if template else [True] * len(tags)
     slot_after = [0]
     for is_bound in bounds:
