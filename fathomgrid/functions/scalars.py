@@ -65,12 +65,11 @@ def valid_speed(sog: Column) -> Column:
     return F.coalesce((sog == 102.3) | (finite(sog) & (sog >= 0)), F.lit(False))
 
 
-def type_state(text: Column) -> Column:
-    """FLT-8, FLT-9: missing, malformed, unavailable, noncommercial or commercial."""
-    code = integer(text)
+def type_state(text: Column, code: Column) -> Column:
+    """FLT-8, FLT-9: missing, malformed, unavailable, noncommercial or commercial; ``code`` is ``integer`` of the text, null
+    where it is no number."""
     return (
         F.when(text.isNull() | (F.trim(text) == ""), "missing")
-        .when(~full_match(F.trim(text), "[0-9]+"), "malformed")
         .when(code == 0, "unavailable")
         .when(code.isNull() | ~code.between(1, 99), "malformed")
         .when(~code.between(60, 89), "noncommercial")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import aggregates as A
 from ..functions import geometry as G
 from ..functions import scalars as S
 
@@ -65,9 +66,11 @@ def pieces(segments: DataFrame, x_min: float = X_MIN, y_min: float = Y_MIN, cell
     The cost is rows and columns crossed, not the cells of a bounding box. A segment without length is one piece.
     """
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), _crossings(F.col("x0"), F.col("x1"), x_min, cell), _crossings(F.col("y0"), F.col("y1"), y_min, cell))))
-    spans = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda k: F.struct(F.get("cuts", k).alias("t0"), F.get("cuts", k + 1).alias("t1")))
-    each = segments.withColumn("cuts", cuts).withColumn("spans", spans).drop("cuts").select("*", F.posexplode("spans").alias("piece", "span")).drop("spans")
-    t0, t1 = F.col("span.t0"), F.col("span.t1")
+    n = F.size("cuts") - 1
+    # spans are never empty; the outer form keeps the optimizer from filtering on them with a second evaluation
+    spans = F.arrays_zip(F.slice("cuts", 1, n), F.slice("cuts", 2, n))
+    each = segments.withColumn("cuts", cuts).select("*", F.posexplode_outer(spans).alias("piece", "span")).drop("cuts")
+    t0, t1 = F.col("span")["0"], F.col("span")["1"]
     mx, my = F.col("x0") + (t0 + t1) / 2 * (F.col("x1") - F.col("x0")), F.col("y0") + (t0 + t1) / 2 * (F.col("y1") - F.col("y0"))
     r, c = row_column(mx, my, x_min, y_min, cell)
     along = ((F.col("x0") == F.col("x1")) & ((F.col("x0") - x_min) % cell == 0)) | ((F.col("y0") == F.col("y1")) & ((F.col("y0") - y_min) % cell == 0))
@@ -120,15 +123,33 @@ def cell_totals(done: DataFrame, cells: DataFrame, group: str = "grp", key: str
 
 
 def balance(segments: DataFrame, done: DataFrame, group: str = "grp") -> DataFrame:
-    """VAL-2, VAL-3, AGG-31: metres of segments, and of their pieces by status, for each group, and whether they agree
+    """VAL-2, AGG-31: metres of segments, and of their pieces by status, for each group, and whether they agree
     within max(1e-6, 1e-12 of the whole)."""
-    whole = segments.groupBy(group).agg(F.sum("metres").alias("parent_m"), F.sum("elapsed_s").alias("parent_s"))
-    status = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("piece_m"))), F.lit(0.0)).alias(f"{s}_m")
-    parts = done.groupBy(group).agg(status("allocated"), status("outside"), status("ambiguous"), F.sum("piece_s").alias("pieces_s"))
+    whole = segments.groupBy(group).agg(A.exact_sum(F.col("metres")).alias("parent_m"), A.exact_sum(F.col("elapsed_s")).alias("parent_s"))
+    status = lambda s: F.coalesce(A.exact_sum(F.when(F.col("status") == s, F.col("piece_m"))), F.lit(0.0)).alias(f"{s}_m")
+    parts = done.groupBy(group).agg(status("allocated"), status("outside"), status("ambiguous"), A.exact_sum(F.col("piece_s")).alias("pieces_s"))
     both = whole.join(parts, group)
     off = F.abs(F.col("parent_m") - F.col("allocated_m") - F.col("outside_m") - F.col("ambiguous_m"))
     off_s = F.abs(F.col("parent_s") - F.col("pieces_s"))
-    return both.withColumn("conserved", (off <= F.greatest(F.lit(1e-6), 1e-9 * F.col("parent_m"))) & (off_s <= F.greatest(F.lit(1e-6), 1e-9 * F.col("parent_s"))))
+    within = lambda d, of: d <= F.greatest(F.lit(1e-6), 1e-12 * F.col(of))
+    return both.withColumns({"conserved": within(off, "parent_m"), "time_conserved": within(off_s, "parent_s")})
+
+
+def cells_reconcile(done: DataFrame, totals: DataFrame) -> DataFrame:
+    """VAL-3: (cells, off): the cells' km against the metres allocated to each, and how many are off by more than
+    max(1e-9 km, 1e-12 of the cell's)."""
+    own = done.where("status = 'allocated'").groupBy("cell_id").agg((A.exact_sum(F.col("piece_m")) / 1000).alias("own_km"))
+    both = totals.join(own, "cell_id", "full_outer")
+    off = ~F.coalesce(F.abs(F.col("vessel_km_all") - F.coalesce("own_km", F.lit(0.0))) <= F.greatest(F.lit(1e-9), 1e-12 * F.col("vessel_km_all")), F.lit(False))
+    return both.agg(F.count(F.lit(1)).alias("cells"), F.count_if(off).alias("off"))
+
+
+def segment_times(segments: DataFrame, done: DataFrame) -> DataFrame:
+    """VAL-4: (segments, off, total_s, pieces_s): each segment's seconds against those of its pieces, and both in all."""
+    own = done.groupBy("segment_id").agg(F.sum("piece_s").alias("s"))
+    both = segments.select("segment_id", "elapsed_s").join(own, "segment_id", "left")
+    off = ~F.coalesce(F.abs(F.col("elapsed_s") - F.col("s")) <= F.greatest(F.lit(1e-6), 1e-12 * F.col("elapsed_s")), F.lit(False))
+    return both.agg(F.count(F.lit(1)).alias("segments"), F.count_if(off).alias("off"), A.exact_sum(F.col("elapsed_s")).alias("total_s"), A.exact_sum(F.col("s")).alias("pieces_s"))
 
 
 def geodesic_column(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:

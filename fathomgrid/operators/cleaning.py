@@ -1,7 +1,7 @@
 """Cleaning of raw position rows with full accounting.
 
-Every raw row is labelled once with the first check it fails, so one scan gives both the survivors and the counts of
-the funnel; nothing is scanned or evaluated twice.
+Every raw row is labelled once with the first check it fails, so one scan and one shuffle give both the survivors and
+the counts of the funnel.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ def parsed(raw: DataFrame) -> DataFrame:
             "p_heading": S.number(F.col("Heading")),
             "p_type": S.integer(F.col("VesselType")),
             "p_length": S.number(F.col("Length")),
-            "type_state": S.type_state(F.col("VesselType")),
         }
-    )
+    ).withColumn("type_state", S.type_state(F.col("VesselType"), F.col("p_type")))
 
 
 def labelled(raw: DataFrame, extent: tuple[float, float, float, float] = EXTENT, columns: list[str] | None = None) -> DataFrame:
@@ -42,7 +41,8 @@ def labelled(raw: DataFrame, extent: tuple[float, float, float, float] = EXTENT,
 
     Identical rows among those that pass all row checks: one is kept, the others are exact duplicates. Of the rows left
     that share identifier and time, none is kept. Both are windows over the row's own key, so hot vessels spread over
-    their times; equality of whole rows is within the same (identifier, time) key, so one shuffle serves both.
+    their times; equality of whole rows is within the same (identifier, time) key, so one shuffle and one sort serve
+    both. Rows that fail a check pass through the same windows, each under its own content.
     """
     columns = columns or RAW_COLUMNS
     rows = parsed(raw)
@@ -54,14 +54,14 @@ def labelled(raw: DataFrame, extent: tuple[float, float, float, float] = EXTENT,
         .when(~S.valid_speed(F.col("p_sog")), "invalid_speed")
         .when(F.col("type_state") != "commercial", F.concat(F.col("type_state"), F.lit("_type")))
     )
-    checked = rows.withColumn("row_label", first)
-    good, bad = checked.where("row_label is null"), checked.where("row_label is not null")
-    key = ["MMSI", "observed_at_utc"]
-    same = Window.partitionBy(*key, *[c for c in columns if c not in key]).orderBy(F.lit(1))
-    once = good.repartition(*[F.col(k) for k in key]).withColumn("copy", F.row_number().over(same))
+    key = ["MMSI", "observed_at_utc", "salt"]
+    # rows that failed a check have no partner to be found: their content spreads them, whatever their key
+    checked = rows.withColumn("row_label", first).withColumn("salt", F.when(F.col("row_label").isNotNull(), F.xxhash64(*columns)))
+    same = Window.partitionBy(*key, *[c for c in columns if c != "MMSI"]).orderBy(F.lit(1))
+    once = checked.repartition(*[F.col(k) for k in key]).withColumn("copy", F.row_number().over(same))
     of_key = F.count_if(F.col("copy") == 1).over(Window.partitionBy(*key))
-    final = once.withColumn("of_key", of_key).withColumn("label", F.when(F.col("copy") > 1, "exact_duplicate").when(F.col("of_key") > 1, "conflict").otherwise("kept")).drop("copy", "of_key")
-    return final.unionByName(bad.withColumn("label", F.col("row_label"))).drop("row_label")
+    label = F.coalesce("row_label", F.when(F.col("copy") > 1, "exact_duplicate").when(F.col("of_key") > 1, "conflict").otherwise("kept"))
+    return once.withColumn("of_key", of_key).withColumn("label", label).drop("copy", "of_key", "row_label", "salt")
 
 
 def cleaned(marked: DataFrame) -> DataFrame:
@@ -111,15 +111,17 @@ def assert_conserved(marked: DataFrame) -> None:
 
 
 def normalisation_counts(marked: DataFrame) -> DataFrame:
-    """AGG-4: on kept rows, how many values each normalisation made null."""
+    """AGG-4: on kept rows, how many values each normalisation made null. A course or heading that is blank or no number
+    counts as out of range, as it is no valid measure either; a sentinel counts as a sentinel alone."""
     k = marked.where("label = 'kept'")
-    bad = lambda c, sentinel, low, high: ~F.coalesce(F.col(c) == sentinel, F.lit(False)) & F.col(c).isNotNull() & ~F.coalesce(F.col(c).between(low, high), F.lit(False))
+    valid = lambda c, low, high: F.coalesce(S.finite(F.col(c)) & F.col(c).between(low, high), F.lit(False))
+    sentinel = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
     return k.agg(
         F.count_if(F.col("p_sog") == 102.3).alias("sog_sentinel"),
         F.count_if(F.col("p_cog") == 360.0).alias("cog_sentinel"),
         F.count_if(F.col("p_heading") == 511.0).alias("heading_sentinel"),
-        F.count_if(bad("p_cog", 360.0, 0.0, 360.0)).alias("cog_out_of_range"),
-        F.count_if(bad("p_heading", 511.0, 0.0, 359.0)).alias("heading_out_of_range"),
+        F.count_if(~sentinel("p_cog", 360.0) & ~valid("p_cog", 0.0, 360.0)).alias("cog_out_of_range"),
+        F.count_if(~sentinel("p_heading", 511.0) & ~valid("p_heading", 0.0, 359.0)).alias("heading_out_of_range"),
         F.count_if(F.col("p_length").isNull() | (F.col("p_length") < 0)).alias("length_unavailable"),
     )
 

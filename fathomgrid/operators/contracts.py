@@ -7,7 +7,7 @@ import json
 import math
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,15 +82,13 @@ def one_row(rows: DataFrame, **where: Any):
     return found[0]
 
 
-def sorted_slice(rows: DataFrame, order: list[str], date_col: str) -> DataFrame:
-    """STA-11: (rows, dates, inversions) of a stored slice: rows must be of one date and in order. ``row_number`` as stored is
-    the column ``position``; each partition checks itself, ends meet through one row a partition."""
-    from pyspark.sql import Window
-
+def sorted_slices(rows: DataFrame, order: list[str], slice_col: str) -> DataFrame:
+    """STA-11: (slice, rows, inversions) of stored slices, each of which should hold one value of ``slice_col`` in order. The
+    row's place in its slice is the column ``position``; parts of a slice check themselves, ends meet through one row a part."""
     key = F.struct(*order)
-    part = rows.withColumn("part", F.floor(F.col("position") / 100_000))
-    w = Window.partitionBy("part").orderBy("position")
-    inner = part.withColumn("before", F.lag(key).over(w)).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(date_col).alias("dates"), F.count_if(F.col("before") > key).alias("within"))
-    ends = part.groupBy("part").agg(F.min_by(key, "position").alias("first"), F.max_by(key, "position").alias("last"))
-    edge = ends.withColumn("before", F.lag("last").over(Window.orderBy("part"))).agg(F.count_if(F.col("before") > F.col("first")).alias("between"))
-    return inner.crossJoin(edge).select("rows", "dates", (F.col("within") + F.col("between")).alias("inversions"))
+    part = rows.withColumns({"slice": F.col(slice_col), "part": F.floor(F.col("position") / 100_000)})
+    w = Window.partitionBy("slice", "part").orderBy("position")
+    inner = part.withColumn("before", F.lag(key).over(w)).groupBy("slice").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") > key).alias("within"))
+    ends = part.groupBy("slice", "part").agg(F.min_by(key, "position").alias("first"), F.max_by(key, "position").alias("last"))
+    edge = ends.withColumn("before", F.lag("last").over(Window.partitionBy("slice").orderBy("part"))).groupBy("slice").agg(F.count_if(F.col("before") > F.col("first")).alias("between"))
+    return inner.join(edge, "slice").select("slice", "rows", (F.col("within") + F.col("between")).alias("inversions"))

@@ -24,8 +24,8 @@ _ONE = f"""
            CASE WHEN event_id % 37 = 0 THEN 'NaN' ELSE CAST(33 + CAST(event_id * 53 % 2048 AS DOUBLE) / 4096 + {{shift}} AS STRING) END AS LAT,
            CASE WHEN event_id % 23 = 0 THEN '-123.5' ELSE CAST(-119 + CAST(event_id * 31 % 2048 AS DOUBLE) / 4096 AS STRING) END AS LON,
            CASE WHEN event_id % 41 = 0 THEN '102.3' WHEN event_id % 43 = 0 THEN '-1' ELSE CAST(event_id % 30 AS STRING) END AS SOG,
-           CASE WHEN event_id % 17 = 0 THEN '360' WHEN event_id % 19 = 0 THEN '400' ELSE CAST(event_id % 359 AS STRING) END AS COG,
-           CASE WHEN event_id % 13 = 0 THEN '511' WHEN event_id % 47 = 0 THEN '999' ELSE CAST(event_id % 359 AS STRING) END AS Heading,
+           CASE WHEN event_id % 17 = 0 THEN '360' WHEN event_id % 19 = 0 THEN '400' WHEN event_id % 11 = 0 THEN ' ' WHEN event_id % 12 = 0 THEN 'n/a' ELSE CAST(event_id % 359 AS STRING) END AS COG,
+           CASE WHEN event_id % 13 = 0 THEN '511' WHEN event_id % 47 = 0 THEN '999' WHEN event_id % 14 = 0 THEN '' ELSE CAST(event_id % 359 AS STRING) END AS Heading,
            'NAME' AS VesselName, CAST(event_id AS STRING) AS IMO, 'CALL' AS CallSign,
            CASE WHEN event_id % 53 = 0 THEN '' WHEN event_id % 59 = 0 THEN 'abc' WHEN event_id % 61 = 0 THEN '70.5' WHEN event_id % 67 = 0 THEN '0' ELSE CAST({_TYPE} AS STRING) END AS VesselType,
            '0' AS Status, CASE WHEN event_id % 7 = 0 THEN '' ELSE CAST(event_id % 300 AS STRING) END AS Length, '10' AS Width, '5' AS Draft, '70' AS Cargo, 'A' AS TransceiverClass

@@ -64,8 +64,8 @@ def date_sets(requested: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def stream_days(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, ts: str = "at"):
-    """STR-2: a file stream whose micro-batches are appended once each, whatever is retried: rows carry their batch, and a
-    batch whose rows are already there is skipped. Available files are processed, then the stream ends."""
+    """STR-2: a file stream whose micro-batches are kept once each, whatever is retried: rows carry their batch, and a batch
+    that is written again replaces itself. Available files are processed, then the stream ends."""
     rows = spark.readStream.schema(schema).parquet(source).withColumn("utc_date", F.to_date(ts))
 
     def put(batch: DataFrame, number: int) -> None:
