@@ -67,18 +67,16 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(style == 0, F.initcap(known)).when(style == 1, F.when(known == "user", "Human").when(known == "assistant", "AI").otherwise("System")).otherwise(known)
     mark = F.when(style < 2, F.concat(name, F.lit(": "))).when(style == 2, F.concat(F.lit("<|"), name, F.lit("|> "))).when(style == 3, F.concat(F.lit("### "), name, F.lit(": "))).otherwise(F.concat(F.lit("["), name, F.lit("] ")))
     raw = F.concat(F.when(bare, F.lit("\n")).otherwise(mark), F.coalesce("text", F.lit("")))
-    some = turns.select("conv_id", "turn", "role", raw.alias("raw"))
-    chunk = F.floor(F.coalesce(F.col("turn"), F.lit(0)) / 64)
-    return transcripts.lines_of(some, "conv_id", ["turn"], "raw", ["role"], chunk)
+    return transcripts.rows_of(turns.select("conv_id", "turn", "role", raw.alias("raw")), "conv_id", ["turn"], "raw", ["role"])
 
 
 def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles recovered from raw transcripts of all conversations; learned on those of crc32(conv_id) mod 5 other than 0."""
-    lines = written(_transcripts(spark, sf_dir))
-    learned = F.pmod(F.crc32("conv"), F.lit(5)) != 0
-    model = transcripts.fit(lines.where(learned))
-    found = transcripts.turns_of(transcripts.parse(lines, model))
-    return found.select(F.col("conv").try_cast("long").alias("conv_id"), (F.col("chunk") * 64 + F.col("turn") - 1).alias("turn_no"), "role", "text", "rendered")
+    """Roles and turns recovered from raw transcripts of all conversations; learned on those of crc32(conv_id) mod 5 other
+    than 0. Turns are numbered from 0 along each conversation; rows without a conv_id are conversations by themselves."""
+    rows = _transcripts(spark, sf_dir)
+    model = transcripts.fit(rows.where(F.pmod(F.crc32("conv"), F.lit(5)) != 0))
+    found = transcripts.turns_of(transcripts.parse(transcripts.chunks_of(rows), model))
+    return found.select(F.col("conv").try_cast("long").alias("conv_id"), F.col("turn").alias("turn_no"), "role", "text", "rendered")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

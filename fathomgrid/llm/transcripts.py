@@ -2,10 +2,14 @@
 
 States are a role and whether a line begins its turn. A line is observed as the role its speaker marker names (if it
 has one), whether a blank line stands before it, and a few features of its wording. Transition and emission
-probabilities are counted on transcripts whose roles are known, with smoothing. Decoding works in max-plus algebra: a
-chunk of lines is a matrix of best scores from each state before it to each state at its end, matrices are multiplied
-in order, and each chunk is then decoded between its known ends. So a transcript of any length is decoded exactly in
-chunks of bounded size.
+probabilities are counted on transcripts whose roles are known, with smoothing: a turn's first line that is not blank
+begins it.
+
+The lines of all transcripts are sorted by range, so a transcript of any length is spread over partitions, and cut into
+chunks of bounded size. Decoding works in max-plus algebra: a chunk is a matrix of best scores from each state before it
+to each state at its end; the matrices of a transcript's run of chunks in a partition are multiplied in order, those of
+the runs that cross partitions (two a partition at most) on the driver, and each chunk is then decoded between its known
+ends. Turns are numbered by prefix sums in the same three steps.
 """
 
 from __future__ import annotations
@@ -14,10 +18,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions, written
 
 ROLES = ("system", "user", "assistant")
 N_STATES = 2 * len(ROLES)  # role k begins: 2 k; goes on: 2 k + 1
@@ -30,6 +35,8 @@ NAMES = {
 _ROLE_OF = {name: k for k, role in enumerate(ROLES) for name in NAMES[role].split()}
 MARKER = re.compile(r"^\s*(?:<\|(?:im_start\|>)?\s*(\w+)\s*(?:\|>)?|\[/?(\w+)\]\s*:?|#{1,4}\s*(\w+)\s*:?|\*{2}(\w+)\*{2}\s*:?|\*{2}(\w+):\*{2}|<(\w+)>|(\w+)\s*(?:\(\w+\))?\s*[:>])[ \t]?")
 N_SYMBOLS = 4 * 2 * 4
+START = N_STATES  # stands for what is before a transcript
+CHUNK_LINES, CHUNK_CHARS = 256, 1 << 20
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -80,20 +87,24 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(1)
 
 
-def chunk_matrix(model: Model, symbols: np.ndarray, first: bool) -> np.ndarray:
-    """Best scores through a chunk; a transcript's first chunk has the start's scores in every row."""
+def chunk_matrix(model: Model, symbols: np.ndarray) -> np.ndarray:
+    """Best scores through a chunk from each state before it, and from START in the last row."""
     steps = model.step(symbols)
-    if first:
-        steps[0] = (model.start + model.emit[:, symbols[0]])[None]
-    out = steps[0]
+    out = np.concatenate([steps[0], (model.start + model.emit[:, symbols[0]])[None]])
     for s in steps[1:]:
         out = times(out, s)
     return out
 
 
-def decode(model: Model, symbols: np.ndarray, before: int = -1, end: int = -1) -> list[int]:
-    """The best states of lines, between a known state before them (-1: they begin a transcript) and at the end (-1: free)."""
-    score = model.start + model.emit[:, symbols[0]] if before < 0 else model.move[before] + model.emit[:, symbols[0]]
+def chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix of one stretch of lines and the next."""
+    return times(a, b[:N_STATES])
+
+
+def decode(model: Model, symbols: np.ndarray, before: int = START, end: int = -1) -> list[int]:
+    """The best states of lines, between a known state before them and at the end (-1: free). Of equally good ones the
+    first counts, from the end backwards."""
+    score = model.start + model.emit[:, symbols[0]] if before == START else model.move[before] + model.emit[:, symbols[0]]
     back = []
     for s in symbols[1:]:
         all_ways = score[:, None] + model.move
@@ -107,132 +118,267 @@ def decode(model: Model, symbols: np.ndarray, before: int = -1, end: int = -1) -
     return out[::-1]
 
 
-def lines_of(turns: DataFrame, conv: str, order: list[str], text: str, keep: list[str], chunk_col: Column) -> DataFrame:
-    """(conv, chunk, turn_pos, line_no, line, after_blank, keep...): raw lines, blank ones left out but noted on the next.
+def ends_of(steps: list[np.ndarray], before: int = START, end: int = -1) -> tuple[list[int], list[int]]:
+    """From the matrices of successive stretches: the best states before each and at its end."""
+    scores = [steps[0][before]]
+    for s in steps[1:]:
+        scores.append((scores[-1][:, None] + s[:N_STATES]).max(0))
+    state = int(scores[-1].argmax()) if end < 0 else end
+    last = [state]
+    for k in range(len(steps) - 1, 0, -1):
+        state = int((scores[k - 1] + steps[k][:N_STATES, state]).argmax())
+        last.append(state)
+    last = last[::-1]
+    return [before, *last[:-1]], last
+
 
-    Null and blank texts have no lines. A row without a conversation is one by itself, named by its content.
-    """
-    own = F.concat(F.lit("?"), F.xxhash64(F.col(text), *order).cast("string"))
-    parts = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n")
-    rows = turns.select(F.coalesce(F.col(conv).cast("string"), own).alias("conv"), chunk_col.alias("chunk"), F.array(*[F.col(c).cast("long") for c in order]).alias("turn_pos"), *keep, parts.alias("parts"))
-    one = rows.select("conv", "chunk", "turn_pos", *keep, F.posexplode("parts").alias("line_no", "line"), F.col("parts"))
-    blank = (F.col("line_no") > 0) & (F.trim(F.element_at("parts", F.greatest(F.col("line_no"), F.lit(1)))) == "")
-    return one.select("conv", "chunk", "turn_pos", *keep, "line_no", "line", F.coalesce(blank, F.lit(False)).alias("after_blank")).where(F.trim("line") != "")
+# --- rows, lines, chunks -------------------------------------------------------------------------------------------------
 
 
-def fit(lines: DataFrame, smooth: float = 0.5) -> Model:
-    """Counted over all given lines: (conv, chunk, turn_pos, line_no, line, after_blank, role), role known.
+def rows_of(turns: DataFrame, conv: str, order: list[str], text: str, keep: list[str] = ()) -> DataFrame:
+    """(conv, pos, row, keep..., parts): each row of raw text as its lines (line, and how many blank lines stand before it in
+    the row), blank ones left out.
 
-    Transitions are between successive lines by a window over each conversation's chunk; symbols by a map over lines.
+    Null and blank texts have no lines. Rows of one place (pos) are told apart by a hash of their text. A row without a
+    conversation is one by itself, named by its content.
+    """
+    raw = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
+    own = F.concat(F.lit("?"), F.xxhash64(F.col(text), *order).cast("string"))
+    split = turns.select(
+        F.coalesce(F.col(conv).cast("string"), own).alias("conv"), F.array(*[F.col(c).cast("long") for c in order]).alias("pos"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), *keep,
+        # a part is a line with the blank lines after it; blank lines at the top of a text are one part
+        F.split(raw, r"\n(?=[^\S\n]*\S)").alias("raw_parts"),
+    )
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    before = lambda i: F.get("raw_parts", i - 1)
+    blanks = lambda i: F.when(i > 0, newlines(before(i)) + F.when(before(i).rlike(r"\S"), 0).otherwise(1)).otherwise(0)
+    lines = F.filter(F.transform("raw_parts", lambda x, i: F.struct(F.substring_index(x, "\n", 1).alias("line"), blanks(i).cast("int").alias("blanks"))), lambda x: x["line"].rlike(r"\S"))
+    return split.select("conv", "pos", "row", *keep, lines.alias("parts"))
+
+
+def fit(rows: DataFrame, smooth: float = 0.5, window: int = 64) -> Model:
+    """Counted over all rows of ``rows_of`` with a known role (column role), each of which is one turn: its first line
+    begins, the others go on.
+
+    Moves between turns are counted between neighbours within ``window`` successive numbers of the first place, so that a
+    conversation of any length is spread. Rows of other roles, and rows without lines, count for nothing.
     """
-    role = F.create_map(*[x for k, r in enumerate(ROLES) for x in (F.lit(r), F.lit(2 * k))])
-    known = lines.where(F.col("role").isin(*ROLES)).withColumn("state", role[F.col("role")] + (F.col("line_no") > 0).cast("int"))
-    w = Window.partitionBy("conv", "chunk").orderBy("turn_pos", "line_no")
-    pairs = known.withColumn("before", F.coalesce(F.lag("state").over(w), F.when(F.col("chunk") == 0, F.lit(-1)).otherwise(F.lit(-2))))
+    number = F.create_map(*[x for k, r in enumerate(ROLES) for x in (F.lit(r), F.lit(2 * k))])
+    known = rows.where(F.col("role").isin(*ROLES) & (F.size("parts") > 0)).withColumn("state", number[F.col("role")])
 
-    def symbols(batches):
+    def within(batches):
+        move, emit = np.zeros((N_STATES, N_STATES), np.int64), np.zeros((N_STATES, N_SYMBOLS), np.int64)
         for b in batches:
-            values = [symbol(x or "", bool(a)) for x, a in zip(b.column("line").to_pylist(), b.column("after_blank").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("before"), b.column("state"), pa.array(values, pa.int32())], names=["before", "state", "symbol"])
-
-    counts = pairs.select(F.col("before").cast("int"), F.col("state").cast("int"), "line", "after_blank").mapInArrow(symbols, "before int, state int, symbol int").groupBy("before", "state", "symbol").count().collect()
+            for state, parts in zip(b.column("state").to_pylist(), b.column("parts"), strict=True):
+                symbols = _symbols(parts.as_py())
+                emit[state, symbols[0]] += 1
+                np.add.at(emit[state + 1], symbols[1:], 1)
+                if len(symbols) > 1:
+                    move[state, state + 1] += 1
+                    move[state + 1, state + 1] += len(symbols) - 2
+        for kind, table in ((0, move), (1, emit)):
+            i, j = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(table[i, j])], names=["kind", "a", "b", "n"])
+
+    inner = known.select("state", "parts").mapInArrow(within, "kind int, a int, b int, n long")
+    turn = F.coalesce(F.col("pos")[0], F.lit(0))
+    w = Window.partitionBy("conv", "block").orderBy("pos", "row")
+    ends = known.select("conv", "pos", "row", F.floor(turn / window).alias("block"), "state", (F.col("state") + (F.size("parts") > 1).cast("int")).alias("end"))
+    moves = ends.withColumn("before", F.coalesce(F.lag("end").over(w), F.when(F.col("block") == 0, F.lit(START)).otherwise(F.lit(-1)))).where("before >= 0")
+    between = moves.groupBy(F.lit(0).alias("kind"), F.col("before").cast("int").alias("a"), F.col("state").cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     start, move, emit = np.zeros(N_STATES), np.zeros((N_STATES, N_STATES)), np.zeros((N_STATES, N_SYMBOLS))
-    for r in counts:  # at most states x states x symbols rows
-        if r["before"] == -1:
-            start[r["state"]] += r["count"]
-        elif r["before"] >= 0:
-            move[r["before"], r["state"]] += r["count"]
-        emit[r["state"], r["symbol"]] += r["count"]
+    # at most (states + 1) x states + states x symbols rows
+    for r in inner.unionByName(between).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():
+        table = emit if r["kind"] else start if r["a"] == START else move
+        table[r["b"] if table is start else (r["a"], r["b"])] += r["n"]
     return Model(start, move, emit, smooth)
 
 
-def chunks_of(lines: DataFrame) -> DataFrame:
-    """(conv, chunk, lines) with a chunk's lines in order: by turn, line and, for several rows of a turn, wording.
+def _symbols(lines: list[dict]) -> np.ndarray:
+    return np.array([symbol(x["line"] or "", bool(x["blanks"])) for x in lines], np.int64)
+
+
+_CHUNK = "conv string, part int, run int, chunk int, starts boolean, ends boolean, lines array<struct<line: string, blanks: int>>"
+_LINE_KIND = pa.list_(pa.struct([("line", pa.string()), ("blanks", pa.int32())]))
 
-    Repeated rows count once. A chunk is bounded by the turns that one number of ``chunk`` covers.
+
+def chunks_of(rows: DataFrame, most_lines: int = CHUNK_LINES, most_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(conv, part, run, chunk, starts, ends, lines), written: the lines of all rows in order of conversation, place, row and
+    line, cut into chunks.
+
+    A run is what one partition (part) holds of one conversation; ``starts`` and ``ends`` say whether another one's lines
+    stand before its first chunk, or after its last, in the same partition. Repeated rows of one place count once.
     """
-    item = F.struct("turn_pos", "line_no", "line", "after_blank")
-    keyed = lines.select(F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv"), F.col("chunk").cast("long").alias("chunk"), item.alias("item")).distinct()
-    return keyed.groupBy("conv", "chunk").agg(F.array_sort(F.collect_list("item")).alias("lines"))
+    key = ["conv", "pos", "row", "line_no", "line"]
+    lines = rows.select("conv", "pos", "row", F.posexplode("parts").alias("line_no", "part")).select("conv", "pos", "row", "line_no", "part.line", "part.blanks")
+    dealt = lines.repartitionByRange(partitions(rows), *key).sortWithinPartitions(*key)
+
+    def table(chunks):
+        conv, part, run, chunk, starts, ends, items = zip(*chunks, strict=True)
+        ints = [pa.array(x, pa.int32()) for x in (part, run, chunk)]
+        return pa.RecordBatch.from_arrays([pa.array(conv, pa.string()), *ints, pa.array(starts, pa.bool_()), pa.array(ends, pa.bool_()), pa.array(items, _LINE_KIND)], names=["conv", "part", "run", "chunk", "starts", "ends", "lines"])
+
+    def cut(batches):
+        part = TaskContext.get().partitionId()
+        conv, run, chunk, items, chars, last = None, -1, 0, [], 0, None
+        done = []
+        for batch in batches:
+            for c, *place, line, blanks in zip(*(batch.column(x).to_pylist() for x in (*key, "blanks")), strict=True):
+                same = c == conv
+                if same and (place, line) == last:
+                    continue  # the same row again
+                if items and (not same or len(items) >= most_lines or chars >= most_chars):
+                    done.append((conv, part, run, chunk, run > 0, not same, items))
+                    chunk, items, chars = chunk + 1, [], 0
+                if not same:
+                    conv, run, chunk = c, run + 1, 0
+                items.append({"line": line, "blanks": blanks})
+                chars += len(line)
+                last = (place, line)
+            if done:
+                yield table(done)
+                done = []
+        if items:
+            yield table([(conv, part, run, chunk, run > 0, False, items)])
 
+    return written(dealt.select(*key, "blanks").mapInArrow(cut, _CHUNK))
 
-def _symbols(items: list[dict]) -> np.ndarray:
-    return np.array([symbol(x["line"] or "", bool(x["after_blank"])) for x in items], np.int64)
 
+# --- decoding ------------------------------------------------------------------------------------------------------------
 
-def ends_of(steps: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """From the matrices of a conversation's chunks: the best states before each chunk and at its end."""
-    scores = [steps[0][0]]
-    for s in steps[1:]:
-        scores.append((scores[-1][:, None] + s).max(0))
-    state = int(scores[-1].argmax())
-    last = [state]
-    for k in range(len(steps) - 1, 0, -1):
-        state = int((scores[k - 1] + steps[k][:, state]).argmax())
-        last.append(state)
-    last = last[::-1]
-    return [-1, *last[:-1]], last
 
+def _listed(m: np.ndarray) -> list[float]:
+    return m.ravel().tolist()
 
-def parse(lines: DataFrame, model: Model) -> DataFrame:
-    """(conv, chunk, turn_pos, line_no, line, role, begins) of every line; see ``lines_of`` for the input.
 
-    A conversation of one chunk is decoded at once. Chunks of a longer one are decoded in three steps: a matrix for
-    each, their products along the conversation (36 numbers a chunk), then every chunk between its ends.
-    """
+def _matrix(values) -> np.ndarray:
+    return np.asarray(values, float).reshape(N_STATES + 1, N_STATES)
+
+
+def _crossing(runs: DataFrame) -> list:
+    """The runs that touch an end of their partition, at most two a partition, in order."""
+    return sorted(runs.where("not (starts and ends)").collect(), key=lambda r: (r["part"], r["run"]))
+
+
+def _chains(rows: list) -> list[list]:
+    """Successive runs of one conversation. A run that does not end in its partition goes on in the next that has lines, if
+    that begins with the same conversation."""
+    out: list[list] = []
+    for r in rows:
+        if out and out[-1][-1]["conv"] == r["conv"] and not out[-1][-1]["ends"] and not r["starts"]:
+            out[-1].append(r)
+        else:
+            out.append([r])
+    return out
+
+
+def _between(long: DataFrame, model: Model) -> DataFrame:
+    """(part, run, chunk, before, last): the best states before and at the end of the chunks of conversations that have more
+    than one. Matrices are gathered by run, so a list is bounded by a partition's lines."""
+    spark = long.sparkSession
 
     def matrices(batches):
         for batch in batches:
-            m = [chunk_matrix(model, _symbols(x), c == low).ravel() for x, c, low in zip(batch.column("lines").to_pylist(), batch.column("chunk").to_pylist(), batch.column("lowest").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("chunk"), pa.array(m, pa.list_(pa.float64()))], names=["conv", "chunk", "m"])
+            m = [_listed(chunk_matrix(model, _symbols(x))) for x in batch.column("lines").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv", "part", "run", "chunk", "starts", "ends")), pa.array(m, pa.list_(pa.float64()))], names=["conv", "part", "run", "chunk", "starts", "ends", "m"])
 
-    def ends(batches):
-        for batch in batches:
-            conv, chunk, before, last = [], [], [], []
-            for c, ms in zip(batch.column("conv").to_pylist(), batch.column("ms").to_pylist(), strict=True):
-                b, e = ends_of([np.asarray(x["m"], float).reshape(N_STATES, N_STATES) for x in ms])
-                conv += [c] * len(ms)
-                chunk += [x["chunk"] for x in ms]
-                before += b
-                last += e
-            yield pa.RecordBatch.from_arrays([pa.array(conv, pa.string()), pa.array(chunk, pa.int64()), pa.array(before, pa.int32()), pa.array(last, pa.int32())], names=["conv", "chunk", "before", "last"])
-
-    line_kind = pa.list_(pa.struct([("turn_pos", pa.list_(pa.int64())), ("line_no", pa.int32()), ("line", pa.string()), ("role", pa.string()), ("begins", pa.bool_())]))
-
-    def states(batches):
+    head = "conv string, part int, run int"
+    each = long.select("conv", "part", "run", "chunk", "starts", "ends", "lines").mapInArrow(matrices, f"{head}, chunk int, starts boolean, ends boolean, m array<double>")
+    runs = written(each.groupBy("conv", "part", "run").agg(F.max("starts").alias("starts"), F.max("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("chunk", "m"))).alias("ms")))
+
+    def products(batches):
         for batch in batches:
             out = []
-            for items, b, e in zip(batch.column("lines").to_pylist(), batch.column("before").to_pylist(), batch.column("last").to_pylist(), strict=True):
-                found = decode(model, _symbols(items), b, e)
-                out.append([{"turn_pos": x["turn_pos"], "line_no": x["line_no"], "line": x["line"], "role": ROLES[k // 2], "begins": k % 2 == 0} for x, k in zip(items, found, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("chunk"), pa.array(out, line_kind)], names=["conv", "chunk", "lines"])
-
-    chunks = written(chunks_of(lines))
-    spans = chunks.groupBy("conv").agg(F.min("chunk").alias("lowest"), F.max("chunk").alias("highest"))
-    both = chunks.join(spans, "conv")
-    short = both.where("lowest = highest").select("conv", "chunk", "lines", F.lit(-1).alias("before"), F.lit(-1).alias("last"))
-    long = both.where("lowest < highest")
-    table = long.select("conv", "chunk", "lowest", "lines").mapInArrow(matrices, "conv string, chunk long, m array<double>")
-    along = table.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("chunk", "m"))).alias("ms"))
-    between = along.mapInArrow(ends, "conv string, chunk long, before int, last int")
-    parts = long.join(between, ["conv", "chunk"]).select("conv", "chunk", "lines", "before", "last")
-    out = short.unionByName(parts).mapInArrow(states, "conv string, chunk long, lines array<struct<turn_pos: array<long>, line_no: int, line: string, role: string, begins: boolean>>")
-    return out.select("conv", "chunk", F.inline("lines"))
+            for ms in batch.column("ms").to_pylist():
+                m = _matrix(ms[0]["m"])
+                for x in ms[1:]:
+                    m = chained(m, _matrix(x["m"]))
+                out.append(_listed(m))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv", "part", "run", "starts", "ends")), pa.array(out, pa.list_(pa.float64()))], names=["conv", "part", "run", "starts", "ends", "m"])
+
+    known = []
+    for chain in _chains(_crossing(runs.mapInArrow(products, f"{head}, starts boolean, ends boolean, m array<double>"))):
+        before, last = ends_of([_matrix(r["m"]) for r in chain])
+        known += [(r["part"], r["run"], b, e) for r, b, e in zip(chain, before, last, strict=True)]
+    # two rows a partition at most
+    ends = F.broadcast(spark.createDataFrame(known, "part int, run int, before int, last int"))
+
+    def inner(batches):
+        for batch in batches:
+            rows = []
+            for part, run, ms, before, last in zip(*(batch.column(c).to_pylist() for c in ("part", "run", "ms", "before", "last")), strict=True):
+                b, e = ends_of([_matrix(x["m"]) for x in ms], START if before is None else before, -1 if last is None else last)
+                rows += [(part, run, x["chunk"], i, j) for x, i, j in zip(ms, b, e, strict=True)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32()) for c in columns], names=["part", "run", "chunk", "before", "last"])
 
+    return runs.join(ends, ["part", "run"], "left").select("part", "run", "ms", "before", "last").mapInArrow(inner, "part int, run int, chunk int, before int, last int")
 
-def turns_of(parsed: DataFrame) -> DataFrame:
-    """(conv, turn, role, text, rendered): lines gathered into turns, each from a line that begins to the next, markers
-    removed. Turns are numbered within their chunk's order; gathering is by conversation and turn."""
 
-    def bare(batches):
-        for b in batches:
-            text = [marker(x or "")[1] if first else (x or "") for x, first in zip(b.column("line").to_pylist(), b.column("begins").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv", "chunk", "turn_pos", "line_no", "role", "begins")), pa.array(text, pa.string())], names=["conv", "chunk", "turn_pos", "line_no", "role", "begins", "text"])
-
-    plain = parsed.select("conv", "chunk", "turn_pos", "line_no", "role", "begins", "line").mapInArrow(bare, "conv string, chunk long, turn_pos array<long>, line_no int, role string, begins boolean, text string")
-    w = Window.partitionBy("conv", "chunk").orderBy("turn_pos", "line_no", "text").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = plain.withColumn("turn", F.sum(F.col("begins").cast("int")).over(w))
-    item = F.struct("turn_pos", "line_no", "text")
-    out = numbered.groupBy("conv", "chunk", "turn", "role").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    text = F.array_join(F.transform("items", lambda x: x["text"]), "\n")
-    return out.select("conv", "chunk", "turn", "role", text.alias("text"), F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), text, F.lit("\n<|end|>")).alias("rendered"))
+_TURNS = "conv string, part int, run int, chunk int, starts boolean, ends boolean, begun int, pieces array<struct<k: int, role: string, text: string>>"
+_PIECE_KIND = pa.list_(pa.struct([("k", pa.int32()), ("role", pa.string()), ("text", pa.string())]))
+
+
+def pieces_of(lines: list[dict], states: list[int]) -> tuple[int, list[dict]]:
+    """How many turns begin in a chunk, and what it holds of each: piece 0 belongs to the turn before. Markers go, blank lines
+    within a turn stay."""
+    out: list[dict] = []
+    begun = 0
+    for x, s in zip(lines, states, strict=True):
+        if s % 2 == 0:
+            begun += 1
+            out.append({"k": begun, "role": ROLES[s // 2], "text": [marker(x["line"])[1]]})
+            continue
+        if not out:
+            out.append({"k": 0, "role": ROLES[s // 2], "text": []})
+        out[-1]["text"].append("\n" * x["blanks"] + x["line"])
+    return begun, [{**p, "text": "\n".join(p["text"])} for p in out]
+
+
+def parse(chunks: DataFrame, model: Model) -> DataFrame:
+    """(conv, part, run, chunk, starts, ends, begun, pieces), written: the turns in each chunk of ``chunks_of``; see
+    ``pieces_of``. A conversation of one chunk is decoded at once, the chunks of others between their ends."""
+
+    def decoded(batches):
+        for batch in batches:
+            begun, pieces = [], []
+            for lines, before, last in zip(*(batch.column(c).to_pylist() for c in ("lines", "before", "last")), strict=True):
+                n, found = pieces_of(lines, decode(model, _symbols(lines), before, last))
+                begun.append(n)
+                pieces.append(found)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("conv", "part", "run", "chunk", "starts", "ends")), pa.array(begun, pa.int32()), pa.array(pieces, _PIECE_KIND)], names=["conv", "part", "run", "chunk", "starts", "ends", "begun", "pieces"]
+            )
+
+    whole = F.expr("starts and ends and chunk = 0")
+    head = ["conv", "part", "run", "chunk", "starts", "ends", "lines"]
+    short = chunks.where(whole).select(*head, F.lit(START).alias("before"), F.lit(-1).alias("last"))
+    long = chunks.where(~whole)
+    parts = long.join(_between(long, model), ["part", "run", "chunk"]).select(*head, "before", "last")
+    return written(short.unionByName(parts).mapInArrow(decoded, _TURNS))
+
+
+def turns_of(parsed: DataFrame) -> DataFrame:
+    """(conv, turn, role, text, rendered): turns numbered from 0 along each conversation, each from a line that begins to the
+    next. Only turns that may cross a chunk's end are gathered."""
+    spark = parsed.sparkSession
+    counts = parsed.where("not (starts and ends and chunk = 0)").select("conv", "part", "run", "chunk", "starts", "ends", "begun")
+    runs = counts.groupBy("conv", "part", "run").agg(F.max("starts").alias("starts"), F.max("ends").alias("ends"), F.sum("begun").alias("begun"))
+    known = []
+    for chain in _chains(_crossing(runs)):
+        total = 0
+        for r in chain:
+            known.append((r["part"], r["run"], total))
+            total += r["begun"]
+    base = F.broadcast(spark.createDataFrame(known, "part int, run int, base long"))  # two rows a partition at most
+    w = Window.partitionBy("part", "run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(base, ["part", "run"], "left").select("part", "run", "chunk", (F.coalesce("base", F.lit(0)) + F.coalesce(F.sum("begun").over(w), F.lit(0))).alias("offset"))
+    placed = parsed.join(offsets, ["part", "run", "chunk"], "left").select("conv", "part", "run", "chunk", "starts", "ends", "begun", F.coalesce("offset", F.lit(0)).alias("offset"), F.inline("pieces"))
+    # the last turn of a chunk may go on in the next, unless another conversation follows
+    crosses = (F.col("k") == 0) | ((F.col("k") == F.col("begun")) & ~F.col("ends"))
+    numbered = placed.select("conv", "part", "run", "chunk", (F.col("offset") + F.col("k") - 1).alias("turn"), "role", "text", crosses.alias("crosses"))
+    within = numbered.where("not crosses").select("conv", "turn", "role", "text")
+    gathered = numbered.where("crosses").groupBy("conv", "turn").agg(F.min_by("role", F.struct("part", "run", "chunk")).alias("role"), F.array_sort(F.collect_list(F.struct("part", "run", "chunk", "text"))).alias("items"))
+    joined = gathered.select("conv", "turn", "role", F.array_join(F.transform("items", lambda x: x["text"]), "\n").alias("text"))
+    out = within.unionByName(joined)
+    return out.select("conv", "turn", "role", "text", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>")).alias("rendered"))
