@@ -2,31 +2,34 @@
 
 Tokens of a page are its tags, told apart by the path of containers they stand in, and its text blocks. Over the pages
 of a host every token has an occurrence vector, how often it occurs in each page; tokens of equal vectors form an
-equivalence class. A class is valid if it occurs in enough of the host's pages that have any tokens. The class of the
-highest support is the root template, as single pages may be broken or of another layout; valid classes are nested into
-it by their containers, and what lies between template tokens are slots. Text of valid classes, and text that almost
-all pages have, is the template's own; slots in containers of menus, headers, notices and the like are
-not the page's main text, and what remains is extracted whole.
-
-A vector is kept as a sum of hashes over pages, so it is aggregated with partial sums, however many pages a host has;
-a host's template is bounded by the tokens of a page. Nothing of a host is gathered.
+equivalence class. The class of the highest support is the root of the template, as single pages may be broken or of
+another layout. Another class is valid if it occurs in enough of the host's pages, its tokens come in one order wherever
+it occurs, and all of them lie between the same two tokens of the root: so it is nested into that slot. What lies between
+the template's tokens are slots. Text of the template's classes, and text that almost all pages have, is the template's
+own; slots in containers of menus, headers, notices and the like are not the page's main text, and what remains is
+extracted whole.
+
+Each page is parsed once, into a written table. A vector is kept as a sum of hashes over pages, and orders and places are
+counted, so both are aggregated with partial sums, however many pages a host has; a host's template is bounded by the
+tokens of a page. Nothing of a host is gathered but its template.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 # Names of HTML elements by the part they play.
-SKIPPED = frozenset("head script style noscript template svg iframe object select button textarea option canvas math audio video map".split())
+SKIPPED = frozenset("head script style noscript template svg iframe object select button textarea option canvas math audio video map noembed noframes".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 _EVIDENCE = 4  # text in a main element, or in a page's only article, weighs so many times other text
@@ -36,17 +39,25 @@ BLOCKS = frozenset(
 )
 CONTAINERS = (BLOCKS | SKIPPED) - frozenset(["hr"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe".split())
-# Words in a class, id or role that mark what is not main text.
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|disqus|consent|cookie|cookies|gdpr|copyright|footer|header|masthead|menu|menubar|nav|navbar|navigation|"
-    r"newsletter|notice|notices|notification|alert|pagination|pager|popup|modal|promo|promotion|related|recommended|reply|replies|respond|search|share|sharing|sidebar|side|skip|social|sponsor|sponsored|subscribe|signup|login|toolbar|"
-    r"widget|complementary|contentinfo|toc|tags)(?:$|[\s_-]|\d)",
-    re.I,
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+# Words in a class, id or role that mark what is not main text: strong ones wherever a name begins or ends
+# with them, all of them where a name has no other words than these and those of layout.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comments disqus consent cookie cookies gdpr copyright footer masthead menu menubar nav navbar navigation newsletter "
+    "pagination popup modal promo sidebar sponsor sponsored subscribe contentinfo".split()
 )
-CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HINTS = STRONG | frozenset(
+    "header notice notices notification notifications alert pager promotion promoted related recommended recommendation recommendations reply replies respond comment search share sharing social subscription signup login "
+    "toolbar complementary".split()
+)
+LAYOUT = frozenset(
+    "area bar bars block body bottom box buttons button card center col column container content global grid group holder icons inner item items left link links list main message middle module outer page panel "
+    "post posts primary right row secondary section site slot space stories story text thread title top unit widget widgets wrap wrapper zone article articles form side skip to".split()
+)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_ATTRIBUTES = r"""(?:[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|[\s/=]++)*+"""
+TAG = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^A-Za-z>][^>]*(?:>|\Z))|<(/?)([A-Za-z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?""")
 BLANK = re.compile(r"\s+")
 
 
@@ -70,7 +81,7 @@ def tokens(page: str):
             continue
         yield 1, name, m.group(3)
         if name in RAW:  # its text is not markup
-            end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else n
             yield 0, "", page[at:stop]
             at = stop
@@ -82,34 +93,44 @@ def _attributes(text: str) -> dict[str, str]:
     return {m.group(1).lower(): html.unescape(m.group(2) or m.group(3) or m.group(4) or "") for m in ATTRIBUTE.finditer(text)}
 
 
+def hinted(marks: str) -> bool:
+    """Whether one of the names in a class, id or role says that this is no main text."""
+    for name in marks.split():
+        words = [w.lower() for w in _WORDS.findall(name) if not w.isdigit()]
+        if words and (words[0] in STRONG or words[-1] in STRONG or any(w in HINTS for w in words) and all(w in HINTS or w in LAYOUT for w in words)):
+            return True
+    return False
+
+
 class Block:
-    """A text block: its text, the path of containers, how many of them are away, and its region: the number of the
-    outermost article, -1 in a main element outside articles, 0 in neither."""
+    """A text block: its text, token, how it is away (0: not, 1: by a hint, 2: by an element), its region (the number of the
+    outermost article, -1 in a main element outside articles, 0 in neither), the number of tags before it, its characters
+    within links and how many links."""
 
-    __slots__ = ("after", "linked", "off", "path", "region", "text")
+    __slots__ = ("after", "anchors", "linked", "off", "region", "text", "token")
 
-    def __init__(self, path, text, off, region, after, linked):
-        self.path, self.text, self.off, self.region = path, text, off, region
-        self.after, self.linked = after, linked  # tags before it; its characters within links
+    def __init__(self, text, token, off, region, after, linked, anchors):
+        self.text, self.token, self.off, self.region = text, token, off, region
+        self.after, self.linked, self.anchors = after, linked, anchors
 
 
-def parsed(page: str) -> tuple[list[str], list[Block]]:
-    """Tag tokens (container path and name, in page order) and text blocks of a page. Broken nesting is tolerated:
+def parsed(page: str) -> tuple[list[int], list[Block]]:
+    """Tag tokens (hashes of container path and name, in page order) and text blocks of a page. Broken nesting is tolerated:
     a closing tag closes the nearest open container of its name, if any; what stays open ends with the page."""
-    tags: list[str] = []
+    tags: list[int] = []
     blocks: list[Block] = []
     stack: list[tuple[str, str, int, int]] = []  # name, path, off, region
     parts: list[str] = []
-    linked = link = articles = 0
+    linked = link = anchors = articles = 0
 
     def flush():
-        nonlocal linked
+        nonlocal linked, anchors
         text = BLANK.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             path, off, region = stack[-1][1:] if stack else ("", 0, 0)
-            blocks.append(Block(path, text, off, region, len(tags), min(linked, len(text))))
+            blocks.append(Block(text, _hash(f"{path}\n{text}"), off, region, len(tags), min(linked, len(text)), anchors))
         parts.clear()
-        linked = 0
+        linked = anchors = 0
 
     for kind, name, value in tokens(page):
         if kind == 0:
@@ -118,6 +139,7 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
             continue
         if name == "a":
             link = kind > 0
+            anchors += link
             continue
         if name == "br" or name == "wbr":
             parts.append(" " if name == "br" else "")
@@ -129,28 +151,28 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
             stack.pop()  # a paragraph ends where any block begins or an outer one ends
         path, off, region = stack[-1][1:] if stack else ("", 0, 0)
         if kind < 0:
-            tags.append(f"{path}|/{name}")
+            tags.append(_hash(f"{path}|/{name}"))
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
             continue
         a = _attributes(value)
-        marks = " ".join(CAMEL.sub(" ", a[k]) for k in ("class", "id", "role") if k in a)
         label = f"{name}.{a['class'].strip()}" if a.get("class") else name
-        tags.append(f"{path}|{label}")
+        tags.append(_hash(f"{path}|{label}"))
         if name in VOID or name not in CONTAINERS and name != "title":
             continue
         hidden = "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower() or a.get("aria-hidden") == "true"
-        away = name in SKIPPED or name == "title" or name in BOILERPLATE or hidden or (name not in ("body", "html", *MAIN) and bool(marks) and HINTS.search(marks) is not None)
-        if name in MAIN and marks and re.search(r"comment|reply|related|teaser|promo", marks, re.I):
-            away = True
+        if name in SKIPPED or name == "title" or name in BOILERPLATE or hidden:
+            off = 2
+        elif not off and name not in ("body", "html") and hinted(" ".join(a[k] for k in ("class", "id", "role") if k in a)):
+            off = 1
         if name == "article" and region <= 0:
             articles += 1
             region = articles
         elif not region and (name == "main" or a.get("role") == "main"):
             region = -1
-        stack.append((name, f"{path}/{label}", off + away, region))
+        stack.append((name, f"{path}/{label}", off, region))
     flush()
     return tags, blocks
 
@@ -158,9 +180,13 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
 _MASK = (1 << 64) - 1
 
 
-def _hash(text: str, seed: int = 0) -> int:
-    """A 64-bit hash that is the same in every process."""
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+def _as_long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _hash(text: str) -> int:
+    """A signed 64-bit hash that is the same in every process."""
+    return _as_long(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
 def _spread(page: int, times: int) -> int:
@@ -170,97 +196,157 @@ def _spread(page: int, times: int) -> int:
     return x ^ (x >> 31)
 
 
-def _as_long(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def host_of(url):
     """A url's host in lower case; empty where there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
 
 
+_FIELDS = ("text", "token", "off", "region", "after", "linked", "anchors")
+_BLOCK = pa.struct([("text", pa.string()), ("token", pa.int64()), *((f, pa.int32()) for f in _FIELDS[2:])])
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """(id, url, host, page, tags, blocks), written: every page of (id, url, host, html) as its tokens; page is a hash of the
+    html."""
+
+    def run(batches):
+        for batch in batches:
+            keys, tags, blocks = [], [], []
+            for page in batch.column("html"):
+                page = page.as_py() or ""
+                t, b = parsed(page)
+                keys.append(_hash(page))
+                tags.append(t)
+                blocks.append([{f: getattr(x, f) for f in _FIELDS} for x in b])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url", "host")), pa.array(keys, pa.int64()), pa.array(tags, pa.list_(pa.int64())), pa.array(blocks, pa.list_(_BLOCK))], names=["id", "url", "host", "page", "tags", "blocks"])
+
+    kind = pages.schema["id"].dataType.simpleString()
+    ints = ", ".join(f"{f}: int" for f in _FIELDS[2:])
+    return written(pages.select("id", "url", "host", "html").mapInArrow(run, f"id {kind}, url string, host string, page long, tags array<long>, blocks array<struct<text: string, token: long, {ints}>>"))
+
+
 def vectors(pages: DataFrame) -> DataFrame:
     """(host, token, vector, support, is_text): the occurrence vector of each token over the host's pages, and in how many
-    pages it occurs; token 0 stands for the pages that have tokens. Tags count by path, text blocks by path and text."""
+    pages it occurs; token 0 stands for the pages that have tokens."""
 
     def run(batches):
         for batch in batches:
             sums: dict[tuple[str, int], list[int]] = {}
             texts: set[int] = set()
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                tags, blocks = parsed(page or "")
-                key = _hash(page or "", 1)
-                counts: dict[str, int] = {}
-                for t in tags:
-                    counts[t] = counts.get(t, 0) + 1
-                for b in blocks:
-                    t = f"{b.path}\n{b.text}"
-                    counts[t] = counts.get(t, 0) + 1
-                    texts.add(_hash(t))
-                for token, times in [*([(0, 1)] if counts else []), *((_hash(t), c) for t, c in counts.items())]:
+            for host, key, tags, blocks in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "tags", "tokens")), strict=True):
+                texts.update(blocks)
+                counts = Counter(tags)
+                counts.update(blocks)
+                for token, times in [*([(0, 1)] if counts else []), *counts.items()]:
                     s = sums.setdefault((host, token), [0, 0])
                     s[0] = (s[0] + _spread(key, times)) & _MASK
                     s[1] += 1
             if sums:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in sums]), pa.array([_as_long(k[1]) for k in sums], pa.int64()), pa.array([_as_long(v[0]) for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64()), pa.array([k[1] in texts for k in sums])],
+                    [pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int64()), pa.array([_as_long(v[0]) for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64()), pa.array([k[1] in texts for k in sums])],
                     names=["host", "token", "vector", "support", "is_text"],
                 )
 
-    parts = pages.mapInArrow(run, "host string, token long, vector long, support long, is_text boolean")
+    parts = pages.select("host", "page", "tags", F.col("blocks.token").alias("tokens")).mapInArrow(run, "host string, token long, vector long, support long, is_text boolean")
     # sums wrap around, as the hashes do: both halves are summed apart
     halves = parts.groupBy("host", "token").agg(F.sum(F.shiftrightunsigned("vector", 32)).alias("hi"), F.sum(F.col("vector").bitwiseAND(0xFFFFFFFF)).alias("lo"), F.sum("support").alias("support"), F.max("is_text").alias("is_text"))
     carry = F.pmod(F.col("hi") + F.shiftrightunsigned("lo", 32), F.lit(1 << 32))
     return halves.select("host", "token", F.shiftleft(carry, 32).bitwiseOR(F.col("lo").bitwiseAND(0xFFFFFFFF)).alias("vector"), "support", "is_text")
 
 
-def templates(pages: DataFrame, least_pages: int = 4, share: float = 0.5, missing: float = 0.1) -> DataFrame:
-    """(host, root: the tokens of the root class, valid: those of the other valid classes), one row a host that has at
-    least ``least_pages`` pages with tokens. A class is valid if it occurs in ``share`` of these and has two tokens or
-    more; the root is the class of the highest support, of these that of the most tokens. Text that at most ``missing``
-    of the pages lack belongs to the root, other text to a class only if ``least_pages`` pages have it."""
-    v = written(vectors(pages))
+def _known(pages: DataFrame, found: DataFrame, many_hosts: int) -> DataFrame:
+    """pages with their hosts' rows of ``found``, at most one a host."""
+    if found.count() <= many_hosts:  # a host's row has at most the tokens of a page or two
+        found = F.broadcast(found)
+    return pages.join(found, "host", "left")
+
+
+def placed(tags: list[int], root: frozenset[int], classes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Of one page, for each class of ``classes`` (token: class): its order (a hash of its tokens as they come) and the root's
+    token before all of them; 0 if they lie in several slots of the root."""
+    order: dict[int, list[int]] = {}
+    slots: dict[int, set[int]] = {}
+    at, number = 0, 0
+    before: dict[int, int] = {}
+    for t in tags:
+        if t in root:
+            at, number = t, number + 1
+        elif (c := classes.get(t)) is not None:
+            order.setdefault(c, []).append(t)
+            slots.setdefault(c, set()).add(number)
+            before[c] = at
+    return {c: (_hash(repr(seen)), before[c] if len(slots[c]) == 1 else 0) for c, seen in order.items()}
+
+
+def templates(pages: DataFrame, least_pages: int = 4, share: float = 0.5, missing: float = 0.1, many_hosts: int = 20_000) -> DataFrame:
+    """(host, root: the tokens of the root class, valid: those of the valid classes nested into it), one row a host that has
+    at least ``least_pages`` pages with tokens; pages as ``parsed_pages`` gives them.
+
+    A class is a candidate if it occurs in ``share`` of these pages and has two tokens or more; the root is the class of
+    the highest support, of these that of the most tokens. A candidate is valid if all but ``missing`` of the pages that
+    have its tags agree in their order and in the slot of the root that holds them all. Text that at most ``missing`` of
+    the pages lack belongs to the root, other text to a class only if ``least_pages`` pages have it.
+    """
+    v = written(vectors(pages).where("support >= 2 or token = 0"))  # what is on one page is in no template
     hosts = v.where("token = 0").select("host", F.col("support").alias("pages")).where(F.col("pages") >= least_pages)
-    often = v.where("token <> 0").join(hosts, "host").where(F.col("support") >= share * F.col("pages"))
+    often = v.where("token <> 0").join(hosts, "host").where((F.col("support") >= share * F.col("pages")) & (F.col("support") >= 2))
     classes = often.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("tokens"), F.max("support").alias("most"))
     roots = classes.groupBy("host").agg(F.max(F.struct("most", "tokens", "vector"))["vector"].alias("root"))
     known = often.join(classes, ["host", "vector"]).join(roots, "host")
     is_root = (F.col("vector") == F.col("root")) | (F.col("is_text") & (F.col("support") >= (1 - missing) * F.col("pages")))
-    is_valid = ~is_root & (F.col("tokens") > 1) & (~F.col("is_text") | (F.col("support") >= least_pages))
-    kept = known.groupBy("host").agg(F.collect_list(F.when(is_root, F.col("token"))).alias("root"), F.collect_list(F.when(is_valid, F.col("token"))).alias("valid"))
-    return written(kept)
+    is_class = ~is_root & (F.col("tokens") > 1) & (~F.col("is_text") | (F.col("support") >= least_pages))
+    member = F.struct("token", F.col("vector").alias("class"), "is_text")
+    drawn = written(known.groupBy("host").agg(F.collect_list(F.when(is_root, F.col("token"))).alias("root"), F.collect_list(F.when(is_class, member)).alias("members")))
 
-
-def extracted(page: str, root: frozenset[int] = frozenset(), valid: frozenset[int] = frozenset()) -> list[str]:
+    def places(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for host, tags, root, members in zip(*(batch.column(c).to_pylist() for c in ("host", "tags", "root", "members")), strict=True):
+                for c, found in placed(tags, frozenset(root), {m["token"]: m["class"] for m in members if not m["is_text"]}).items():
+                    counts[(host, c, *found)] += 1
+        columns = zip(*((*k, n) for k, n in counts.items()), strict=True) if counts else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["host", "class", "order", "before", "n"])
+
+    some = drawn.where(F.exists("members", lambda m: ~m["is_text"]))
+    seen = _known(pages.select("host", "tags"), some, many_hosts).where("members is not null").mapInArrow(places, "host string, class long, order long, before long, n long")
+    ways = seen.groupBy("host", "class", "order", "before").agg(F.sum("n").alias("n"))
+    each = ways.groupBy("host", "class").agg(F.sum("n").alias("all"), F.max(F.when(F.col("before") != 0, F.col("n"))).alias("best"))
+    broken = each.where(F.coalesce(F.col("best"), F.lit(0)) < (1 - missing) * F.col("all")).groupBy("host").agg(F.collect_set("class").alias("broken"))
+    good = F.filter("members", lambda m: F.col("broken").isNull() | ~F.array_contains("broken", m["class"]))
+    out = written(drawn.join(broken, "host", "left").select("host", "root", F.transform(good, lambda m: m["token"]).alias("valid")))
+    forget(v)
+    forget(drawn)
+    return out
+
+
+def extracted(tags: list[int], blocks: list[Block], root: frozenset[int] = frozenset(), valid: frozenset[int] = frozenset()) -> list[str]:
     """The blocks of a page's main text, given its host's template: tokens of the root class and of the other valid ones.
 
     A slot is what lies between two of the template's tags (between any two tags where there is no template). Slots
-    within containers of menus, notices and the like are away; so is text that the root or another valid class holds,
-    and so are slots that are mostly links, unless an article or a main element holds them. The remaining
-    slots are ranked by where they are: each article, the main element outside articles, and the rest of the page weigh
-    as much as their text is long, main elements and a page's only article ``_EVIDENCE`` times that. The main text is
-    what the heaviest of them holds, or all articles if it is an article. If less than half of what
-    articles and main elements hold is left without the template's text, they are taken to be near copies, and their
-    text stays.
+    within containers of menus, notices and the like are away (those that only a name marks are not if nothing else has
+    text); so is text that the root or another valid class holds, and so are slots of several links with hardly
+    any other text, unless an article or a main element holds them. The remaining slots are ranked by where they are:
+    each article, the main element outside articles, and the rest of the page weigh as much as their text is long, main
+    elements and a page's only article ``_EVIDENCE`` times that. The main text is what the heaviest of them holds, or
+    all articles if it is an article. If less than half of what articles and main elements hold is left without the
+    template's text, they are taken to be near copies, and their text stays.
     """
-    tags, blocks = parsed(page)
-    some = [b for b in blocks if not b.off]
+    some = [b for b in blocks if not b.off] or [b for b in blocks if b.off < 2]
     template = root | valid
-    own = [b for b in some if _as_long(_hash(f"{b.path}\n{b.text}")) not in template] if template else some
+    own = [b for b in some if b.token not in template] if template else some
     if 2 * sum(len(b.text) for b in own if b.region) < sum(len(b.text) for b in some if b.region):
         left = set(map(id, own))
         own = [b for b in some if b.region or id(b) in left]
-    bounds = [_as_long(_hash(t)) in template for t in tags] if template else [True] * len(tags)
     slot_after = [0]
-    for is_bound in bounds:
-        slot_after.append(slot_after[-1] + is_bound)
-    length: dict[int, int] = {}
-    linked: dict[int, int] = {}
+    for t in tags:
+        slot_after.append(slot_after[-1] + (not template or t in template))
+    slots: dict[int, list[int]] = {}
     for b in own:
-        k = slot_after[b.after]
-        length[k] = length.get(k, 0) + len(b.text)
-        linked[k] = linked.get(k, 0) + b.linked
-    own = [b for b in own if b.region or linked[slot_after[b.after]] <= 0.6 * length[slot_after[b.after]]]
+        s = slots.setdefault(slot_after[b.after], [0, 0, 0])
+        for k, x in enumerate((len(b.text), b.linked, b.anchors)):
+            s[k] += x
+    menus = {k for k, (length, linked, anchors) in slots.items() if anchors > 1 and linked > 0.8 * length}
+    own = [b for b in own if b.region or slot_after[b.after] not in menus]
     weight: dict[int, int] = {}
     for b in own:
         weight[b.region] = weight.get(b.region, 0) + len(b.text)
@@ -277,18 +363,15 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Repeated rows and ids give a row each; an empty table gives none; other columns are not read.
     """
     some = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    found = templates(some.select("host", "html"), **options)
-    if found.count() <= many_hosts:  # a host's template has at most the tokens of a page
-        found = F.broadcast(found)
-    both = some.join(found, "host", "left").select("id", "url", "html", "root", "valid")
+    read = parsed_pages(some)
+    both = _known(read, templates(read, many_hosts=many_hosts, **options), many_hosts).select("id", "url", "tags", "blocks", "root", "valid")
 
     def run(batches):
         for batch in batches:
             text = []
-            roots, valids = batch.column("root"), batch.column("valid")
-            for k, page in enumerate(batch.column("html")):
-                r, v = (frozenset(x[k].as_py() or ()) for x in (roots, valids))
-                text.append("\n".join(extracted(page.as_py() or "", r, v)))
+            for tags, blocks, root, valid in zip(*(batch.column(c) for c in ("tags", "blocks", "root", "valid")), strict=True):
+                read = [Block(**b) for b in blocks.as_py()]
+                text.append("\n".join(extracted(tags.as_py(), read, frozenset(root.as_py() or ()), frozenset(valid.as_py() or ()))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(text, pa.string()), pa.array(np.array([len(t) for t in text], np.int64))], names=["id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, f"id {both.schema['id'].dataType.simpleString()}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
