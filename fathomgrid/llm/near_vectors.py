@@ -3,10 +3,14 @@
 Vectors that are identical within a label are one node. Lists of nearest neighbours start from windows over sorted
 hyperplane signatures; then, round by round, every node's neighbours are introduced to each other (neighbours of
 neighbours are likely neighbours) and lists keep the nearest. A list whose every entry is above the threshold is
-saturated: it stands for all of its component, whose members are compared in blocks of bounded size, and it is
-enlarged by the nearest nodes of other components. To find those, windows go on beyond the run of a component, however
-long it is. Rounds go on until none joins components. Recall is audited against brute force on a bounded set of nodes,
-pooled and a node, and further rounds follow while it is too low. Edges at or above the threshold are kept.
+saturated: it stands for all of its component, and it is enlarged by the nearest nodes of other components. To find
+those, windows go on beyond the run of a component, however long it is. Rounds go on until none joins components. Edges
+at or above the threshold, in double precision, are kept.
+
+Links are counted within components, in blocks of near vectors: two blocks whose centres and radii say that all of their
+pairs link, or none, are settled by their weights alone, and only the others are compared. Recall is audited against brute
+force on a bounded set of nodes, pooled and a node; further rounds follow while it is too low, and a run that ends below
+``least`` is an error.
 
 The lists bound what a round moves: each node receives its neighbours' vectors, twice ``list_size`` of them at most.
 """
@@ -16,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,12 +193,12 @@ def _lists(pairs: DataFrame, size: int, groups: DataFrame | None = None) -> Data
 
 
 def _introduced(lists: DataFrame, nodes: DataFrame, threshold: float, size: int, groups: DataFrame | None = None) -> DataFrame:
-    """Neighbours of each node compared with each other: (node, other, sim) both ways, of those that improve a list
-    or reach the threshold; given components, of nodes of different ones."""
+    """Neighbours of each node compared with each other: (node, other, sim, edge) both ways, of those that improve a list
+    or are an edge; given components, of nodes of different ones. The edges connect what the links in a list connect."""
     placed = nodes.withColumn("component", F.col("node")) if groups is None else nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     worst = lists.where("foreign").groupBy("node").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n")).select("node", F.when(F.col("n") < size, -1.0).otherwise(F.col("low")).alias("low"))
     other = placed.join(worst, "node", "left").select(F.col("node").alias("other"), "vec", "component", F.coalesce("low", F.lit(-1.0)).alias("low"))
-    meet = lists.select("node", "other").join(other, "other").repartition(partitions(lists), "node").sortWithinPartitions("node")
+    meet = lists.select("node", "other").join(other, "other").repartition(partitions(lists), "node").sortWithinPartitions("node", "other")
 
     def run(batches):
         rest = None
@@ -223,22 +228,71 @@ def _introduced(lists: DataFrame, nodes: DataFrame, threshold: float, size: int,
                 sims = x @ x.transpose(0, 2, 1)
                 i, j = np.nonzero(~np.eye(k, dtype=bool))
                 s = sims[:, i, j]
-                good = ((s > low[at][:, i]) | (s >= threshold)) & (component[at][:, i] != component[at][:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(other[at][:, i][good]), pa.array(other[at][:, j][good]), pa.array(s[good])], names=["node", "other", "sim"])
-
-    return meet.select("node", "other", "vec", "low", "component").mapInArrow(run, "node long, other long, sim double")
-
+                differ = component[at][:, i] != component[at][:, j]
+                # of the links within a list, those that a common link to an earlier entry makes needless are left out
+                near = (sims >= threshold) & (component[at][:, :, None] != component[at][:, None, :])
+                near[:, np.arange(k), np.arange(k)] = False
+                close = near.astype(np.float32)
+                needless = np.matmul(np.tril(close, -1), close) > 0
+                needless = np.where(np.tri(k, k, -1, bool), needless.transpose(0, 2, 1), needless)
+                edge = (near & ~needless)[:, i, j]
+                good = differ & ((s > low[at][:, i]) | edge)
+                yield pa.RecordBatch.from_arrays([pa.array(other[at][:, i][good]), pa.array(other[at][:, j][good]), pa.array(s[good]), pa.array(edge[good])], names=["node", "other", "sim", "edge"])
+
+    return meet.select("node", "other", "vec", "low", "component").mapInArrow(run, "node long, other long, sim double, edge boolean")
+
+
+def _blocks(members: DataFrame, ordered: DataFrame, block: int) -> DataFrame:
+    """(component, block, weight, centre, radius, nodes), written: members (component, node, vec, copies) cut into blocks of at
+    most ``block`` nodes of one component, near ones together (in the order of ``ordered``: node, bits, along). Every node is
+    within an angle of ``radius`` of the centre."""
+    key = ["component", "bits", "along", "node"]
+    dealt = members.join(ordered.select("node", "bits", "along"), "node").repartitionByRange(partitions(members), *key).sortWithinPartitions(*key)
 
-def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, n_links, edge to a lower node or null) within components: members (component, node, vec, copies), compared in
-    pairs of blocks of about ``block`` nodes, however large a component is."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    cut = members.join(sizes, "component").withColumn("parts", F.ceil(F.col("size") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # part i meets part j >= i in cell (i, j)
-    cells = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "component", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "node", "copies", "vec"
+    def run(batches):
+        at = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            component, node, copies = (np.asarray(batch.column(c)) for c in ("component", "node", "copies"))
+            cuts = np.flatnonzero(np.r_[True, component[1:] != component[:-1], True])
+            rows = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                x = _unit(_matrix(batch.column("vec").slice(int(a), int(b - a))))
+                for lo in range(0, b - a, block):
+                    part = x[lo : lo + block]
+                    centre = _unit(part.mean(0, keepdims=True))[0] if part.mean(0).any() else part[0]
+                    radius = float(np.arccos(np.clip(part @ centre, -1, 1)).max())
+                    here = slice(a + lo, min(b, a + lo + block))
+                    rows.append((int(component[a]), TaskContext.get().partitionId() << 40 | at, int(copies[here].sum()), centre.tolist(), radius, node[here].tolist()))
+                    at += 1
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["component", "block", "weight", "centre", "radius", "nodes"])
+
+    return written(dealt.select("component", "node", "copies", "vec").mapInArrow(run, "component long, block long, weight long, centre array<double>, radius double, nodes array<long>"))
+
+
+def _counted(members: DataFrame, ordered: DataFrame, threshold: float, block: int, slack: float = 1e-6) -> DataFrame:
+    """(node, n_links) within components: members (component, node, vec, copies) by pairs of blocks. Only pairs of blocks that
+    the triangle inequality of angles leaves open are compared, vector by vector."""
+    blocks = _blocks(members, ordered, block)
+    head = blocks.select("component", "block", "weight", "centre", "radius")
+    a, b = (head.select("component", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "weight", "centre", "radius")]) for k in "ab")
+    dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+    widths, most = F.col("radius_a") + F.col("radius_b"), float(np.arccos(threshold))
+    pairs = a.join(b, "component").where("block_a <= block_b").withColumns({"all": F.when(F.col("block_a") == F.col("block_b"), F.lit(0.0)).otherwise(apart) + widths <= most - slack, "none": apart - widths > most + slack})
+    pairs = written(pairs.where("not none").select("component", "block_a", "block_b", "weight_a", "weight_b", "all"))
+    whole = pairs.where("all")
+    sums = whole.select(F.col("block_a").alias("block"), F.when(F.col("block_a") == F.col("block_b"), F.col("weight_b") - 1).otherwise(F.col("weight_b")).alias("n")).unionByName(
+        whole.where("block_a <> block_b").select(F.col("block_b").alias("block"), F.col("weight_a").alias("n"))
     )
-    dealt = cells.repartition(partitions(members), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    settled = sums.groupBy("block").agg(F.sum("n").alias("n")).join(blocks.select("block", "nodes"), "block").select(F.explode("nodes").alias("node"), F.col("n").alias("n_links"))
+    open_pairs = pairs.where("not all").select(F.col("block_a").alias("i"), F.col("block_b").alias("j"))
+    sides = open_pairs.select("i", "j", F.col("i").alias("part")).unionByName(open_pairs.where("i <> j").select("i", "j", F.col("j").alias("part")))
+    placed = blocks.select(F.col("block").alias("part"), F.explode("nodes").alias("node"))
+    cells = sides.join(placed, "part").join(members.select("node", "copies", "vec"), "node").select("i", "j", "part", "node", "copies", "vec")
+    dealt = cells.repartition(partitions(members), "i", "j").sortWithinPartitions("i", "j")
 
     def count(table: pa.Table):
         x = _unit(_matrix(table.column("vec")))
@@ -248,11 +302,9 @@ def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
         near = x[a] @ x[b].T >= threshold
         if i == j:
             np.fill_diagonal(near, False)
-            links = near @ copies[b] + copies[a] - 1
-            who, n = node[a], links
+            who, n = node[a], near @ copies[b] + copies[a] - 1
         else:
-            who = np.r_[node[a], node[b]]
-            n = np.r_[near @ copies[b], near.T @ copies[a]]
+            who, n = np.r_[node[a], node[b]], np.r_[near @ copies[b], near.T @ copies[a]]
         return pa.RecordBatch.from_arrays([pa.array(who), pa.array(n.astype(np.int64))], names=["node", "n_links"])
 
     def run(batches):
@@ -263,22 +315,24 @@ def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
                 table = pa.concat_tables([rest, table]) if table is not None else rest
             if table is None or not len(table):
                 continue
-            c, i, j = (np.asarray(table.column(k)) for k in ("component", "i", "j"))
-            cuts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+            i, j = (np.asarray(table.column(k)) for k in ("i", "j"))
+            cuts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
             done = cuts if batch is None else cuts[:-1]
             for a, b in zip(done[:-1], done[1:], strict=True):
                 yield count(table.slice(a, b - a).combine_chunks())
             rest = table.slice(int(done[-1])) if batch is not None else None
 
-    return dealt.mapInArrow(run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return dealt.mapInArrow(run, "node long, n_links long").unionByName(settled).groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int) -> float:
-    """The share of links found of ``sample`` nodes at most, against all nodes, in blocks: pooled, or the mean of the
-    nodes' shares if that is less; 1 if there is no link."""
-    picked = nodes.orderBy(F.xxhash64("node")).limit(sample).select("node", F.col("label").cast("string").alias("label"), "vec", "copies").collect()
+def _audit(nodes: DataFrame, counted: DataFrame, groups: DataFrame, threshold: float, sample: int) -> float | None:
+    """The share of links to other vectors found of ``sample`` nodes at most (half of them such as have links, half any),
+    against all nodes, in blocks: pooled, or the mean of the nodes' shares if that is less. Links to identical vectors,
+    which are known, do not count. None if no node of the sample has a link to another vector."""
+    draw = lambda df, n: df.orderBy(F.xxhash64("node")).limit(n).select("node", F.col("label").cast("string").alias("label"), "vec", "copies").collect()
+    picked = {r["node"]: r for r in [*draw(nodes.join(groups, "node", "left_semi"), sample // 2), *draw(nodes, sample - sample // 2)]}.values()
     if not picked:
-        return 1.0
+        return None
     by: dict = {}
     for r in picked:
         by.setdefault((r["label"], len(r["vec"])), []).append(r)
@@ -296,14 +350,15 @@ def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int)
                     near = _unit(_matrix(part.column("vec"))) @ q.T >= threshold
                     same = np.asarray(part.column("node"))[:, None] == ids
                     copies = np.asarray(part.column("copies"))
-                    for i, n in zip(ids, copies @ (near & ~same) + copies @ same - same.any(0), strict=True):
+                    for i, n in zip(ids, copies @ (near & ~same), strict=True):
                         total[int(i)] = total.get(int(i), 0) + int(n)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["node", "n"])
 
     truth = nodes.select("node", F.col("label").cast("string").alias("label"), "dim", "vec", "copies").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    share = F.coalesce("n_links", F.lit(0)) / F.col("n")
-    both = truth.where("n > 0").join(counted, "node", "left").agg(F.sum(F.coalesce("n_links", F.lit(0))).alias("found"), F.sum("n").alias("there"), F.avg(share).alias("mean")).first()
-    return min(1.0, both["found"] / both["there"], both["mean"]) if both["there"] else 1.0
+    own = F.broadcast(nodes.sparkSession.createDataFrame([(r["node"], r["copies"] - 1) for r in picked], "node long, own long"))  # the sample
+    found = truth.where("n > 0").join(own, "node").join(counted, "node", "left").withColumn("found", F.coalesce("n_links", "own") - F.col("own"))
+    both = found.agg(F.sum("found").alias("found"), F.sum("n").alias("there"), F.avg(F.col("found") / F.col("n")).alias("mean")).first()
+    return min(1.0, both["found"] / both["there"], both["mean"]) if both["there"] else None
 
 
 def near_vectors(
@@ -320,23 +375,26 @@ def near_vectors(
     max_rounds: int = 6,
     sample: int = 256,
     recall: float = 0.97,
+    least: float = 0.9,
     seed: int = 0,
 ) -> DataFrame:
-    """One row per row of vectors: id, n_links, component_id, kept, and the audited recall of the run.
+    """One row per row of vectors: id, n_links, component_id, kept, and the audited recall of the run (null where the audited
+    nodes have no links to other vectors).
 
     Only vectors of equal, non-null labels and equal length are compared, by cosine in double precision. Vectors that
     are null, zero or empty, or hold nulls or non-finite numbers, link with nothing: 0 links, a component of their
     own. Identical vectors (repeated rows too) link with each other and with the same others. A null id is never the
-    least of its component unless all are null; such rows are kept. An empty table gives none.
+    least of its component unless all are null; such rows are kept. An empty table gives none. Rounds end when recall
+    reaches ``recall`` or after ``max_rounds``; a recall below ``least`` is then an error, not a smaller result.
     """
     rows, nodes = _nodes(vectors, id_col, vec_col, label_col)
     n_parts = partitions(vectors)
     ordered = _signed_order(nodes, orders, seed).repartitionByRange(n_parts, "part", "t", "bits", "along", "node").sortWithinPartitions("part", "t", "bits", "along", "node")
     pairs = written(_windows(ordered, width, max(4, list_size // 2)))
-    edges = written(pairs.where(F.col("sim") >= threshold - 1e-6).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    edges = written(_verified(pairs, nodes, threshold))
     lists = written(_lists(pairs, list_size))
     forget(pairs)
-    groups, counted, wider, rate = None, None, None, 1.0
+    groups, counted, wider, rate = None, None, None, None
     for k in range(max_rounds):
         if groups is not None:
             placed = nodes.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("grouped"))
@@ -344,13 +402,13 @@ def near_vectors(
             wider = written(_beyond(wide, width, max(4, list_size // 2)))
             lists = written(_lists(lists.drop("foreign").unionByName(wider), list_size, groups), keep=lists)
         new = written(_introduced(lists, nodes, threshold, list_size, groups))
-        fresh = new.where(F.col("sim") >= threshold).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        fresh = new.where("edge").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         if wider is not None:
             fresh = fresh.unionByName(_verified(wider, nodes, threshold))
         joins = groups is None or fresh.limit(1).count() > 0  # given components, all that is fresh joins two
         if joins:
             edges = written(edges.unionByName(fresh).distinct(), keep=edges)
-        lists = written(_lists(lists.drop("foreign").unionByName(new), list_size, groups), keep=lists)
+        lists = written(_lists(lists.drop("foreign").unionByName(new.drop("edge")), list_size, groups), keep=lists)
         forget(new)
         if wider is not None:
             forget(wider)
@@ -366,14 +424,16 @@ def near_vectors(
             break  # nothing was found since the last count
         members = groups.join(nodes.select("node", "vec", "copies"), "node").select("component", "node", "vec", "copies")
         alone = nodes.join(groups, "node", "left_anti").select("node", (F.col("copies") - 1).alias("n_links"))
-        counted = written(_counted(members, threshold, block).unionByName(alone), keep=counted)
-        rate = _audit(nodes, counted, threshold, sample)
-        if rate >= recall:
+        counted = written(_counted(members, _signed_order(nodes, 1, seed), threshold, block).unionByName(alone), keep=counted)
+        rate = _audit(nodes, counted, groups, threshold, sample)
+        if rate is None or rate >= recall:
             break
+    if rate is not None and rate < least:
+        raise RuntimeError(f"near_vectors: the audited recall is {rate:.3f} after {max_rounds} rounds, below {least}")
     placed = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = placed.join(least, "component").join(counted, "node").select(F.col("label").alias("l"), F.col("vec").alias("v"), "n_links", "component_id")
     good = rows.join(of_node, (F.col("label") == F.col("l")) & (F.col("vec") == F.col("v"))).select("id", "n_links", "component_id")
     bad = vectors.where(~(F.col(label_col).isNotNull() & _usable(F.col(vec_col)))).select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
     out = good.unionByName(bad)
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(rate).alias("audited_recall"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(rate).cast("double").alias("audited_recall"))
