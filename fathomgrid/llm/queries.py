@@ -73,7 +73,7 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles and turns recovered from raw transcripts of all conversations; learned on those of crc32(conv_id) mod 5 other
     than 0. Turns are numbered from 0 along each conversation; rows without a conv_id are conversations by themselves."""
-    rows = _transcripts(spark, sf_dir)
+    rows = written(_transcripts(spark, sf_dir))
     model = transcripts.fit(rows.where(F.pmod(F.crc32("conv"), F.lit(5)) != 0))
     found = transcripts.turns_of(transcripts.parse(transcripts.chunks_of(rows), model))
     return found.select(F.col("conv").try_cast("long").alias("conv_id"), F.col("turn").alias("turn_no"), "role", "text", "rendered")

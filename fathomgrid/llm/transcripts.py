@@ -37,6 +37,7 @@ MARKER = re.compile(r"^\s*(?:<\|(?:im_start\|>)?\s*(\w+)\s*(?:\|>)?|\[/?(\w+)\]\
 N_SYMBOLS = 4 * 2 * 4
 START = N_STATES  # stands for what is before a transcript
 CHUNK_LINES, CHUNK_CHARS = 256, 1 << 20
+_LINE_KIND = pa.list_(pa.struct([("line", pa.string()), ("blanks", pa.int32())]))
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -142,18 +143,31 @@ def rows_of(turns: DataFrame, conv: str, order: list[str], text: str, keep: list
     Null and blank texts have no lines. Rows of one place (pos) are told apart by a hash of their text. A row without a
     conversation is one by itself, named by its content.
     """
-    raw = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
     own = F.concat(F.lit("?"), F.xxhash64(F.col(text), *order).cast("string"))
-    split = turns.select(
-        F.coalesce(F.col(conv).cast("string"), own).alias("conv"), F.array(*[F.col(c).cast("long") for c in order]).alias("pos"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), *keep,
-        # a part is a line with the blank lines after it; blank lines at the top of a text are one part
-        F.split(raw, r"\n(?=[^\S\n]*\S)").alias("raw_parts"),
+    some = turns.select(
+        F.coalesce(F.col(conv).cast("string"), own).alias("conv"), F.array(*[F.col(c).cast("long") for c in order]).alias("pos"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), *keep, F.col(text).alias("raw")
     )
-    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    before = lambda i: F.get("raw_parts", i - 1)
-    blanks = lambda i: F.when(i > 0, newlines(before(i)) + F.when(before(i).rlike(r"\S"), 0).otherwise(1)).otherwise(0)
-    lines = F.filter(F.transform("raw_parts", lambda x, i: F.struct(F.substring_index(x, "\n", 1).alias("line"), blanks(i).cast("int").alias("blanks"))), lambda x: x["line"].rlike(r"\S"))
-    return split.select("conv", "pos", "row", *keep, lines.alias("parts"))
+    names = some.columns[:-1]
+
+    def run(batches):
+        for batch in batches:
+            parts = [lines_in(x.as_py() or "") for x in batch.column("raw")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(parts, _LINE_KIND)], names=[*names, "parts"])
+
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields[:-1])
+    return some.mapInArrow(run, f"{head}, parts array<struct<line: string, blanks: int>>")
+
+
+def lines_in(text: str) -> list[dict]:
+    """The lines of a text that are not blank, and how many blank ones stand before each."""
+    out, blanks = [], 0
+    for line in re.split("\r\n?|\n", text):
+        if line and not line.isspace():
+            out.append({"line": line, "blanks": blanks})
+            blanks = 0
+        else:
+            blanks += 1
+    return out
 
 
 def fit(rows: DataFrame, smooth: float = 0.5, window: int = 64) -> Model:
@@ -199,7 +213,6 @@ def _symbols(lines: list[dict]) -> np.ndarray:
 
 
 _CHUNK = "conv string, part int, run int, chunk int, starts boolean, ends boolean, lines array<struct<line: string, blanks: int>>"
-_LINE_KIND = pa.list_(pa.struct([("line", pa.string()), ("blanks", pa.int32())]))
 
 
 def chunks_of(rows: DataFrame, most_lines: int = CHUNK_LINES, most_chars: int = CHUNK_CHARS) -> DataFrame:
