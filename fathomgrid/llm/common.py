@@ -103,6 +103,12 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A second lane modulo a prime: the first lane alone would have texts that collide in every base (those that follow the
+#: Thue-Morse sequence), as all polynomials modulo a power of two do.
+_PRIME = np.uint64(2**31 - 1)
+_SMALL = _RNG.integers(1, 2**31 - 1, 256, dtype=np.uint64)
+_ROOT = 1_410_000_007 % (2**31 - 1)
+_RESIDUES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _TURN = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -124,6 +130,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def _residues(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a number and of its inverse modulo the prime, by doubling."""
+    if len(_RESIDUES[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for k, base in enumerate((_ROOT, pow(_ROOT, -1, int(_PRIME)))):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, p * np.uint64(pow(base, len(p), int(_PRIME))) % _PRIME])
+            _RESIDUES[k] = p
+    return _RESIDUES[0], _RESIDUES[1]
+
+
 class TextBlock:
     """Whole texts of one block as bytes: data, and where each text starts and ends in it."""
 
@@ -156,12 +174,18 @@ class TextBlock:
         return starts, ends, np.searchsorted(starts, self.bounds)
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each lower-cased word (A-Z only): polynomial prefix sums, one pass over the bytes."""
+        """A 64-bit hash of each lower-cased word (A-Z only): polynomial prefix sums in two lanes, modulo 2^64 and modulo a
+        prime, one pass over the bytes each."""
         n = len(self.data)
         up, down = _powers(n + 1)
+        small = _LOWER[self.data]
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[self.data]] * up[:n], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        np.cumsum(_BYTE[small] * up[:n], out=sums[1:])
+        first = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+        up, down = _residues(n + 1)
+        np.cumsum(_SMALL[small] * up[:n] % _PRIME, out=sums[1:])  # below 2^31 each, so that no sum of 2^33 overflows
+        second = (sums[ends] - sums[starts]) % _PRIME * down[starts] % _PRIME
+        return mixed(first ^ mixed(second + _BASE))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words (of the whole sequence where a text has fewer), and each text's bounds in them."""

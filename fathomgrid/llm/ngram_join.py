@@ -36,6 +36,7 @@ def _bands() -> np.ndarray:
 
 
 BANDS = _bands()
+_KEPT = np.uint64((1 << 48) - 1)  # of a signature, when packed
 
 
 def most_different(small: int, large: int) -> int:
@@ -92,7 +93,9 @@ def signatures(s: np.ndarray, band: int, context: int, lower: bool, max_levels:
             break
     else:
         raise RuntimeError("no salt spreads this set")
-    return np.concatenate(out), np.concatenate(meta)
+    sig, meta = np.concatenate(out), np.concatenate(meta)
+    # two signatures that are one when packed are counted once: such a set asks for one match only
+    return sig, meta if len(np.unique(sig & _KEPT)) == len(sig) else meta | np.uint32(511)
 
 
 def _sets(block: TextBlock, k: int):
@@ -103,9 +106,17 @@ def _sets(block: TextBlock, k: int):
         yield s if len(s) < 2 else s[np.r_[True, s[1:] != s[:-1]]]
 
 
-def _node(s: np.ndarray) -> np.uint64:
-    """A set's 64-bit name."""
-    return mixed(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) ^ np.uint64(len(s)))
+def _names(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of a set."""
+    one = mixed(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) ^ np.uint64(len(s)))
+    two = mixed(mixed(s + np.uint64(0x3C6EF372FE94F82B)).sum(dtype=np.uint64) + np.uint64(len(s)))
+    return int(one), int(two)
+
+
+def _node(s: np.ndarray, clashing: frozenset[int]) -> int:
+    """A set's name: the first of its two, or the second where others' first is the same."""
+    one, two = _names(s)
+    return two if clashing and one in clashing else one
 
 
 def _signed(x) -> np.ndarray:
@@ -113,19 +124,39 @@ def _signed(x) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int = K_WORDS) -> DataFrame:
-    """(id, n_shingles, node): one row per row of docs; node is null for texts without words."""
+    """(id, n_shingles, node, other): one row per row of docs; the set's two names are null for texts without words."""
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for part in small_blocks(batches, "text"):
-            n, nodes = [], []
+            n, nodes, others = [], [], []
             for s in _sets(TextBlock(part.column("text")), k):
+                one, two = _names(s) if len(s) else (0, 0)
                 n.append(len(s))
-                nodes.append(_node(s) if len(s) else np.uint64(0))
+                nodes.append(one)
+                others.append(two)
             n = np.array(n, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(_signed(nodes), pa.int64(), mask=n == 0)], names=["id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), *(pa.array(_signed(x), pa.int64(), mask=n == 0) for x in (nodes, others))], names=["id", "n_shingles", "node", "other"])
+
+    return some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, n_shingles long, node long, other long")
+
 
-    return some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, n_shingles long, node long")
+def named_sets(docs: DataFrame, id_col: str, text_col: str, k: int = K_WORDS, most_clashes: int = 100_000) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(id, n_shingles, node) of every row; (node, first, n, size) of every set; and the first names that several sets
+    share. These are counted, not assumed away: they are about N^2 / 2^65 of N sets, and a set's second name tells them
+    apart. Two sets are taken for one only if 128 bits of them agree."""
+    rows = written(document_sets(docs, id_col, text_col, k))
+    both = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+    firsts = written(both)
+    found = firsts.where("lo <> hi").select("node").limit(most_clashes + 1).collect()
+    if len(found) > most_clashes:
+        raise RuntimeError(f"more than {most_clashes} names clash")
+    if not found:
+        return rows.drop("other"), firsts.drop("lo", "hi"), frozenset()
+    clashing = F.broadcast(docs.sparkSession.createDataFrame([(r["node"], True) for r in found], "node long, __clash boolean"))  # at most most_clashes
+    rows = rows.join(clashing, "node", "left").withColumn("node", F.when(F.col("__clash"), F.col("other")).otherwise(F.col("node"))).drop("__clash", "other")
+    again = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"))
+    return rows, written(again, keep=firsts), frozenset(r["node"] & (1 << 64) - 1 for r in found)
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -139,10 +170,11 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _packed(docs: DataFrame, text_col: str, k: int, groups: int, most: int = 300_000) -> DataFrame:
+def _packed(docs: DataFrame, text_col: str, k: int, groups: int, clashing: frozenset[int], most: int = 300_000) -> DataFrame:
     """Signature records in packed rows, one a group and about ``most`` records: runs of one set keep its name once.
 
-    Equal sets of such a piece count once. Signatures lose two bytes here, which can only add candidates.
+    Equal sets of such a piece count once. Signatures lose two bytes here, which can only add candidates (see the end of
+    ``signatures``).
     """
 
     def flush(sig, node, meta):
@@ -165,7 +197,7 @@ def _packed(docs: DataFrame, text_col: str, k: int, groups: int, most: int = 300
         seen, sig, node, meta, size = set(), [], [], [], 0
         for part in small_blocks(batches, "text"):
             for s in _sets(TextBlock(part.column("text")), k):
-                if not len(s) or (name := int(_node(s))) in seen:
+                if not len(s) or (name := _node(s, clashing)) in seen:
                     continue
                 seen.add(name)
                 band = int(np.searchsorted(BANDS, len(s)))
@@ -264,7 +296,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.select("a", "b", (1 - F.col("common") / F.col("union")).alias("distance"), (100 * F.col("common") >= 75 * F.col("union")).alias("linked"))
 
 
-def _shingle_sets(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def _shingle_sets(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, clashing: frozenset[int]) -> DataFrame:
     """(node, shingles) of the nodes in pairs, each from one of its documents, read again."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
@@ -276,7 +308,7 @@ def _shingle_sets(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, id_col:
 
     def run(batches):
         for part in small_blocks(batches, "text"):
-            found = {int(_node(s)): s for s in _sets(TextBlock(part.column("text")), k) if len(s)}
+            found = {_node(s, clashing): s for s in _sets(TextBlock(part.column("text")), k) if len(s)}
             if found:
                 arrays = [_signed(s) for s in found.values()]
                 offsets = np.r_[0, np.cumsum([len(x) for x in arrays])].astype(np.int32)
@@ -302,12 +334,16 @@ def _hot_pairs(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, stars
 
 
-def links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k: int = K_WORDS) -> DataFrame:
+def links(docs: DataFrame, firsts: DataFrame, clashing: frozenset[int], id_col: str, text_col: str, k: int = K_WORDS, per_group: int = 2_000_000) -> DataFrame:
     """(a, b): links between nodes that connect every pair of linked sets: all links of cold pairs, and of hot ones
-    enough that two linked sets are always in one component. ``firsts`` names a document (first) of each node."""
-    spark = docs.sparkSession
-    groups = partitions(docs)
-    found = written(_packed(docs, text_col, k, groups).groupBy("g").applyInArrow(_matched, "kind int, a long, b long, ma long, mb long, times long"))
+    enough that two linked sets are always in one component. ``firsts`` names a document (first) of each node.
+
+    Signatures are matched in groups of about ``per_group``, as many as the sets' sizes ask for: a set of n shingles has
+    about 4 n / 5 of them.
+    """
+    shingles = firsts.agg(F.sum("size")).first()[0] or 0
+    groups = max(partitions(docs), -(-4 * shingles // (5 * per_group)))
+    found = written(_packed(docs, text_col, k, groups, clashing).repartition(groups, "g").groupBy("g").applyInArrow(_matched, "kind int, a long, b long, ma long, mb long, times long"))
     hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("sig"), F.col("ma").alias("meta"))
     some_hot = hot.limit(1).count() > 0
     cold = _likely(found, hot if some_hot else None)
@@ -317,7 +353,7 @@ def links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k: int
         pairs = written(cold.unionByName(stars).distinct())
     else:
         pairs = written(cold.distinct())
-    sets = _shingle_sets(docs, firsts, pairs, id_col, text_col, k)
+    sets = _shingle_sets(docs, firsts, pairs, id_col, text_col, k, clashing)
     checked = written(_verified(pairs, sets))
     good = checked.where("linked").select("a", "b")
     if not some_hot:
@@ -333,7 +369,7 @@ def links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k: int
     return out
 
 
-def _torn_links(members: DataFrame, labels: DataFrame, sets: DataFrame, block: int = 256) -> DataFrame:
+def _torn_links(members: DataFrame, labels: DataFrame, sets: DataFrame, block: int = 1024) -> DataFrame:
     """Links between components within hot signatures that hold several.
 
     Two sets that link share three quarters of either, so a set of which fewer shingles occur in any other of these
@@ -379,7 +415,7 @@ def _compared(batches):
         rest = table.slice(int(done[-1])) if batch is not None else None
 
 
-def _cell_links(cell: pa.Table, width: int = 8192) -> pa.RecordBatch:
+def _cell_links(cell: pa.Table, width: int = 2048) -> pa.RecordBatch:
     node, component, part = (np.asarray(cell.column(k)) for k in ("node", "component", "part"))
     lists = cell.column("shingles").combine_chunks()
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -416,9 +452,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table gives none. Texts of any length are read whole.
     """
     scratch_dir(docs.sparkSession)
-    rows = written(document_sets(docs, id_col, text_col, k))
-    firsts = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
-    found = links(docs, firsts, id_col, text_col, k)
+    rows, firsts, clashing = named_sets(docs, id_col, text_col, k)
+    found = links(docs, firsts, clashing, id_col, text_col, k)
     labels = components(found)
     linked = firsts.join(labels, "node")
     roots = linked.groupBy("component").agg(F.min("first").alias("component_id"))
