@@ -7,6 +7,9 @@ those features. Scoring multiplies a batch's presence matrix by the landmarks' m
 regression's weights: the same product, associated from the right.
 
 Learning takes at most ``max_train`` rows and ``n_landmarks`` of them as landmarks; scoring reads whole texts.
+
+The regression always names a learned language. Whether a text is in any of them is another question: ``accepts`` asks how
+many of its 3-grams of letters occur in the landmarks, whose share the learning rows that are no landmarks calibrate.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from .common import TextBlock, _LOWER, small_blocks
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(0x41, 0x5B)) + list(range(0x61, 0x7B))] = True
+_WORDLY = _LETTER.copy()  # bytes of letters, of other scripts too, and the space between words
+_WORDLY[0x80:] = _WORDLY[0x20] = True
+LEAST_GRAMS, LEAST_ROWS, STRICTNESS = 30, 50, 0.6
 
 
 def _codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,15 +40,16 @@ def _codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class KernelModel:
     """Classes, the n-grams of the landmarks as columns, and the contracted weights (columns x classes)."""
 
-    def __init__(self, classes: list[str], grams: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray, bias: np.ndarray):
+    def __init__(self, classes: list[str], grams: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray, bias: np.ndarray, floor: float = 0.0):
+        self.floor = floor
         self.classes, self.grams, self.weights, self.bias = classes, grams, weights.astype(np.float32), bias.astype(np.float32)
         self._tables: list[np.ndarray] | None = None
 
     def __getstate__(self):
-        return self.classes, self.grams, self.weights, self.bias
+        return self.classes, self.grams, self.weights, self.bias, self.floor
 
     def __setstate__(self, state):
-        self.classes, self.grams, self.weights, self.bias = state
+        self.classes, self.grams, self.weights, self.bias, self.floor = state
         self._tables = None
 
     def tables(self) -> list[np.ndarray]:
@@ -94,6 +101,25 @@ class KernelModel:
             labels[i], out[i] = UNKNOWN, 1.0
         return labels, out
 
+    def familiarity(self, block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
+        """How many of each text's 3-grams of letters occur in the landmarks, and how many it has."""
+        known, there = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
+        t3, bounds = self.tables()[2], block.bounds
+        for i in range(len(block)):
+            part = block.data[bounds[i] : bounds[i + 1]]
+            for a in range(0, max(0, len(part) - 2), 1 << 20):
+                piece = part[a : a + (1 << 20) + 2]
+                wordly = _WORDLY[piece]
+                some = _codes(piece)[2][: len(piece) - 2][wordly[:-2] & wordly[1:-1] & wordly[2:]]
+                known[i] += np.count_nonzero(t3[some])
+                there[i] += len(some)
+        return known, there
+
+    def accepts(self, block: TextBlock) -> np.ndarray:
+        """Whether each text has a letter and, if it has enough 3-grams to tell, is in a learned language."""
+        known, there = self.familiarity(block)
+        return has_letter(block) & ((there < LEAST_GRAMS) | (known >= self.floor * there))
+
 
 def _slice(block: TextBlock, a: int, b: int) -> TextBlock:
     part = TextBlock.__new__(TextBlock)
@@ -117,7 +143,9 @@ def fit(texts: list[str], langs: list[str], n_landmarks: int = 256, ridge: float
     """Nystrom features of the landmarks, ridge regression for each class on all given rows.
 
     ``max_grams`` bounds the columns: beyond it, those of fewest landmarks go (ties by code). The kernel is over the
-    columns kept. With one class only, that class is always predicted; with no rows, UNKNOWN.
+    columns kept. With one class only, that class is always predicted; with no rows, UNKNOWN. The model's floor is
+    ``STRICTNESS`` times the share of known 3-grams that all but a thousandth of the rows besides the landmarks reach;
+    0, so that nothing is rejected, with fewer than ``LEAST_ROWS`` such rows of ``LEAST_GRAMS`` 3-grams or more.
     """
     classes = sorted(set(langs))
     if not classes:
@@ -164,6 +192,10 @@ def fit(texts: list[str], langs: list[str], n_landmarks: int = 256, ridge: float
     beta = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge * len(y) * np.eye(z.shape[1]), z.T @ (g * weight[:, None]))
     model.weights = (landmarks.T.astype(float) @ (root @ beta)).astype(np.float32)
     model.bias = (goal_mean - mean @ beta).astype(np.float32)
+    others = [texts[i] for i in np.setdiff1d(np.arange(len(texts)), marks)]
+    known, there = model.familiarity(TextBlock(pa.array(others, pa.large_string())))
+    shares = known[there >= LEAST_GRAMS] / there[there >= LEAST_GRAMS]
+    model.floor = STRICTNESS * float(np.quantile(shares, 0.001)) if len(shares) >= LEAST_ROWS else 0.0
     return model
 
 
@@ -184,7 +216,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     cut = F.lit(None)
     for lang, n in counts.items():  # a tenth more than needed, then the least draws
         cut = F.when(F.col(lang_col) == lang, F.lit(min(1 << 40, int((share * 1.1 + 20) / n * (1 << 40)) + 1))).otherwise(cut)
-    picked = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).where(F.col("draw") < cut.cast("long")).limit(4 * max_train + 40 * len(counts)).collect()
+    picked = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).where(F.col("draw") < cut.cast("long")).orderBy("draw", "id", "text").limit(4 * max_train + 40 * len(counts)).collect()
     picked.sort(key=lambda r: (r["draw"], r["id"] or "", r["text"]))
     texts, langs, taken = [], [], dict.fromkeys(counts, 0)
     for r in picked:
@@ -211,7 +243,8 @@ def identify(docs: DataFrame, model: KernelModel, id_col: str = "doc_id", text_c
 
 
 def keep_identified(docs: DataFrame, model: KernelModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text is in a learned language, all their columns as they were.
+    """The rows of docs whose text is in a learned language (``KernelModel.accepts``), all their columns as they were. Null
+    texts and texts without a letter go. Where nothing was learned, all texts with a letter stay.
 
     The rows pass through the scoring batches themselves, so nothing is joined or shuffled.
     """
@@ -220,7 +253,6 @@ def keep_identified(docs: DataFrame, model: KernelModel, text_col: str = "text")
     def run(batches):
         m = shared.value
         for part in small_blocks(batches, text_col):
-            labels, _ = m.predict(TextBlock(part.column(part.schema.get_field_index(text_col))))
-            yield part.filter(pa.array([x != UNKNOWN for x in labels], pa.bool_()))
+            yield part.filter(pa.array(m.accepts(TextBlock(part.column(part.schema.get_field_index(text_col)))), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
