@@ -30,10 +30,14 @@ def ready(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset, a folder in the warehouse, and a
+    temporary one only where all of Spark runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="fathomgrid-")
+        if spark.sparkContext.master.startswith("local"):
+            path = "file://" + tempfile.mkdtemp(prefix="fathomgrid-")
+        else:
+            path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fathomgrid-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 

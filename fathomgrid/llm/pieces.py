@@ -264,26 +264,34 @@ class PieceModel:
 
 
 class Encoder:
-    """Whole texts through a model. What a word gives is kept, for at most ``most`` words, then begun anew.
+    """Whole texts through a model. What a word gives is kept, for words of at most ``most`` characters in all, then begun
+    anew; a word of a hundredth of that is not kept.
 
     A word's ids are decoded when it is first met. Where that gives the word back, as it does for all but odd ones, its
     ids alone are kept, and a text of such words decodes to what they spell; other texts are decoded id by id.
     """
 
-    def __init__(self, model: PieceModel, most: int = 300_000):
-        self.model, self.most = model, most
+    def __init__(self, model: PieceModel, most: int = 4_000_000):
+        self.model, self.most, self.held = model, most, 0
         self.known: dict[str, str | tuple[str]] = {}
 
     def released(self) -> None:
         """Keep nothing between tasks: a worker lives on in stages that need the memory."""
-        self.known.clear()
+        self.forgotten()
         self.model.pairs.clear()
         trimmed()
 
+    def forgotten(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def _miss(self, word: str) -> str | tuple[str]:
         ids = self.model.encoded(word)
         text = "".join([f"{i} " for i in ids])
-        value = self.known[word] = text if self._surface(ids) == word.replace(SPACE, " ") else (text,)
+        value = text if self._surface(ids) == word.replace(SPACE, " ") else (text,)
+        if 100 * len(word) < self.most:
+            self.known[word] = value
+            self.held += len(word)
         return value
 
     def _surface(self, ids: list[int]) -> str:
@@ -300,8 +308,8 @@ class Encoder:
         end = str(self.model.end_id)
         if not text:
             return 1, end, ""
-        if len(self.known) > self.most:
-            self.known.clear()
+        if self.held > self.most:
+            self.forgotten()
         get, miss = self.known.get, self._miss
         words: list[str] = []
         for row, line in enumerate(text.split("\n")):

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, language, mixing, near_vectors, ngram_join, page_text, pieces, quality, token_counts, transcripts
 from .common import ready, written
 
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+PIECES, RANKS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,23 +23,31 @@ def _held_out(divisor: int, value: int):
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents gets a score, a null or empty text too (its rates are then the usual ones); repeated rows get equal
+    ones. A null doc_id counts as empty text in the choice of what is held out, and is joined with no label."""
     scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _held_out(5, 0))
     return scores.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents; texts without words link with nothing, rows of equal texts with each other. A null doc_id
+    is no least one unless its component has no other."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of embeddings; unusable vectors and null labels link with nothing, identical vectors with each other."""
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of pages, repeated ones too; null, empty and text-less pages give an empty text."""
     return page_text.page_texts(table(spark, sf_dir, "pages"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents; texts without a letter, null and empty ones are `und`. A null doc_id counts as empty text in
+    the choice of what is held out. Without any labelled row, every text is `und`."""
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, held_out=_held_out(4, 2))
     return language.identify(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
@@ -54,7 +61,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), n + 1)
     edit = lambda at, size, text: F.struct(at.alias("start"), (at + size).alias("stop"), F.lit(text).alias("text"))
     edits = F.array(edit(place(1), 0, " an inserted remark,"), edit(place(2), 24, ""), edit(place(3), 5, "won't\n\n42"))
-    return token_counts.edited_counts(docs.select("doc_id", "text", edits.alias("edits")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return token_counts.edited_counts(docs.select("doc_id", "text", edits.alias("edits")), RANKS)
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +87,18 @@ def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents; a null text counts as empty. Of rows that share text and doc_id, all are kept or none. A null
+    doc_id is the largest only where its group has no other."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    """One row per row of documents; null and empty texts have the end id alone."""
+    return pieces.encode_digest(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents; texts without words take 0, a null source is the last one."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

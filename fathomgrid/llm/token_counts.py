@@ -1,14 +1,20 @@
 """Edit-aware token counts.
 
-A document's text is cut at places where a pre-token must begin: a single space between two characters that are none.
-The pieces are the leaves of a segment tree whose nodes hold characters and tokens. An edit touches the leaves it
-overlaps; they are joined with neighbours for as long as a boundary of theirs is no longer such a place, encoded
-anew, and the sums above them are updated. All other leaves keep their counts, and the total equals a fresh encoding.
+A document's text is cut at places where a pre-token must begin whatever else the text holds: before white space that
+follows none, and where letters, digits and other signs meet. The pieces, runs of pre-tokens, are the leaves of a segment
+tree whose nodes hold characters and tokens. An edit touches the leaves it overlaps; they are joined with neighbours for as
+long as a boundary of theirs is no longer such a place, encoded anew, and the sums above them are updated. All other leaves
+keep their counts, and the total equals a fresh encoding.
+
+Trees are kept with their documents, as columns (``token_trees``); ``edit_trees`` takes them up again and encodes only what
+edits touch.
 """
 
 from __future__ import annotations
 
 import base64
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern of pre-tokens that belongs to the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF_CHARS = 512
+LEAF_CHARS = 256
 
 _ENCODINGS: dict = {}
 
@@ -33,20 +39,40 @@ def encoding(path: str):
     return _ENCODINGS[path]
 
 
+#: Fixed value: white space, as the pattern's \\s has it.
+WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+@lru_cache(maxsize=1 << 16)
+def kind(c: str) -> str:
+    """What the pattern takes a character for: W(hite), L(etter), N(umber), S(ign); "" where another version of Unicode may
+    see it otherwise."""
+    if c in WHITE:
+        return "W"
+    category = unicodedata.category(c)[0]
+    return category if category in "LN" else "" if category == "C" else "S"
+
+
+def cut_between(a: str, b: str) -> bool:
+    """Whether a pre-token begins at character b after a, whatever stands before and after them. Runs of one kind go on, a
+    space may belong to what follows it, and letters after an apostrophe may be a contraction."""
+    x, y = kind(a), kind(b)
+    return x != y and bool(x) and bool(y) and x != "W" and not (a == "'" and y == "L")
+
+
 def boundary(left: str, right: str) -> bool:
-    """Whether a pre-token begins between two texts whatever lies further off: right starts with one space and then
-    none, left ends with no space."""
-    return len(right) > 1 and right[0] == " " and not right[1].isspace() and bool(left) and not left[-1].isspace()
+    """Whether a pre-token begins between two texts."""
+    return bool(left) and bool(right) and cut_between(left[-1], right[0])
 
 
 def leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
     """Pieces of about ``size`` characters, cut at boundaries only; a text without any is one piece."""
     out, start, n = [], 0, len(text)
     while n - start > size:
-        at = text.find(" ", start + size)
-        while at >= 0 and not (at + 1 < n and not text[at + 1].isspace() and not text[at - 1].isspace()):
-            at = text.find(" ", at + 1)
-        if at < 0:
+        at = start + size
+        while at < n and not cut_between(text[at - 1], text[at]):
+            at += 1
+        if at >= n:
             break
         out.append(text[start:at])
         start = at
@@ -57,16 +83,32 @@ def leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
 class TokenTree:
     """A segment tree over a text's leaves; ``encoded`` counts the characters that were encoded so far."""
 
-    def __init__(self, text: str, enc, size: int = LEAF_CHARS):
+    def __init__(self, text: str, enc, size: int = LEAF_CHARS, kept: tuple[list[int], list[int]] | None = None):
+        """Of a text; ``kept`` are the lengths and counts of its leaves where they are known (see ``state``)."""
         self.enc, self.encoded = enc, 0
-        self.texts = leaves(text, size)
+        if kept is None:
+            self.texts = leaves(text, size)
+            counts = [self._count(t) for t in self.texts]
+        else:
+            stops = np.cumsum(kept[0])
+            self.texts = [text[b - n : b] for n, b in zip(kept[0], stops.tolist(), strict=True)] or [""]
+            counts = list(kept[1]) or [0]
         self.width = 1 << max(0, (len(self.texts) - 1).bit_length())
         self.chars = np.zeros(2 * self.width, np.int64)
         self.tokens = np.zeros(2 * self.width, np.int64)
-        for i, t in enumerate(self.texts):
-            self.chars[self.width + i], self.tokens[self.width + i] = len(t), self._count(t)
-        for k in range(self.width - 1, 0, -1):
-            self._sum(k)
+        self.chars[self.width : self.width + len(counts)] = [len(t) for t in self.texts]
+        self.tokens[self.width : self.width + len(counts)] = counts
+        level = self.width
+        while level > 1:
+            for x in (self.chars, self.tokens):
+                x[level // 2 : level] = x[level : 2 * level].reshape(-1, 2).sum(1)
+            level //= 2
+
+    def state(self) -> tuple[list[int], list[int]]:
+        """Lengths and counts of the leaves that have text: all of the tree that its text does not say."""
+        w = self.width
+        some = [i for i, t in enumerate(self.texts) if t]
+        return [len(self.texts[i]) for i in some], [int(self.tokens[w + i]) for i in some]
 
     def _count(self, text: str) -> int:
         self.encoded += len(text)
@@ -111,11 +153,11 @@ class TokenTree:
         joined = "".join(self.texts[first : last + 1])
         new = joined[: start - at] + text + joined[stop - at :]
         before = self._beside(first, -1)
-        while before >= 0 and not boundary(self.texts[before], new + self._ahead(last, 2 - len(new))):
+        while before >= 0 and not boundary(self.texts[before], new or self._ahead(last)):
             new, first = self.texts[before] + new, before
             before = self._beside(first, -1)
         after = self._beside(last, 1)
-        while after < len(self.texts) and not boundary(new, self.texts[after] + self._ahead(after, 2 - len(self.texts[after]))):
+        while after < len(self.texts) and not boundary(new, self.texts[after]):
             new, last = new + self.texts[after], after
             after = self._beside(last, 1)
         self._set(first, new, self._count(new))
@@ -130,14 +172,10 @@ class TokenTree:
             i += step
         return i
 
-    def _ahead(self, last: int, n: int) -> str:
-        """The first n characters after a leaf."""
-        out = ""
+    def _ahead(self, last: int) -> str:
+        """The text of the next leaf that has any."""
         i = self._beside(last, 1)
-        while n > len(out) and i < len(self.texts):
-            out += self.texts[i][: n - len(out)]
-            i = self._beside(i, 1)
-        return out
+        return self.texts[i] if i < len(self.texts) else ""
 
     def text(self) -> str:
         return "".join(self.texts)
@@ -146,27 +184,72 @@ class TokenTree:
 EDITS = "array<struct<start: long, stop: long, text: string>>"
 
 
-def edited_counts(docs: DataFrame, path: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """(id, n_leaves, n_tokens, n_edits, n_tokens_after, chars_encoded, chars_reencoded), one row per row of docs.
+TREE = "leaf_chars array<int>, leaf_tokens array<int>"
+
+
+def token_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """(id, text, carry..., leaf_chars, leaf_tokens, n_tokens): each row with the tree of its whole text. Null and empty texts
+    have no leaves. Rows are independent. An empty table gives none."""
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carry)
+    names = [*some.columns, "leaf_chars", "leaf_tokens", "n_tokens"]
+
+    def run(batches):
+        enc = encoding(path)
+        for batch in batches:
+            trees = [TokenTree(t.as_py() or "", enc, leaf_chars) for t in batch.column("text")]
+            kept = [t.state() for t in trees]
+            new = [*(pa.array([k[i] for k in kept], pa.list_(pa.int32())) for i in (0, 1)), pa.array([t.total for t in trees], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
+
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields)
+    return some.mapInArrow(run, f"{head}, {TREE}, n_tokens long")
+
+
+def edit_trees(trees: DataFrame, path: str, edits_col: str = "edits") -> DataFrame:
+    """``token_trees`` after edits: (id, text, leaf_chars, leaf_tokens, n_tokens, n_edits, chars_reencoded), so that further
+    edits may follow.
 
     ``edits_col`` holds each row's edits in order, as EDITS; they are applied to the whole text, one after the other.
-    Null and empty texts have no tokens and may be inserted into; null edits, and null bounds or texts in one, count
-    as none, 0 and empty. Rows are independent. An empty table gives none.
+    Null and empty texts may be inserted into; null edits, and null bounds or texts in one, count as none, 0 and empty.
     """
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
-    names = ["n_leaves", "n_tokens", "n_edits", "n_tokens_after", "chars_encoded", "chars_reencoded"]
+    some = trees.select("id", "text", "leaf_chars", "leaf_tokens", F.col(edits_col).cast(EDITS).alias("edits"))
+
+    def run(batches):
+        enc = encoding(path)
+        for batch in batches:
+            rows = []
+            for text, chars, tokens, edits in zip(*(batch.column(c) for c in ("text", "leaf_chars", "leaf_tokens", "edits")), strict=True):
+                tree = TokenTree(text.as_py() or "", enc, kept=(chars.as_py() or [], tokens.as_py() or []))
+                some = [e for e in edits.as_py() or [] if e is not None]
+                for e in some:
+                    tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
+                rows.append((tree.text(), *tree.state(), tree.total, len(some), tree.encoded))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["id", "text", "leaf_chars", "leaf_tokens", "n_tokens", "n_edits", "chars_reencoded"])
+
+    return some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, text string, {TREE}, n_tokens long, n_edits long, chars_reencoded long")
+
+
+def edited_counts(docs: DataFrame, path: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """(id, n_leaves, n_tokens, n_edits, n_tokens_after, chars, chars_reencoded), one row per row of docs: trees are made, then
+    edited (see ``token_trees`` and ``edit_trees``). Only the numbers leave the second step."""
+    edits = "__edits"
+    trees = token_trees(docs.withColumn(edits, F.col(edits_col).cast(EDITS)), path, id_col, text_col, (edits,), leaf_chars)
+    some = trees.select("id", "text", "leaf_chars", "leaf_tokens", "n_tokens", edits)
+    names = ["n_leaves", "n_tokens", "n_edits", "n_tokens_after", "chars", "chars_reencoded"]
 
     def run(batches):
         enc = encoding(path)
         for batch in batches:
             rows = []
-            for text, edits in zip(batch.column("text"), batch.column("edits"), strict=True):
-                tree = TokenTree(text.as_py() or "", enc, leaf_chars)
-                before, fresh = tree.total, tree.encoded
-                edits = [e for e in edits.as_py() or [] if e is not None]
-                for e in edits:
+            for text, chars, tokens, before, edits in zip(*(batch.column(c) for c in ("text", "leaf_chars", "leaf_tokens", "n_tokens", "__edits")), strict=True):
+                text, chars = text.as_py() or "", chars.as_py()
+                tree = TokenTree(text, enc, kept=(chars, tokens.as_py()))
+                some = [e for e in edits.as_py() or [] if e is not None]
+                for e in some:
                     tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                rows.append((len(tree.texts), before, len(edits), tree.total, fresh, tree.encoded - fresh))
+                rows.append((len(chars), before.as_py(), len(some), tree.total, len(text), tree.encoded))
             columns = np.array(rows, np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c.copy()) for c in columns.T)], names=["id", *names])
 
@@ -176,5 +259,4 @@ def edited_counts(docs: DataFrame, path: str, edits_col: str = "edits", id_col:
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) of every whole text."""
-    none = docs.select(F.col(id_col), F.col(text_col), F.array().cast(EDITS).alias("__edits"))
-    return edited_counts(none, path, "__edits", id_col, text_col).select(id_col, "n_tokens")
+    return token_trees(docs, path, id_col, text_col).select(F.col("id").alias(id_col), "n_tokens")
