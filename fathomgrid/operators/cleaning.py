@@ -39,13 +39,13 @@ def parsed(raw: DataFrame) -> DataFrame:
 def labelled(raw: DataFrame, extent: tuple[float, float, float, float] = EXTENT, columns: list[str] | None = None) -> DataFrame:
     """WIN-1..3, FLT-1..12: raw rows with typed columns and ``label``.
 
-    Identical rows among those that pass all row checks: one is kept, the others are exact duplicates. Of the rows left
+    Identical rows among those that pass all row checks: the first by source row is kept, the others are exact duplicates. Of the rows left
     that share identifier and time, none is kept. Both are windows over the row's own key, so hot vessels spread over
     their times; equality of whole rows is within the same (identifier, time) key, so one shuffle and one sort serve
     both. Rows that fail a check pass through the same windows, each under its own content.
     """
     columns = columns or RAW_COLUMNS
-    rows = parsed(raw)
+    rows = parsed(raw.withColumn("source_row", F.monotonically_increasing_id()))
     first = (
         F.when(F.col("observed_at_utc").isNull(), "invalid_timestamp")
         .when(~S.valid_coordinate(F.col("latitude"), F.col("longitude")), "invalid_coordinate")
@@ -57,11 +57,11 @@ def labelled(raw: DataFrame, extent: tuple[float, float, float, float] = EXTENT,
     key = ["MMSI", "observed_at_utc", "salt"]
     # rows that failed a check have no partner to be found: their content spreads them, whatever their key
     checked = rows.withColumn("row_label", first).withColumn("salt", F.when(F.col("row_label").isNotNull(), F.xxhash64(*columns)))
-    same = Window.partitionBy(*key, *[c for c in columns if c != "MMSI"]).orderBy(F.lit(1))
+    same = Window.partitionBy(*key, *[c for c in columns if c != "MMSI"]).orderBy("source_row")
     once = checked.repartition(*[F.col(k) for k in key]).withColumn("copy", F.row_number().over(same))
     of_key = F.count_if(F.col("copy") == 1).over(Window.partitionBy(*key))
     label = F.coalesce("row_label", F.when(F.col("copy") > 1, "exact_duplicate").when(F.col("of_key") > 1, "conflict").otherwise("kept"))
-    return once.withColumn("of_key", of_key).withColumn("label", label).drop("copy", "of_key", "row_label", "salt")
+    return once.withColumn("of_key", of_key).withColumn("label", label).drop("copy", "of_key", "row_label", "salt", "source_row")
 
 
 def cleaned(marked: DataFrame) -> DataFrame:

@@ -53,6 +53,16 @@ def deep_equal(a: Any, b: Any, rel: float = 1e-9, absolute: float = 1e-9, at: st
     return [at or "/"]
 
 
+def grid_faults(cells: DataFrame, x_min: float, y_min: float, cell: float) -> DataFrame:
+    """SRC-11, PUB-6: how many cells of a grid (cell_id, row_index, column_index, cx0, cy0, cx1, cy1) break each part of its
+    contract: ids that follow from row and column and are unique, bounds that follow from them too, finite numbers."""
+    r, c = F.col("row_index"), F.col("column_index")
+    bounds = (F.col("cx0") == x_min + c * cell) & (F.col("cy0") == y_min + r * cell) & (F.col("cx1") == x_min + (c + 1) * cell) & (F.col("cy1") == y_min + (r + 1) * cell)
+    counts = violations(cells, id=F.col("cell_id") == F.format_string("r%03d_c%03d", r.cast("int"), c.cast("int")), bounds=bounds, place=(r >= 0) & (c >= 0))
+    twice = cells.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
+    return counts.crossJoin(twice)  # one row each
+
+
 def canonical_json(document: Any) -> str:
     """SNK-5: keys sorted, no spaces, no NaN."""
     return json.dumps(document, sort_keys=True, separators=(",", ":"), allow_nan=False, ensure_ascii=False)

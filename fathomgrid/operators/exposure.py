@@ -98,38 +98,129 @@ def overlay_boxes(cells: DataFrame, domain: tuple[float, float, float, float], b
 
 
 def overlay_polygons(cells: DataFrame, domain: list, boundary: list) -> DataFrame:
-    """JN-7..9, SCL-25: the same for any water (WKB), domain and boundary; the two are shipped once with the function."""
+    """JN-7..9, SCL-25: the same for any water (WKB; null is the whole cell), domain and boundary, holes and several parts
+    included; the two are shipped once with the function.
 
-    @F.pandas_udf("water_m2 double, qualified_m2 double, inside_m2 double")
+    VAL-6: inside and qualified areas are joint intersections, outside and excluded ones are taken independently, as areas
+    of differences; a cell whose parts do not add up is an error.
+    """
+
+    @F.pandas_udf("water_m2 double, qualified_m2 double, inside_m2 double, outside_m2 double, excluded_m2 double")
     def areas(water: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
         out = []
         for w, *b in zip(water, x0, y0, x1, y1, strict=True):
             own = G.polygons_of(bytes(w)) if w is not None else [G.box(*b)]
-            d = G.clip(domain, *b)
-            v = G.clip(boundary, *b)
-            q = G.overlap_area(own, d)
-            convex_parts = [[t] for p in d for t in _triangles(p)]
-            i = sum(s * G.overlap_area([[G.clip_convex(r, t)] for p2 in v for r in p2[:1] if len(G.clip_convex(r, t)) > 2], own) for (s, t) in (x for c in convex_parts for x in c))
-            out.append((G.area(own), q, min(q, i)))
-        return pd.DataFrame(out, columns=["water_m2", "qualified_m2", "inside_m2"])
-
-    rows = cells.withColumn("a", areas("water", "cx0", "cy0", "cx1", "cy1"))
-    return rows.select(*cells.columns, "a.*").withColumns({"outside_m2": F.col("qualified_m2") - F.col("inside_m2"), "excluded_m2": F.col("water_m2") - F.col("qualified_m2")})
-
-
-def _triangles(polygon: list) -> list:
-    """A polygon without holes as signed, counter-clockwise fan triangles."""
-    if len(polygon) > 1:
-        raise ValueError("a domain with holes needs to be given as parts without")
-    r = G.closed(polygon[0])[:-1]
-    turn = 1 if G.signed_area(polygon[0]) > 0 else -1
-    out = []
-    for i in range(1, len(r) - 1):
-        t = r[[0, i, i + 1]]
-        s = G.signed_area(t)
-        if s:
-            out.append((turn if s > 0 else -turn, t if s > 0 else t[::-1]))
-    return out
+            lo_hi = G.bounds(own) if own else b
+            d, v = G.clip(domain, *lo_hi), G.clip(boundary, *lo_hi)
+            whole, q, i = G.area(own), G.common_area(own, d), G.common_area(own, d, v)
+            o = G.slab_area([own, d, v], lambda at: at[0] and at[1] and not at[2])
+            e = G.difference_area(own, d)
+            off = max(abs(q - i - o), abs(whole - q - e))
+            if off > max(1e-6, 1e-9 * whole):
+                raise ValueError(f"areas of a cell do not add up: off by {off} m2")
+            out.append((whole, q, i, o, e))
+        return pd.DataFrame(out, columns=["water_m2", "qualified_m2", "inside_m2", "outside_m2", "excluded_m2"])
+
+    return cells.withColumn("a", areas("water", "cx0", "cy0", "cx1", "cy1")).select(*cells.columns, "a.*")
+
+
+def split_total(total, part: str = "inside_m2"):
+    """SCL-22: what a part of a cell holds of a total that is spread over all of its water; null where there is no water. The
+    total is of the full water, not of the qualified part."""
+    return total * F.col(part) / F.nullif(F.col("water_m2"), F.lit(0.0))
+
+
+def in_source_order(sources: DataFrame) -> DataFrame:
+    """SRT-5: source polygons by lower y, lower x, upper y and upper x of their bounds, density and WKB; source_no
+    grows in that order."""
+
+    @F.pandas_udf("x0 double, y0 double, x1 double, y1 double")
+    def box_of(g: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([G.bounds(G.polygons_of(bytes(w))) for w in g], columns=["x0", "y0", "x1", "y1"])
+
+    order = ["b.y0", "b.x0", "b.y1", "b.x1", "density", "geometry"]
+    ranged = sources.withColumn("b", box_of("geometry")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.withColumn("source_no", F.monotonically_increasing_id()).drop("b")
+
+
+def polygon_overlaps(sources: DataFrame, bucket: float, tolerance: float = 0.01) -> DataFrame:
+    """JN-6 for any polygons: (aid, bid, common) of pairs (aid < bid) of sources (source_id, geometry WKB) whose interiors share
+    more than ``tolerance``. Candidates come from ``overlaps`` of bounding boxes, areas from the polygons themselves."""
+
+    @F.pandas_udf("x0 double, y0 double, x1 double, y1 double")
+    def box_of(g: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([G.bounds(G.polygons_of(bytes(w))) for w in g], columns=["x0", "y0", "x1", "y1"])
+
+    @F.pandas_udf("double")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([G.common_area(G.polygons_of(bytes(x)), G.polygons_of(bytes(y))) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    near = overlaps(sources.withColumn("b", box_of("geometry")).select(F.col("source_id").alias("id"), "b.*"), bucket, 0.0).select("aid", "bid")
+    side = lambda k: sources.select(F.col("source_id").alias(f"{k}id"), F.col("geometry").alias(k))
+    both = near.join(side("a"), "aid").join(side("b"), "bid")
+    return both.select("aid", "bid", common("a", "b").alias("common")).where(F.col("common") > tolerance)
+
+
+def require_disjoint(pairs: DataFrame) -> None:
+    """JN-6: an error that names the pair of sources that overlaps most, if any does."""
+    worst = pairs.orderBy(F.desc("common"), "aid", "bid").limit(1).collect()
+    if worst:
+        raise ValueError(f"sources {worst[0]['aid']} and {worst[0]['bid']} overlap by {worst[0]['common']} m2")
+
+
+def abundance_balance(sources: DataFrame, transferred: DataFrame, domain: list, absolute: float = 1e-9, rel: float = 1e-10) -> DataFrame:
+    """VAL-5: (source_abundance, allocated, conserved): the sources' abundance within the unioned ``domain`` (polygons, which may
+    overlap), by slabs and without the cells, against the sum over cells."""
+
+    @F.pandas_udf("double")
+    def within(g: pd.Series) -> pd.Series:
+        out = []
+        for w in g:
+            own = G.polygons_of(bytes(w))
+            out.append(G.slab_area([own, [p for p in G.clip(domain, *G.bounds(own))]], all))
+        return pd.Series(out, dtype=float)
+
+    expected = sources.agg(A.exact_sum(F.col("density") * within("geometry") / 1e6).alias("source_abundance"))
+    got = transferred.agg(A.exact_sum(F.col("abundance")).alias("allocated"))
+    both = expected.crossJoin(got)  # one row each
+    return both.withColumn("conserved", F.abs(F.col("allocated") - F.col("source_abundance")) <= F.greatest(F.lit(absolute), rel * F.col("source_abundance")))
+
+
+def water_balance(cells: DataFrame, mask: list, bounds: tuple[float, float, float, float], absolute: float = 0.1) -> DataFrame:
+    """VAL-7: (cells_m2, mask_m2, conserved): the cells' water (column water_m2) against the mask within the grid's bounds, taken
+    as one union by slabs."""
+    whole = G.slab_area([G.clip(mask, *bounds)], any)
+    out = cells.agg(A.exact_sum(F.col("water_m2")).alias("cells_m2")).withColumn("mask_m2", F.lit(whole))
+    return out.withColumn("conserved", F.abs(F.col("cells_m2") - F.col("mask_m2")) <= F.greatest(F.lit(absolute), 1e-12 * F.col("mask_m2")))
+
+
+def coarse_balance(fine: DataFrame, coarse: DataFrame, columns: Sequence[str] = ("water_km2", "abundance", "vessel_km"), rel: float = 1e-12) -> DataFrame:
+    """VAL-8: (measure, fine, coarse, conserved): totals of the fine and the coarse cells."""
+    totals = lambda df: df.agg(*[A.exact_sum(F.col(c)).alias(c) for c in columns])
+    long = lambda df, name: totals(df).select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias(name)) for c in columns])).alias("r")).select("r.*")
+    both = long(fine, "fine").join(long(coarse, "coarse"), "measure")
+    return both.withColumn("conserved", F.abs(F.col("fine") - F.col("coarse")) <= F.greatest(F.lit(1e-9), rel * F.abs(F.col("fine"))))
+
+
+def stations_within(stations: DataFrame, kind: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """FLT-19: stations of a kind (columns kind, sx, sy) in a closed box."""
+    return stations.where((F.col("kind") == kind) & F.col("sx").between(box[0], box[2]) & F.col("sy").between(box[1], box[3]))
+
+
+def normalisation_control(cells: DataFrame, method: str = "product", shares: Sequence[float] = PERCENTILES) -> DataFrame:
+    """PUB-5: (available, normaliser, inside_share_difference, memberships_equal): dividing all intensities by their largest
+    changes neither the inside share nor which cells are above any threshold; not available where that largest is 0."""
+    ok = cells.where("qualified_m2 > 0")
+    top = ok.agg(F.max(method).alias("top")).first()["top"]
+    if not top:
+        return cells.sparkSession.createDataFrame([(False, None, None, None)], "available boolean, normaliser double, inside_share_difference double, memberships_equal boolean")
+    scaled = ok.withColumn(method, F.col(method) / top)
+    share = lambda df: summary(df, method).select("share_inside")
+    diff = share(ok).crossJoin(share(scaled).withColumnRenamed("share_inside", "s")).select((F.col("s") - F.col("share_inside")).alias("inside_share_difference"))
+    high = lambda df: thresholds(df, method, shares).select("reference", "share", "cells", "high_inside_km2")
+    a, b = high(ok), high(scaled).withColumnsRenamed({"cells": "cells_b", "high_inside_km2": "inside_b"})
+    same = a.join(b, ["reference", "share"]).agg(F.min((F.col("cells").eqNullSafe(F.col("cells_b"))) & (F.col("high_inside_km2").eqNullSafe(F.col("inside_b")))).alias("memberships_equal"))
+    return diff.crossJoin(same).select(F.lit(True).alias("available"), F.lit(float(top)).alias("normaliser"), "inside_share_difference", "memberships_equal")
 
 
 def intensities(cells: DataFrame) -> DataFrame:

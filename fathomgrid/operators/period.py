@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import aggregates as A
 from ..functions import scalars as S
 from ..schemas import ALL_GROUPS
 
@@ -84,13 +87,16 @@ def rule_outcomes(pairs: DataFrame, gap: float, speed: float) -> DataFrame:
     return named.groupBy("grp", "outcome").agg(F.count(F.lit(1)).alias("pairs"), (F.sum("metres") / 1000).alias("km"))
 
 
-def rule_matrix(pairs: DataFrame, gaps: Sequence[float], speeds: Sequence[float]) -> DataFrame:
-    """JN-13, AGG-22: every rule on every pair. The rules are a literal array, so each pair is expanded within its
-    row and partially aggregated before the shuffle."""
-    rules = F.array(*[F.struct(F.lit(float(g)).alias("gap"), F.lit(float(v)).alias("speed")) for g in gaps for v in speeds])
-    each = pairs.withColumn("rule", F.explode(rules)).select("*", "rule.gap", "rule.speed")
-    named = each.withColumn("outcome", F.coalesce(exclusion(F.col("gap"), F.col("speed")), F.lit("retained")))
-    return named.groupBy("gap", "speed", "outcome").agg(
+def rule_matrix(pairs: DataFrame, gaps: Sequence[float], speeds: Sequence[float], lengths: Sequence[float | None] = (None,)) -> DataFrame:
+    """JN-13, AGG-22: every rule on every pair: a gap, a speed and a least length of vessel (None: any; a vessel of unknown length
+    is shorter than any bound). The rules are a literal array, so each pair is expanded within its row and partially
+    aggregated before the shuffle."""
+    rules = F.array(*[F.struct(F.lit(float(g)).alias("gap"), F.lit(float(v)).alias("speed"), F.lit(m).cast("double").alias("least_length")) for g in gaps for v in speeds for m in lengths])
+    each = pairs.withColumn("rule", F.explode(rules)).select("*", "rule.gap", "rule.speed", "rule.least_length")
+    short = F.col("least_length").isNotNull() & ~F.coalesce(F.col("length_m") >= F.col("least_length"), F.lit(False)) if "length_m" in pairs.columns else F.lit(False)
+    named = each.withColumn("outcome", F.coalesce(exclusion(F.col("gap"), F.col("speed")), F.when(short, "below_length"), F.lit("retained")))
+    keys = ["gap", "speed", *(["least_length"] if tuple(lengths) != (None,) else []), "outcome"]
+    return named.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pairs"),
         F.count_if(F.col("metres") == 0).alias("zero_length"),
         F.count_if(F.to_date("next_at") > F.col("utc_date")).alias("cross_midnight"),
@@ -168,13 +174,71 @@ def histogram(rows: DataFrame, column: str, edges: Sequence[float], by: Sequence
     return rows.where(S.finite(F.col(column))).groupBy(*by, S.bin_index(F.col(column), edges).alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def distribution_rows(rows: DataFrame, column: str, edges: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """AGG-19: (by..., count, minimum, maximum, sum, mean, bin_counts): exact scalars and a count for every fixed half-open bin,
+    those below the first and from the last edge on included, zeros too. A value that is not finite is an error."""
+    bad = F.col(column).isNotNull() & ~S.finite(F.col(column))
+    x = F.when(bad, F.raise_error(F.lit("a value that is not finite"))).otherwise(F.col(column)).cast("double")
+    some = rows.select(*by, x.alias("x"))
+    bins = [F.count_if((F.col("x") >= lo if lo is not None else F.lit(True)) & (F.col("x") < hi if hi is not None else F.lit(True)) & F.col("x").isNotNull()) for lo, hi in zip([None, *edges], [*edges, None], strict=True)]
+    out = some.groupBy(*by).agg(F.count("x").alias("count"), F.min("x").alias("minimum"), F.max("x").alias("maximum"), F.coalesce(A.exact_sum(F.col("x")), F.lit(0.0)).alias("sum"), F.array(*bins).alias("bin_counts"))
+    return out.withColumn("mean", F.col("sum") / F.nullif("count", F.lit(0)))
+
+
+def distance_differences(pairs: DataFrame, by: Sequence[str], difference_edges: Sequence[float], relative_edges: Sequence[float]) -> DataFrame:
+    """AGG-19: distributions of projected less geodesic metres (columns metres, geodesic_m), signed and absolute, and relative to
+    the geodesic length; pairs without such a length have no relative difference (undefined)."""
+    d = F.col("metres") - F.col("geodesic_m")
+    rel = F.when(F.col("geodesic_m") != 0, d / F.col("geodesic_m"))
+    rows = pairs.where(S.finite(F.col("metres")) & S.finite(F.col("geodesic_m"))).select(*by, d.alias("signed"), F.abs(d).alias("absolute"), rel.alias("signed_relative"), F.abs(rel).alias("absolute_relative"))
+    parts = [distribution_rows(rows, c, difference_edges if k < 2 else relative_edges, by).withColumn("measure", F.lit(c)) for k, c in enumerate(("signed", "absolute", "signed_relative", "absolute_relative"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    undefined = rows.groupBy(*by).agg(F.count_if(F.col("signed_relative").isNull()).alias("undefined"))
+    return out.join(undefined, list(by)) if by else out.crossJoin(undefined)
+
+
+def evidence_faults(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """VAL-19: (by..., faults): what does not reconcile in a table of ``distance_differences``: bins against counts, scalars of
+    empty and other distributions, and the counts of the four measures."""
+    whole = F.aggregate("bin_counts", F.lit(0).cast("long"), lambda a, n: a + n) == F.col("count")
+    scalars = F.when(F.col("count") == 0, F.col("minimum").isNull() & F.col("maximum").isNull() & F.col("mean").isNull()).otherwise(S.finite(F.col("minimum")) & S.finite(F.col("maximum")) & S.finite(F.col("mean")) & S.finite(F.col("sum")))
+    n = lambda m: F.max(F.when(F.col("measure") == m, F.col("count")))
+    pairs = (n("signed") == n("absolute")) & (n("signed_relative") == n("absolute_relative")) & (n("signed_relative") + F.max("undefined") == n("signed"))
+    return table.groupBy(*by).agg((F.count_if(~whole) + F.count_if(~scalars) + F.when(F.coalesce(pairs, F.lit(False)), 0).otherwise(1)).cast("long").alias("faults"))
+
+
 def distribution(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """AGG-19, AGG-20: count, least, largest, mean and linearly interpolated quartiles and 95th percentile."""
+    """AGG-20: count, least, largest, mean and linearly interpolated quartiles and 95th percentile."""
     q = F.percentile(column, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95))))
     out = rows.where(S.finite(F.col(column))).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min(column).alias("least"), F.max(column).alias("largest"), F.avg(column).alias("mean"), q.alias("q"))
     return out.select(*by, "rows", "least", "largest", "mean", *[F.col("q")[k].alias(n) for k, n in enumerate(("p25", "p50", "p75", "p95"))])
 
 
+def in_global_order(rows: DataFrame, order: Sequence[str] = ORDER, key: str = "vessel") -> DataFrame:
+    """SRT-2: all rows in the one order of the period: time first, then the vessel and the keys that settle ties."""
+    return rows.orderBy(order[0], key, *order[1:])
+
+
+def ordered_batches(rows: DataFrame, size: int = 50_000, order: Sequence[str] = ORDER, key: str = "vessel") -> Iterator[pa.RecordBatch]:
+    """STR-1: the rows in global order as Arrow batches of at most ``size``. One partition at a time reaches the driver, so its
+    memory is bounded by a partition; for consumers that cannot be expressed as a query."""
+    if size < 1:
+        raise ValueError("a batch has at least one row")
+    ordered = in_global_order(rows, order, key)
+    names = ordered.columns
+    kind = to_arrow_schema(ordered.schema)
+    held: list = []
+    for row in ordered.toLocalIterator():
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], kind)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], kind)
+
+
 def calendar(spark, first: str, last: str) -> DataFrame:
     """The dates of a period."""
     return spark.sql(f"select explode(sequence(date'{first}', date'{last}')) as utc_date")
@@ -190,6 +254,21 @@ def missing_dates(days: DataFrame, compatible: DataFrame) -> DataFrame:
     return days.select("utc_date").join(compatible.select("utc_date"), "utc_date", "left_anti")
 
 
+def readiness(days: DataFrame, state: DataFrame) -> DataFrame:
+    """VAL-18: (dates, ready, identity): how many dates of the period there are, whether all are verified, and an identity of the
+    contents by date that depends on no path, clock or order."""
+    both = days.join(state, "utc_date", "left")
+    parts = F.array_sort(F.collect_list(F.concat_ws(":", F.col("utc_date").cast("string"), F.coalesce("state", F.lit("absent")), F.coalesce("sha256", F.lit("")))))
+    # one short text a date of the period
+    return both.agg(F.count(F.lit(1)).alias("dates"), (F.count_if(F.coalesce(F.col("state") == "verified", F.lit(False))) == F.count(F.lit(1))).alias("ready"), F.sha2(F.array_join(parts, "|"), 256).alias("identity"))
+
+
+def speed_balance(means: DataFrame, km: str = "km", rel: float = 1e-12) -> DataFrame:
+    """VAL-9: rows of ``sog_means`` with a total (column ``km``), and whether the three categories add up to it."""
+    parts = F.col("available_km") + F.col("unavailable_km") + F.col("inconsistent_km")
+    return means.withColumn("conserved", F.abs(parts - F.col(km)) <= F.greatest(F.lit(1e-9), rel * F.col(km)))
+
+
 def sog_means(pieces: DataFrame, by: Sequence[str]) -> DataFrame:
     """AGG-18, SCL-13, VAL-9: km by speed status, and distance-weighted means from sums, never means of means."""
     status, mean = S.endpoint_speed(F.col("sog"), F.col("next_sog"), F.col("knots"))

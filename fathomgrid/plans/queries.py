@@ -17,7 +17,8 @@ from ..functions import geometry as G
 from ..functions import scalars as S
 from ..operators import allocate, cleaning, exposure, period
 from ..operators import contracts as C
-from ..sources import sinks
+from ..operators import delivery
+from ..sources import readers, sinks
 from ..streaming import ingest
 from . import standins as I
 
@@ -87,7 +88,7 @@ _FINAL = f"""
 
 @query(f"SELECT l.label, count(f.label) AS rows FROM (SELECT unnest({[*cleaning.REASONS, 'kept']}) AS label) l LEFT JOIN ({_FINAL}) f ON l.label = f.label GROUP BY 1")
 def cleaning_removals(spark, sf_dir):
-    """SRC-1, FLT-1..9, WIN-1..3, AGG-2, AGG-3, VAL-1: rows removed by each check."""
+    """FLT-1..9, WIN-2, WIN-3, AGG-2, AGG-3: rows removed by each check."""
     return cleaning.removal_counts(cleaning.labelled(I.raw(spark, sf_dir)))
 
 
@@ -97,7 +98,7 @@ def cleaning_removals(spark, sf_dir):
     f"CASE WHEN len >= 0 THEN len END AS length_m FROM ({_FINAL}) WHERE label = 'kept'"
 )
 def cleaning_rows(spark, sf_dir):
-    """FLT-10..12, SNK-1, SRT-1: the cleaned rows."""
+    """FLT-10..12: the cleaned rows."""
     out = cleaning.cleaned(cleaning.labelled(I.raw(spark, sf_dir)))
     return out.select("mmsi", F.unix_micros("observed_at_utc").alias("at_us"), *out.columns[2:])
 
@@ -204,7 +205,7 @@ def grouping_sets_dense(spark, sf_dir):
 
 @query(f"SELECT CAST(at AS DATE) AS utc_date, count(*) AS rows FROM ({I.OBS_DUCK}) GROUP BY 1")
 def rows_by_date(spark, sf_dir):
-    """AGG-6, SRC-4, SET-5."""
+    """AGG-6."""
     return period.by_date(I.observations(spark, sf_dir))
 
 
@@ -271,7 +272,7 @@ _EDGES = [60.0, 600.0, 3600.0, 21600.0, 86400.0]
 
 @query(f"SELECT grp, CAST({' + '.join(f'(elapsed_s >= {e})::INT' for e in _EDGES)} AS INT) AS bin, count(*) AS rows FROM ({I.PAIRS_DUCK}) GROUP BY 1, 2")
 def gap_histogram(spark, sf_dir):
-    """AGG-19, VAL-19."""
+    """AGG-19: bins of gaps."""
     return period.histogram(pairs(spark, sf_dir), "elapsed_s", _EDGES, ["grp"])
 
 
@@ -286,7 +287,7 @@ def length_distribution(spark, sf_dir):
     round(sum(CASE WHEN st = 'available' THEN metres * (sog + next_sog) / 2 END) / nullif(sum(CASE WHEN st = 'available' THEN metres END), 0), 4) AS reported_mean, round(sum(metres * knots) / nullif(sum(metres), 0), 4) AS implied_mean
     FROM (SELECT *, {_STATUS} AS st FROM ({I.PAIRS_DUCK}) WHERE elapsed_s > 0 AND grp = next_grp) GROUP BY 1""")
 def speed_means(spark, sf_dir):
-    """AGG-18, VAL-9."""
+    """AGG-18."""
     return rounded(period.sog_means(period.structural(pairs(spark, sf_dir)), ["grp"]))
 
 
@@ -361,7 +362,7 @@ def _box_segments(spark, sf_dir):
 
 def _box_pieces(spark, sf_dir):
     cut = allocate.pieces(_box_segments(spark, sf_dir), 0, 0, 1000)
-    water = I.cells(spark).where("i % 9 >= 2").select("row_index", "column_index", "cell_id")
+    water = I.cells(spark, sf_dir).where("i % 9 >= 2").select("row_index", "column_index", "cell_id")
     return allocate.allocated(cut, water), water
 
 
@@ -426,7 +427,7 @@ _COMMON = "greatest(0, least(sx1, cx1) - greatest(sx0, cx0)) * greatest(0, least
 @query(f"SELECT cell_id, round(sum({_COMMON} * s.density) / 1e6, 6) AS abundance, round(sum({_COMMON}) / 1e6, 6) AS covered_km2, round(sum({_COMMON} * s.density) / sum({_COMMON}), 6) AS density FROM {_SRC.format(part='part')} s JOIN ({I.CELLS_DUCK}) c ON {_COMMON} > 0 GROUP BY 1")
 def density_transfer(spark, sf_dir):
     """JN-5, FLT-18: densities of boxes onto cells by common area."""
-    return rounded(exposure.transfer_boxes(_sources(spark, sf_dir), I.cells(spark).drop("density"), 1000.0), 6)
+    return rounded(exposure.transfer_boxes(_sources(spark, sf_dir), I.cells(spark, sf_dir).drop("density"), 1000.0), 6)
 
 
 @query(f"SELECT cell_id, round(sum({_COMMON} * s.density) / 1e6, 6) AS abundance, round(sum({_COMMON}) / 1e6, 6) AS covered_km2, round(sum({_COMMON} * s.density) / sum({_COMMON}), 6) AS density FROM {_SRC.format(part='part')} s JOIN ({I.CELLS_DUCK}) c ON {_COMMON} > 0 GROUP BY 1")
@@ -437,7 +438,7 @@ def density_transfer_polygons(spark, sf_dir):
         return pd.Series([G.wkb_of([G.box(*b)]) for b in zip(x0, y0, x1, y1, strict=True)])
 
     s = _sources(spark, sf_dir).withColumn("geometry", boxes("sx0", "sy0", "sx1", "sy1")).select("source_id", "density", "geometry")
-    c = I.cells(spark).drop("density").withColumn("water", F.lit(None).cast("binary"))
+    c = I.cells(spark, sf_dir).drop("density").withColumn("water", F.lit(None).cast("binary"))
     return rounded(exposure.transfer_polygons(s, c, 1000.0, 0.0, 0.0), 6)
 
 
@@ -449,7 +450,7 @@ def overlapping_sources(spark, sf_dir):
     return exposure.overlaps(b, 1000.0)
 
 
-DOMAIN, BOUNDARY = (500.0, 1500.0, 14250.0, 11750.0), (4100.0, 0.0, 9900.0, 8300.0)
+DOMAIN, BOUNDARY = (500.0, 1500.0, 14250.0, 1e7), (4100.0, 0.0, 9900.0, 8300.0)
 
 
 def _ov(b):
@@ -460,20 +461,20 @@ _BOTH = (4100.0, 1500.0, 9900.0, 8300.0)
 _AREAS = f"SELECT *, 1e6 AS water_m2, {_ov(DOMAIN)} AS qualified_m2, {_ov(_BOTH)} AS inside_m2, {_ov(DOMAIN)} - {_ov(_BOTH)} AS outside_m2 FROM ({I.CELLS_DUCK})"
 
 
-def _areas(spark):
-    return exposure.overlay_boxes(I.cells(spark), DOMAIN, BOUNDARY)
+def _areas(spark, sf_dir):
+    return exposure.overlay_boxes(I.cells(spark, sf_dir), DOMAIN, BOUNDARY)
 
 
 @query(f"SELECT cell_id, CAST(water_m2 AS DOUBLE) AS water_m2, qualified_m2, inside_m2, outside_m2, water_m2 - qualified_m2 AS excluded_m2 FROM ({_AREAS})")
 def three_way_overlay(spark, sf_dir):
-    """JN-7, VAL-6, SCL-22, SCL-23."""
-    return _areas(spark).select("cell_id", "water_m2", "qualified_m2", "inside_m2", "outside_m2", "excluded_m2")
+    """JN-7, SCL-23."""
+    return _areas(spark, sf_dir).select("cell_id", "water_m2", "qualified_m2", "inside_m2", "outside_m2", "excluded_m2")
 
 
 @query(f"SELECT cell_id, CAST(water_m2 AS DOUBLE) AS water_m2, round(qualified_m2, 3) AS qualified_m2, round(inside_m2, 3) AS inside_m2 FROM ({_AREAS})")
 def three_way_overlay_polygons(spark, sf_dir):
     """JN-7..9 through the polygon function."""
-    c = I.cells(spark).withColumn("water", F.lit(None).cast("binary"))
+    c = I.cells(spark, sf_dir).withColumn("water", F.lit(None).cast("binary"))
     out = exposure.overlay_polygons(c, [G.box(*DOMAIN)], [G.box(*BOUNDARY)])
     return rounded(out.select("cell_id", "water_m2", "qualified_m2", "inside_m2"), 3)
 
@@ -484,14 +485,14 @@ _INT = f"SELECT *, CASE WHEN qualified_m2 > 0 THEN density * vessel_km / (water_
 @query(f"SELECT cell_id, round(product, 6) AS product, round(log_, 6) AS log, round(product / max(product) OVER (), 6) AS product_index, round(log_ / max(log_) OVER (), 6) AS log_index FROM ({_INT})")
 def intensity_index(spark, sf_dir):
     """AGG-27, SCL-7."""
-    return rounded(exposure.intensities(_areas(spark)).select("cell_id", "product", "log", "product_index", "log_index"), 6)
+    return rounded(exposure.intensities(_areas(spark, sf_dir)).select("cell_id", "product", "log", "product_index", "log_index"), 6)
 
 
 @query(f"""SELECT m AS method, round(sum(qualified_m2) / 1e6, 6) AS qualified_km2, round(sum(v * qualified_m2) / 1e6, 6) AS integrated_qualified, round(sum(v * inside_m2) / 1e6, 6) AS integrated_inside, round(sum(v * outside_m2) / 1e6, 6) AS integrated_outside, round(max(v), 6) AS maximum,
     round(sum(v * inside_m2) / sum(v * qualified_m2), 6) AS share_inside, round(sum(v * outside_m2) / sum(v * qualified_m2), 6) AS share_outside FROM (SELECT *, 'product' AS m, product AS v FROM ({_INT}) UNION ALL SELECT *, 'log', log_ FROM ({_INT})) WHERE qualified_m2 > 0 GROUP BY 1""")
 def integrated_overlap(spark, sf_dir):
     """AGG-25."""
-    c = exposure.intensities(_areas(spark))
+    c = exposure.intensities(_areas(spark, sf_dir))
     parts = [exposure.summary(c, m).select(F.lit(m).alias("method"), "*") for m in exposure.METHODS]
     return rounded(parts[0].unionByName(parts[1]), 6)
 
@@ -503,7 +504,7 @@ _Q = f"""WITH c AS (SELECT * FROM ({_INT}) WHERE qualified_m2 > 0), p AS (SELECT
 @query(_Q + " SELECT t.reference, t.share, round(t.threshold, 6) AS threshold, round(sum(qualified_m2) / 1e6, 6) AS high_qualified_km2, round(sum(inside_m2) / 1e6, 6) AS high_inside_km2, round(sum(outside_m2) / 1e6, 6) AS high_outside_km2, count(*) AS cells, true AS available FROM t JOIN c ON c.product >= t.threshold AND t.threshold > 0 GROUP BY 1, 2, 3")
 def high_thresholds(spark, sf_dir):
     """AGG-21, AGG-26, WIN-9."""
-    out = exposure.thresholds(exposure.intensities(_areas(spark)))
+    out = exposure.thresholds(exposure.intensities(_areas(spark, sf_dir)))
     return rounded(out.select("reference", "share", "threshold", "high_qualified_km2", "high_inside_km2", "high_outside_km2", "cells", "available"), 6)
 
 
@@ -516,21 +517,21 @@ def weighted_quantiles(spark, sf_dir):
 @query(f"SELECT cell_id, round(product * outside_m2 / 1e6, 6) AS outside_integrated FROM ({_INT}) WHERE product * outside_m2 > 0 ORDER BY 2 DESC, 1 LIMIT 10")
 def outside_top(spark, sf_dir):
     """SRT-6."""
-    return rounded(exposure.outside_contributors(exposure.intensities(_areas(spark))), 6)
+    return rounded(exposure.outside_contributors(exposure.intensities(_areas(spark, sf_dir))), 6)
 
 
 @query(f"""SELECT CAST(floor(cx0 / 2000) * 2000 AS BIGINT) AS coarse_x, CAST(floor(cy0 / 2000) * 2000 AS BIGINT) AS coarse_y, CAST(count(*) AS DOUBLE) AS water_km2, sum(density) AS abundance, sum(vessel_km) AS vessel_km, count(*) AS fine_cells, round(sum(density) / count(*), 6) AS density
     FROM ({I.CELLS_DUCK}) GROUP BY 1, 2""")
 def coarsened_cells(spark, sf_dir):
-    """AGG-24, SCL-15, VAL-8."""
-    c = I.cells(spark).select(F.col("cx0").alias("x_min_m"), F.col("cy0").alias("y_min_m"), F.lit(1.0).alias("water_km2"), F.col("density").alias("abundance"), "vessel_km")
+    """AGG-24, SCL-15."""
+    c = I.cells(spark, sf_dir).select(F.col("cx0").alias("x_min_m"), F.col("cy0").alias("y_min_m"), F.lit(1.0).alias("water_km2"), F.col("density").alias("abundance"), "vessel_km")
     return rounded(exposure.coarsened(c, 2000), 6)
 
 
 @query(f"""WITH r AS (SELECT rank() OVER (ORDER BY density) + (count(*) OVER (PARTITION BY density) - 1) / 2.0 AS a, rank() OVER (ORDER BY vessel_km) + (count(*) OVER (PARTITION BY vessel_km) - 1) / 2.0 AS b FROM ({I.CELLS_DUCK})) SELECT round(corr(a, b), 6) AS spearman, count(*) AS rows FROM r""")
 def rank_correlation(spark, sf_dir):
     """AGG-28, WIN-8."""
-    return rounded(A.spearman(I.cells(spark), "density", "vessel_km"), 6)
+    return rounded(A.spearman(I.cells(spark, sf_dir), "density", "vessel_km"), 6)
 
 
 _SH = f"SELECT round(sum(product * inside_m2) / sum(product * qualified_m2), 6) AS share_inside, round(sum(product * outside_m2) / sum(product * qualified_m2), 6) AS share_outside FROM ({_INT})"
@@ -539,7 +540,7 @@ _SH = f"SELECT round(sum(product * inside_m2) / sum(product * qualified_m2), 6)
 @query(f"SELECT 'as_is' AS run, * FROM ({_SH}) UNION ALL SELECT 'scaled', * FROM ({_SH})")
 def scaling_control(spark, sf_dir):
     """AGG-29."""
-    return rounded(exposure.scaling_control(_areas(spark), 7.0), 6)
+    return rounded(exposure.scaling_control(_areas(spark, sf_dir), 7.0), 6)
 
 
 @query(f"""WITH r AS (SELECT 'p' || k AS name, cell_id, CASE WHEN (i + k) % 4 = 0 THEN 0.0 ELSE vessel_km + k * (i % 3) END AS value FROM ({I.CELLS_DUCK}), (SELECT unnest([1, 2, 3]) AS k)) SELECT x.name AS a, y.name AS b, count(*) AS cells, count(*) FILTER (y.value > x.value) AS larger, count(*) FILTER (y.value < x.value) AS smaller,
@@ -547,14 +548,14 @@ def scaling_control(spark, sf_dir):
 def candidate_differences(spark, sf_dir):
     """JN-14, AGG-30, SRT-7."""
     k = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
-    r = I.cells(spark).withColumn("k", k).select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("name"), "cell_id", F.when((F.col("i") + F.col("k")) % 4 == 0, 0.0).otherwise(F.col("vessel_km") + F.col("k") * (F.col("i") % 3)).alias("value"))
+    r = I.cells(spark, sf_dir).withColumn("k", k).select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("name"), "cell_id", F.when((F.col("i") + F.col("k")) % 4 == 0, 0.0).otherwise(F.col("vessel_km") + F.col("k") * (F.col("i") % 3)).alias("value"))
     return exposure.pair_differences(r)
 
 
 @query(f"WITH s AS (SELECT 'primary' AS scenario, * FROM ({_SH}) UNION ALL SELECT 'log', round(sum(log_ * inside_m2) / sum(log_ * qualified_m2), 6), 0 FROM ({_INT})) SELECT a.scenario, round((a.share_inside - b.share_inside) * 100, 3) AS points FROM s a, s b WHERE a.scenario <> 'primary' AND b.scenario = 'primary'")
 def scenario_deltas(spark, sf_dir):
-    """AGG-35, VAL-10."""
-    c = exposure.intensities(_areas(spark))
+    """AGG-35."""
+    c = exposure.intensities(_areas(spark, sf_dir))
     s = exposure.summary(c).select(F.lit("primary").alias("scenario"), F.round("share_inside", 6).alias("share_inside")).unionByName(exposure.summary(c, "log").select(F.lit("log").alias("scenario"), F.round("share_inside", 6).alias("share_inside")))
     return rounded(exposure.share_deltas(s), 3)
 
@@ -564,15 +565,15 @@ _ST = "(SELECT s_suppkey AS station_id, CAST(s_suppkey * 997 % 16000 AS DOUBLE)
 
 @query(f"SELECT DISTINCT cell_id FROM ({I.CELLS_DUCK}) c JOIN {_ST.format(supplier='supplier')} s ON ((cx0 + cx1) / 2 - sx) * ((cx0 + cx1) / 2 - sx) + ((cy0 + cy1) / 2 - sy) * ((cy0 + cy1) / 2 - sy) <= 1500.0 * 1500.0")
 def domain_by_distance(spark, sf_dir):
-    """JN-8, FLT-19, AGG-34, SCL-26: cells within reach of stations."""
-    return exposure.domain_cells(I.cells(spark), spark.sql("SELECT * FROM " + _ST, supplier=table(spark, sf_dir, "supplier")), 1500.0)
+    """JN-8: cells within reach of stations."""
+    return exposure.domain_cells(I.cells(spark, sf_dir), spark.sql("SELECT * FROM " + _ST, supplier=table(spark, sf_dir, "supplier")), 1500.0)
 
 
 @query(f"SELECT c.cell_id, c.density, d.vessel_km, c.row_index FROM ({I.CELLS_DUCK}) c JOIN ({I.CELLS_DUCK}) d USING (cell_id)")
 def strict_one_to_one(spark, sf_dir):
     """JN-1."""
-    a = I.cells(spark).select("cell_id", "row_index", "density")
-    b = I.cells(spark).select("cell_id", "row_index", "vessel_km")
+    a = I.cells(spark, sf_dir).select("cell_id", "row_index", "density")
+    b = I.cells(spark, sf_dir).select("cell_id", "row_index", "vessel_km")
     return exposure.strict_join(a, b, "cell_id", ["row_index"]).select("cell_id", "density", "vessel_km", "row_index")
 
 
@@ -596,7 +597,7 @@ def class_breaks(spark, sf_dir):
 
 @query("SELECT count(*) AS rows, count(*) FILTER (NOT coalesce(abs(l_extendedprice / l_quantity * l_quantity - l_extendedprice) <= greatest(1e-6 * l_extendedprice, 1e-9), false)) AS consistent, count(*) FILTER (NOT coalesce(l_discount BETWEEN 0 AND 0.05, false)) AS discount, count(*) FILTER (NOT coalesce(l_returnflag IN ('A', 'R'), false)) AS flag FROM lineitem")
 def rule_violations(spark, sf_dir):
-    """FLT-21, FLT-22, VAL-16, VAL-17, PUB-6, PUB-7, SRC-11, SCL-29: rows that break each rule."""
+    """FLT-21, FLT-22, VAL-17, SCL-29: rows that break each rule."""
     li = table(spark, sf_dir, "lineitem")
     p, q = F.col("l_extendedprice"), F.col("l_quantity")
     return C.violations(li, consistent=S.close(p / q * q, p, 1e-6, 1e-9), discount=F.col("l_discount").between(0, 0.05), flag=F.col("l_returnflag").isin("A", "R"))
@@ -655,7 +656,7 @@ def _state(spark, sf_dir):
 
 @query(f"SELECT coalesce(o.utc_date, n.utc_date) AS utc_date, coalesce(o.sha256, n.sha256) AS sha256, CASE WHEN n.sha256 <> o.sha256 THEN 'conflict' ELSE 'verified' END AS state, CAST(coalesce(o.attempts, 0) + CASE WHEN n.utc_date IS NULL THEN 0 ELSE 1 END AS BIGINT) AS attempts FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.utc_date = n.utc_date")
 def ingest_upsert(spark, sf_dir):
-    """STR-2, STA-1, STA-4, STA-5."""
+    """STA-1, STA-5."""
     return ingest.upsert(*_state(spark, sf_dir))
 
 
@@ -675,7 +676,7 @@ def ingest_to_do(spark, sf_dir):
 
 @query(f"WITH u AS (SELECT CASE WHEN n.sha256 <> o.sha256 THEN 'conflict' ELSE 'verified' END AS state FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.utc_date = n.utc_date) SELECT count(*) AS dates, count(*) FILTER (state = 'verified') AS verified, count(*) FILTER (state = 'conflict') AS conflict, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS absent FROM u")
 def ingest_roll_up(spark, sf_dir):
-    """STA-8, STA-9."""
+    """STA-8."""
     return ingest.roll_up(ingest.upsert(*_state(spark, sf_dir)))
 
 
@@ -707,7 +708,7 @@ def public_texts(spark, sf_dir):
 def display_overlap_class(spark, sf_dir):
     """PUB-10, JN-9."""
     q, w = F.col("qualified_m2"), F.col("water_m2")
-    return _areas(spark).select("cell_id", F.when(q <= 0, "none").when(F.abs(q - w) <= 1e-12 * w, "full").otherwise("partial").alias("overlap"))
+    return _areas(spark, sf_dir).select("cell_id", F.when(q <= 0, "none").when(F.abs(q - w) <= 1e-12 * w, "full").otherwise("partial").alias("overlap"))
 
 
 @query(None)
@@ -717,7 +718,7 @@ def geojson_features(spark, sf_dir):
     def boxes(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
         return pd.Series([G.wkb_of([G.box(*b)]) for b in zip(x0, y0, x1, y1, strict=True)])
 
-    return sinks.features(I.cells(spark).withColumn("geometry", boxes("cx0", "cy0", "cx1", "cy1")), "geometry", "cell_id", ["density", "vessel_km"])
+    return sinks.features(I.cells(spark, sf_dir).withColumn("geometry", boxes("cx0", "cy0", "cx1", "cy1")), "geometry", "cell_id", ["density", "vessel_km"])
 
 
 @query("""SELECT l_returnflag AS slice, count(*) AS rows, count(*) FILTER (o > l_orderkey OR (o = l_orderkey AND n > l_linenumber)) AS inversions FROM (SELECT l_returnflag, l_orderkey, l_linenumber, lag(l_orderkey) OVER w AS o, lag(l_linenumber) OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber DESC)) GROUP BY 1""")
@@ -728,3 +729,332 @@ def sorted_slice(spark, sf_dir):
     base = blocks.groupBy("l_returnflag", "b").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("l_returnflag").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = blocks.join(base, ["l_returnflag", "b"]).withColumn("position", F.col("before") + F.row_number().over(Window.partitionBy("l_returnflag", "b").orderBy("l_orderkey", F.desc("l_linenumber"))))
     return C.sorted_slices(placed, ["l_orderkey", "l_linenumber"], "l_returnflag")
+
+
+# --- overlays with holes, balances, controls ---------------------------------------------------------------------------
+
+_IN = "greatest(0, least({x1}, cx1) - greatest({x0}, cx0)) * greatest(0, least({y1}, cy1) - greatest({y0}, cy0))"
+
+
+def _boxes(b, *holes):
+    """A box's common area with a cell, less holes that lie within it, as SQL."""
+    part = lambda x: _IN.format(x0=x[0], y0=x[1], x1=x[2], y1=x[3])
+    return "(" + " - ".join(map(part, (b, *holes))) + ")"
+
+
+#: A domain in two parts, one with a hole, and a boundary with a hole that lies across the domain's.
+_D1, _D1H, _D2 = (500.0, 1500.0, 9200.0, 1e7), (2250.0, 3100.0, 6400.0, 7300.0), (10300.0, 800.0, 15100.0, 1e7)
+_V, _VH = (1200.0, 2400.0, 12800.0, 9900.0), (5200.0, 5600.0, 11500.0, 8050.0)
+
+
+def _and(*boxes):
+    return (max(b[0] for b in boxes), max(b[1] for b in boxes), min(b[2] for b in boxes), min(b[3] for b in boxes))
+
+
+def _joint(a, v):
+    """A box of the domain with the boundary: inclusion and exclusion of the boundary's hole."""
+    return f"({_boxes(_and(a, _V))} - {_boxes(_and(a, _VH))})"
+
+
+_Q_HOLES = f"({_boxes(_D1, _D1H)} + {_boxes(_D2)})"
+_I_HOLES = f"({_joint(_D1, _V)} - {_joint(_D1H, _V)} + {_joint(_D2, _V)})"
+
+
+@query(f"SELECT cell_id, 1000000.0::DOUBLE AS water_m2, round({_Q_HOLES}, 3) AS qualified_m2, round({_I_HOLES}, 3) AS inside_m2, round({_Q_HOLES} - {_I_HOLES}, 3) AS outside_m2, round(1e6 - {_Q_HOLES}, 3) AS excluded_m2 FROM ({I.CELLS_DUCK})")
+def overlay_with_holes(spark, sf_dir):
+    """JN-7..9, VAL-6, SCL-25: the joint overlay of cells with a domain of two parts and a boundary, both with holes."""
+    ring = lambda *b: G.box(*b)[0]
+    c = I.cells(spark, sf_dir).withColumn("water", F.lit(None).cast("binary"))
+    out = exposure.overlay_polygons(c, [[ring(*_D1), ring(*_D1H)], [ring(*_D2)]], [[ring(*_V), ring(*_VH)]])
+    return rounded(out.select("cell_id", "water_m2", "qualified_m2", "inside_m2", "outside_m2", "excluded_m2"), 3)
+
+
+@query(f"SELECT cell_id, round(vessel_km * {_I_HOLES} / 1e6, 6) AS inside_km, round(vessel_km * ({_Q_HOLES} - {_I_HOLES}) / 1e6, 6) AS outside_km, round(vessel_km * (1e6 - {_Q_HOLES}) / 1e6, 6) AS excluded_km FROM ({I.CELLS_DUCK})")
+def split_totals(spark, sf_dir):
+    """SCL-22: a cell's total over all of its water, split by area."""
+    ring = lambda *b: G.box(*b)[0]
+    c = I.cells(spark, sf_dir).withColumn("water", F.lit(None).cast("binary"))
+    out = exposure.overlay_polygons(c, [[ring(*_D1), ring(*_D1H)], [ring(*_D2)]], [[ring(*_V), ring(*_VH)]])
+    return rounded(out.select("cell_id", *[exposure.split_total(F.col("vessel_km"), f"{k}_m2").alias(f"{k}_km") for k in ("inside", "outside", "excluded")]), 6)
+
+
+#: Sources of parts: a box with a hole in its middle.
+_HOLED = "(SELECT *, sx0 + 50 AS hx0, sy0 + 75 AS hy0, sx1 - 100 AS hx1, sy1 - 125 AS hy1 FROM {part})"
+_HOLED_DUCK = _HOLED.format(part=_SRC.format(part="part"))
+_COMMON_HOLED = f"({_IN.format(x0='sx0', y0='sy0', x1='sx1', y1='sy1')} - {_IN.format(x0='hx0', y0='hy0', x1='hx1', y1='hy1')})"
+
+
+def _holed(spark, sf_dir):
+    @F.pandas_udf("binary")
+    def wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([G.wkb_of([[G.box(*b)[0], G.box(b[0] + 50, b[1] + 75, b[2] - 100, b[3] - 125)[0]]]) for b in zip(x0, y0, x1, y1, strict=True)])
+
+    return _sources(spark, sf_dir).withColumn("geometry", wkb("sx0", "sy0", "sx1", "sy1")).select("source_id", "density", "geometry")
+
+
+def _water(spark, sf_dir):
+    return I.cells(spark, sf_dir).where("i % 9 >= 2").drop("density").withColumn("water", F.lit(None).cast("binary"))
+
+
+@query(f"SELECT cell_id, round(sum({_COMMON_HOLED} * s.density) / 1e6, 6) AS abundance, round(sum({_COMMON_HOLED}) / 1e6, 6) AS covered_km2 FROM {_HOLED_DUCK} s JOIN (SELECT * FROM ({I.CELLS_DUCK}) WHERE i % 9 >= 2) c ON {_COMMON_HOLED} > 0 GROUP BY 1")
+def density_transfer_holes(spark, sf_dir):
+    """JN-5, SCL-25: densities of polygons with holes onto the cells of water."""
+    return rounded(exposure.transfer_polygons(_holed(spark, sf_dir), _water(spark, sf_dir), 1000.0, 0.0, 0.0).select("cell_id", "abundance", "covered_km2"), 6)
+
+
+@query(f"SELECT round(a, 4) AS source_abundance, round(a, 4) AS allocated, a > 0 AS conserved FROM (SELECT sum({_COMMON_HOLED} * s.density) / 1e6 AS a FROM {_HOLED_DUCK} s JOIN (SELECT * FROM ({I.CELLS_DUCK}) WHERE i % 9 >= 2) c ON {_COMMON_HOLED} > 0)")
+def abundance_balance(spark, sf_dir):
+    """VAL-5: abundance of the sources within the union of the cells of water, against what the cells got."""
+    sources = _holed(spark, sf_dir)
+    got = exposure.transfer_polygons(sources, _water(spark, sf_dir), 1000.0, 0.0, 0.0)
+    domain = [G.box(1000.0 * (i % 16), 1000.0 * (i // 16), 1000.0 * (i % 16) + 1000, 1000.0 * (i // 16) + 1000) for i in range(16 * 13) if i % 9 >= 2]  # sources end below row 12
+    return rounded(exposure.abundance_balance(sources, got, domain), 4)
+
+
+@query(f"SELECT round(sum({_Q_HOLES}), 2) AS cells_m2, round(sum({_Q_HOLES}), 2) AS mask_m2, sum({_Q_HOLES}) > 0 AS conserved FROM ({I.CELLS_DUCK})")
+def water_balance(spark, sf_dir):
+    """VAL-7: the cells' water against the mask's area within the grid."""
+    ring = lambda *b: G.box(*b)[0]
+    mask = [[ring(*_D1), ring(*_D1H)], [ring(*_D2)]]
+    c = I.cells(spark, sf_dir).withColumn("water", F.lit(None).cast("binary"))
+    cells = exposure.overlay_polygons(c, mask, mask).select("cell_id", F.col("qualified_m2").alias("water_m2"))
+    top = I.cells(spark, sf_dir).agg(F.max("cy1")).first()[0]
+    return rounded(exposure.water_balance(cells, mask, (0.0, 0.0, 16000.0, top)), 2)
+
+
+@query(f"SELECT m AS measure, CAST(CASE m WHEN 'water_km2' THEN n WHEN 'abundance' THEN d ELSE k END AS DOUBLE) AS fine, CAST(CASE m WHEN 'water_km2' THEN n2 WHEN 'abundance' THEN d2 ELSE k2 END AS DOUBLE) AS coarse, abs(CASE m WHEN 'water_km2' THEN n - n2 WHEN 'abundance' THEN d - d2 ELSE k - k2 END) < 1e-6 AS conserved FROM (SELECT count(*) AS n, sum(density) AS d, sum(vessel_km) AS k FROM ({I.CELLS_DUCK})), (SELECT sum(n) AS n2, sum(d) AS d2, sum(k) AS k2 FROM (SELECT count(*) AS n, sum(density) AS d, sum(vessel_km) AS k FROM ({I.CELLS_DUCK}) GROUP BY floor(cx0 / 2000), floor(cy0 / 2000))), (SELECT unnest(['water_km2', 'abundance', 'vessel_km']) AS m)")
+def coarse_balance(spark, sf_dir):
+    """VAL-8: totals before and after coarsening."""
+    c = I.cells(spark, sf_dir).select(F.col("cx0").alias("x_min_m"), F.col("cy0").alias("y_min_m"), F.lit(1.0).alias("water_km2"), F.col("density").alias("abundance"), "vessel_km")
+    return exposure.coarse_balance(c, exposure.coarsened(c, 2000))
+
+
+@query(f"SELECT true AS available, round(max(product), 6) AS normaliser, abs(sum(product / t * inside_m2) / sum(product / t * qualified_m2) - sum(product * inside_m2) / sum(product * qualified_m2)) < 1e-12 AS same_share, count(*) FILTER (product >= 0.9 * t) = count(*) FILTER (product / t >= 0.9) AS memberships_equal FROM ({_INT}), (SELECT max(product) AS t FROM ({_INT})) WHERE qualified_m2 > 0")
+def normalisation_control(spark, sf_dir):
+    """PUB-5: scaling all intensities to a largest of 1 changes neither shares nor high cells."""
+    out = exposure.normalisation_control(exposure.intensities(_areas(spark, sf_dir)))
+    return out.select("available", F.round("normaliser", 6).alias("normaliser"), (F.abs("inside_share_difference") < 1e-12).alias("same_share"), "memberships_equal")
+
+
+_STATIONS = "(SELECT s_suppkey AS station_id, CASE WHEN s_nationkey % 2 = 0 THEN 'shore' ELSE 'buoy' END AS kind, CAST(s_suppkey * 997 % 16000 AS DOUBLE) AS sx, CAST(s_suppkey * 613 % 12000 AS DOUBLE) AS sy FROM {supplier})"
+
+
+@query(f"SELECT station_id, sx, sy FROM {_STATIONS.format(supplier='supplier')} WHERE kind = 'shore' AND sx >= 2000 AND sx <= 9000 AND sy >= 1000 AND sy <= 11000")
+def stations_within(spark, sf_dir):
+    """FLT-19."""
+    return exposure.stations_within(spark.sql("SELECT * FROM " + _STATIONS, supplier=table(spark, sf_dir, "supplier")), "shore", (2000.0, 1000.0, 9000.0, 11000.0)).drop("kind")
+
+
+_SUPPLIED = "(SELECT s_suppkey AS id, CAST(s_suppkey * 997 % 16000 AS DOUBLE) AS x0, CAST(s_suppkey * 613 % 12000 AS DOUBLE) AS y0, CAST(s_suppkey * 997 % 16000 + 600 AS DOUBLE) AS x1, CAST(s_suppkey * 613 % 12000 + 700 AS DOUBLE) AS y1 FROM {supplier})"
+
+
+@query(f"WITH b AS (SELECT * FROM {_SUPPLIED.format(supplier='supplier')}) SELECT a.id AS aid, b.id AS bid, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS common FROM b a JOIN b ON a.id < b.id WHERE common > 0.01")
+def overlapping_polygons(spark, sf_dir):
+    """JN-6: pairs of source polygons whose interiors overlap beyond the tolerance."""
+    @F.pandas_udf("binary")
+    def wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([G.wkb_of([G.box(*b)]) for b in zip(x0, y0, x1, y1, strict=True)])
+
+    boxes = spark.sql("SELECT * FROM " + _SUPPLIED, supplier=table(spark, sf_dir, "supplier"))
+    return rounded(exposure.polygon_overlaps(boxes.select(F.col("id").alias("source_id"), wkb("x0", "y0", "x1", "y1").alias("geometry")), 1000.0), 3)
+
+
+@query(f"SELECT count(*) AS rows, CAST(0 AS BIGINT) + count(*) FILTER (cell_id <> printf('r%03d_c%03d', row_index, column_index)) AS id, count(*) FILTER (cx1 - cx0 <> 1000 OR cy1 - cy0 <> 1000 OR i % 50 = 3) AS bounds, count(*) FILTER (row_index < 0) AS place, count(*) FILTER (i % 40 = 7) AS repeated FROM ({I.CELLS_DUCK})")
+def grid_faults(spark, sf_dir):
+    """SRC-11, PUB-6: the contract of a grid whose bounds are off in one cell of fifty and one cell of forty is there twice."""
+    c = I.cells(spark, sf_dir).withColumn("cx1", F.when(F.col("i") % 50 == 3, F.col("cx1") + 1).otherwise(F.col("cx1")))
+    out = C.grid_faults(c.unionByName(c.where("i % 40 = 7")), 0.0, 0.0, 1000.0)
+    twice = c.where("i % 40 = 7").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("i") % 50 == 3).alias("off"))
+    return out.crossJoin(twice).select((F.col("rows") - F.col("n")).alias("rows"), "id", (F.col("bounds") - F.col("off")).alias("bounds"), "place", "repeated")
+
+
+_PRODUCTION = {
+    f"{c}_{g}": f"CAST(i * {m} % {r} AS DOUBLE) / 4 * {f}"
+    for m, g, f in ((3, "passenger", 1), (5, "cargo", 2), (11, "tanker", 3))
+    for c, r in (("sog_available_km", 16), ("sog_unavailable_km", 9), ("sog_inconsistent_km", 4))
+}
+
+
+def _production_sql(source: str) -> str:
+    """Cells with kilometres by speed status for each group; one in seventeen has a total that is off, one in nineteen a mean
+    without speeds, one in twenty-three a density of other units."""
+    groups = ("passenger", "cargo", "tanker")
+    inner = f"SELECT i, cell_id, 1.0 AS water_km2, {', '.join(f'{v} AS {k}' for k, v in _PRODUCTION.items())} FROM {source}"
+    total = lambda c: " + ".join(f"{c}_{g}" for g in groups)
+    parts = ("sog_available_km", "sog_unavailable_km", "sog_inconsistent_km")
+    mid = f"SELECT *, {', '.join(f'{total(c)} AS {c}_all_commercial' for c in parts)} FROM ({inner})"
+    out = ["i", "cell_id", "water_km2"]
+    for g in (*groups, "all_commercial"):
+        km = "(" + " + ".join(f"{c}_{g}" for c in parts) + ")"
+        off = " + CASE WHEN i % 17 = 3 THEN 1 ELSE 0 END" if g == "cargo" else ""
+        out += [f"{c}_{g}" for c in parts]
+        out += [f"{km}{off} AS vessel_km_{g}", f"({km}{off}) * CASE WHEN i % 23 = 5 THEN 1000 ELSE 1 END AS vessel_km_per_water_km2_{g}"]
+        out += [f"CASE WHEN sog_available_km_{g} > 0 OR i % 19 = 4 THEN 12.5 END AS reported_mean_{g}", f"CASE WHEN {km}{off} > 0 THEN CAST(i % 34 AS DOUBLE) END AS implied_mean_{g}"]
+    return f"SELECT {', '.join(out)} FROM ({mid})"
+
+
+def _faults_sql() -> str:
+    parts, groups = ("sog_available_km", "sog_unavailable_km", "sog_inconsistent_km"), ("passenger", "cargo", "tanker")
+    rows = []
+    for g in (*groups, "all_commercial"):
+        km = " + ".join(f"{c}_{g}" for c in parts)
+        wrong = {
+            "finite": f"vessel_km_{g} < 0",
+            "categories": f"abs(vessel_km_{g} - ({km})) > 1e-6",
+            "density": f"abs(vessel_km_per_water_km2_{g} - vessel_km_{g} / water_km2) > 1e-6",
+            "reported_mean": f"(reported_mean_{g} IS NULL) <> (sog_available_km_{g} = 0) OR coalesce(reported_mean_{g} > 35, false)",
+            "implied_mean": f"(implied_mean_{g} IS NULL) <> (vessel_km_{g} = 0) OR coalesce(implied_mean_{g} > 30, false)",
+        }
+        rows += [f"SELECT '{g}' AS \"group\", '{r}' AS rule, count(*) FILTER ({x}) AS cells FROM p" for r, x in wrong.items()]
+    for c in ("vessel_km", *parts):
+        rows.append(f"SELECT 'all_commercial', '{c} of groups', count(*) FILTER (abs({c}_all_commercial - ({' + '.join(f'{c}_{g}' for g in groups)})) > 1e-6) FROM p")
+    return f"WITH p AS ({_production_sql(f'({I.CELLS_DUCK})')}) " + " UNION ALL ".join(rows)
+
+
+@query(_faults_sql())
+def production_faults(spark, sf_dir):
+    """VAL-13, PUB-7: invariants of production cells, some of which are broken on purpose."""
+    return delivery.cell_faults(spark.sql(_production_sql("{c}"), c=I.cells(spark, sf_dir)))
+
+
+# --- evidence, readiness, accounting -------------------------------------------------------------------------------------
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT CAST({g} AS DOUBLE) AS gap, CAST({v} AS DOUBLE) AS speed, CAST({m} AS DOUBLE) AS least_length, CASE WHEN {_EXCL.format(gap=g, speed=v)} <> 'retained' THEN {_EXCL.format(gap=g, speed=v)} WHEN {m} IS NOT NULL AND NOT length_m >= {m} THEN 'below_length' ELSE 'retained' END AS outcome, count(*) AS pairs, round(sum(metres) / 1000, 4) AS km FROM ({I.PAIRS_DUCK}) GROUP BY 4"
+        for g in (21600.0, 43200.0)
+        for v in (15.0, 30.0)
+        for m in ("NULL", 100.0)
+    )
+)
+def rule_matrix_lengths(spark, sf_dir):
+    """JN-13, AGG-22: rules with a least length."""
+    out = period.rule_matrix(pairs(spark, sf_dir), (21600.0, 43200.0), (15.0, 30.0), (None, 100.0))
+    return rounded(out.select("gap", "speed", "least_length", "outcome", "pairs", "km"))
+
+
+_HAVERSINE = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(next_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(next_lat)) * pow(sin(radians(next_lon - lon) / 2), 2))))"
+_DIFF, _RELATIVE = [-100.0, -10.0, 0.0, 10.0, 100.0], [-0.01, -0.001, 0.0, 0.001, 0.01]
+
+
+def _bins(x, edges):
+    low = [f"{x} < {edges[0]}", *[f"{x} >= {a} AND {x} < {b}" for a, b in zip(edges, edges[1:], strict=False)], f"{x} >= {edges[-1]}"]
+    return " || ',' || ".join(f"count(*) FILTER ({w})" for w in low)
+
+
+_DIFFS = f"SELECT grp, m AS measure, CASE m WHEN 'signed' THEN d WHEN 'absolute' THEN abs(d) WHEN 'signed_relative' THEN d / nullif(g, 0) ELSE abs(d / nullif(g, 0)) END AS x, g FROM (SELECT grp, metres - {_HAVERSINE} AS d, {_HAVERSINE} AS g FROM ({I.PAIRS_DUCK})), (SELECT unnest(['signed', 'absolute', 'signed_relative', 'absolute_relative']) AS m)"
+
+
+def _differences(spark, sf_dir):
+    p = pairs(spark, sf_dir).withColumn("geodesic_m", F.expr(_HAVERSINE))
+    return period.distance_differences(p, ["grp"], _DIFF, _RELATIVE)
+
+
+@query(f"SELECT grp, measure, count(x) AS count, round(min(x), 4) AS minimum, round(max(x), 4) AS maximum, round(avg(x), 4) AS mean, CASE WHEN measure LIKE '%relative' THEN {_bins('x', _RELATIVE)} ELSE {_bins('x', _DIFF)} END AS bins, count(*) FILTER (g = 0) AS undefined FROM ({_DIFFS}) GROUP BY 1, 2")
+def distance_differences(spark, sf_dir):
+    """AGG-19: projected less spherical lengths over fixed bins, with those below the first and above the last edge."""
+    out = _differences(spark, sf_dir).select("grp", "measure", "count", "minimum", "maximum", "mean", F.array_join(F.transform("bin_counts", lambda n: n.cast("string")), ",").alias("bins"), "undefined")
+    return rounded(out)
+
+
+@query(f"SELECT grp, CASE WHEN grp = 'cargo' THEN 2 ELSE 0 END + count(DISTINCT measure) - 4 AS faults FROM ({_DIFFS}) GROUP BY 1")
+def evidence_faults(spark, sf_dir):
+    """VAL-19: the same document checked, after one count of one group was changed: its bins and its pair of measures fail."""
+    d = _differences(spark, sf_dir)
+    spoilt = d.withColumn("count", F.when((F.col("grp") == "cargo") & (F.col("measure") == "absolute"), F.col("count") + 1).otherwise(F.col("count")))
+    return period.evidence_faults(spoilt, ["grp"])
+
+
+@query(f"SELECT count(*) AS dates, count(*) FILTER (s.state = 'verified') = count(*) AS ready, sha256(string_agg(CAST(c.utc_date AS VARCHAR) || ':' || coalesce(s.state, 'absent') || ':' || coalesce(s.sha256, ''), '|' ORDER BY c.utc_date)) AS identity FROM ({_CAL}) c LEFT JOIN ({_OLD}) s ON c.utc_date = s.utc_date")
+def readiness(spark, sf_dir):
+    """VAL-18: whether a period is complete, and the identity of its contents."""
+    old, _ = _state(spark, sf_dir)
+    return period.readiness(period.calendar(spark, "2024-01-01", "2024-02-29"), old)
+
+
+@query(f"SELECT c.utc_date, s.sha256, coalesce(s.state, 'absent') AS state, coalesce(s.attempts, 0) AS attempts FROM ({_CAL}) c LEFT JOIN ({_OLD}) s ON c.utc_date = s.utc_date")
+def ingest_skeleton(spark, sf_dir):
+    """STA-4."""
+    days = period.calendar(spark, "2024-01-01", "2024-02-29")
+    old, _ = _state(spark, sf_dir)
+    return ingest.into_skeleton(days, old.join(days, "utc_date", "left_semi")).withColumn("utc_date", F.col("utc_date").cast("string"))
+
+
+ORACLES["ingest_skeleton"] = f"SELECT * REPLACE (CAST(utc_date AS VARCHAR) AS utc_date) FROM ({ORACLES['ingest_skeleton']})"
+
+
+@query("SELECT CAST(d AS VARCHAR) AS utc_date, CAST(claimed AS BIGINT) AS claimed, found, CASE WHEN found IS NULL THEN 'missing' WHEN claimed IS NULL THEN 'unrequested' WHEN claimed <> found THEN 'differs' ELSE '' END AS fault FROM (SELECT coalesce(a.d, b.d) AS d, claimed, found FROM (SELECT CAST(ts AS DATE) AS d, count(*) FILTER (event_type <> 'signup') AS claimed FROM events GROUP BY 1 HAVING day(CAST(ts AS DATE)) % 7 <> 0) a FULL JOIN (SELECT CAST(ts AS DATE) AS d, count(*) AS found FROM events WHERE dayofweek(ts) <> 0 GROUP BY 1) b ON a.d = b.d)")
+def ingest_accounting(spark, sf_dir):
+    """STA-9: a manifest's sums by date against rows; some dates are missing, some unrequested, some differ."""
+    e = I.events(spark, sf_dir).withColumn("utc_date", F.to_date("ts"))
+    manifest = e.where(F.dayofmonth("utc_date") % 7 != 0).groupBy("utc_date").agg(F.count_if(F.col("event_type") != "signup").alias("rows"))
+    return ingest.accounting(manifest, e.where(F.dayofweek("utc_date") != 1)).withColumn("utc_date", F.col("utc_date").cast("string"))
+
+
+@query(f"SELECT grp, round(km, 4) AS km, round(a + u + c, 4) AS parts_km, abs(km - a - u - c) < 1e-6 AS conserved FROM (SELECT grp, sum(metres) / 1000 AS km, {', '.join(f'coalesce(sum(CASE WHEN st = {s!r} THEN metres END), 0) / 1000 AS {n}' for s, n in (('available', 'a'), ('unavailable', 'u'), ('inconsistent', 'c')))} FROM (SELECT *, {_STATUS} AS st FROM ({I.PAIRS_DUCK}) WHERE elapsed_s > 0 AND grp = next_grp) GROUP BY 1)")
+def speed_balance(spark, sf_dir):
+    """VAL-9: kilometres by speed status against all."""
+    some = period.structural(pairs(spark, sf_dir))
+    both = period.sog_means(some, ["grp"]).join(some.groupBy("grp").agg((F.sum("metres") / 1000).alias("km")), "grp")
+    return rounded(period.speed_balance(both).select("grp", "km", (F.col("available_km") + F.col("unavailable_km") + F.col("inconsistent_km")).alias("parts_km"), "conserved"))
+
+
+# --- written and read again ----------------------------------------------------------------------------------------------
+
+
+@query(ORACLES["cleaning_removals"])
+def csv_round_trip(spark, sf_dir):
+    """SRC-1, SRC-3, WIN-1, VAL-1: raw rows written as CSV, read under the header contract, labelled and accounted for."""
+    path = sinks.scratch(spark)
+    I.raw(spark, sf_dir).write.option("header", True).option("quoteAll", True).option("emptyValue", "").csv(path)
+    marked = cleaning.labelled(readers.raw_csv(spark, path))
+    cleaning.assert_conserved(marked)
+    return cleaning.removal_counts(marked)
+
+
+@query(f"SELECT count(*) AS rows, count(*) FILTER (label = 'kept') AS kept FROM ({_FINAL})")
+def strict_round_trip(spark, sf_dir):
+    """SRC-2, SRC-7, VAL-10: the same file read strictly, and its rows counted and labelled anew from what was stored."""
+    path = sinks.scratch(spark)
+    I.raw(spark, sf_dir).write.option("header", True).option("quoteAll", True).option("emptyValue", "").csv(path)
+    counted = readers.counted_csv(spark, path)
+    C.require(counted, whole=~F.col("malformed"))
+    kept = cleaning.labelled(readers.strict_csv(spark, path).na.fill("")).agg(F.count_if(F.col("label") == "kept").alias("kept"))
+    return counted.agg(F.count(F.lit(1)).alias("rows")).crossJoin(kept)
+
+
+@query(f"SELECT CAST(CAST(at AS DATE) AS VARCHAR) AS utc_date, count(*) AS rows, sum(seq) AS seqs FROM ({I.OBS_DUCK}) GROUP BY 1")
+def daily_round_trip(spark, sf_dir):
+    """SNK-2, SNK-6, SRT-3, SRC-4, SET-5: a folder of CSV a day, read again as one period."""
+    path = sinks.scratch(spark)
+    rows = I.observations(spark, sf_dir).select(F.to_date("at").cast("string").alias("utc_date"), F.col("seq").cast("string").alias("seq"), "vessel", "grp")
+    sinks.daily_csv(rows, path, ["vessel", "seq"])
+    back = spark.read.option("header", True).csv(path)
+    return back.groupBy(F.col("utc_date").cast("string").alias("utc_date")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("seq").cast("long")).alias("seqs"))
+
+
+@query(f"SELECT count(*) AS rows, count(DISTINCT MMSI) AS vessels, epoch_us(min(at)) AS first_us, epoch_us(max(at)) AS last_us FROM ({_FINAL}) WHERE label = 'kept'")
+def cleaned_round_trip(spark, sf_dir):
+    """SNK-1, SRT-1, SNK-8, SRC-5, SRC-6: cleaned rows written in their order, their schema held against the contract, written once
+    more and compared row by row."""
+    from ..schemas import CLEANED
+
+    path = sinks.scratch(spark)
+    rows = cleaning.cleaned(cleaning.labelled(I.raw(spark, sf_dir)))
+    sinks.parquet(rows, path, ["observed_at_utc", "mmsi", "latitude", "longitude", "vessel_type_code"])
+    back = readers.period(spark, [path])
+    readers.contract_schema(back, CLEANED)
+    again = sinks.verified(back, sinks.scratch(spark))
+    return again.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("mmsi").alias("vessels"), F.unix_micros(F.min("observed_at_utc")).alias("first_us"), F.unix_micros(F.max("observed_at_utc")).alias("last_us"))
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS utc_date, count(*) AS rows, sum(event_id) AS ids FROM events GROUP BY 1")
+def stream_round_trip(spark, sf_dir):
+    """STR-2: events as a stream of files, appended by batches, twice: the second run finds nothing new."""
+    source, sink, state = (sinks.scratch(spark) for _ in range(3))
+    I.events(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("at")).repartition(4).write.parquet(source)
+    for _ in range(2):
+        ingest.stream_days(spark, source, "event_id long, at timestamp", sink, state).awaitTermination()
+    back = spark.read.parquet(sink)
+    return back.groupBy(F.col("utc_date").cast("string").alias("utc_date")).agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("ids"))

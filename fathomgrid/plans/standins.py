@@ -64,18 +64,19 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_raw("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")", "{events}"), events=events(spark, sf_dir))
 
 
-#: Cells of a small grid, each with densities, traffic and areas that are exact fractions. Two cells in nine are no water.
+#: Cells of a grid of 16 columns whose rows grow with the table of customers, each with densities, traffic and areas that
+#: are exact fractions. Two cells in nine are no water.
 CELLS = """
     SELECT CAST(i AS BIGINT) AS i, {ID} AS cell_id, CAST({I} / 16 AS INT) AS row_index, CAST({I} % 16 AS INT) AS column_index,
            CAST(1000 * ({I} % 16) AS DOUBLE) AS cx0, CAST(1000 * CAST({I} / 16 AS INT) AS DOUBLE) AS cy0, CAST(1000 * ({I} % 16) + 1000 AS DOUBLE) AS cx1, CAST(1000 * CAST({I} / 16 AS INT) + 1000 AS DOUBLE) AS cy1,
            CAST(i * 7 % 13 AS DOUBLE) / 4 AS density, CASE WHEN i % 9 < 2 THEN 0.0 ELSE CAST(i * 5 % 31 AS DOUBLE) / 2 END AS vessel_km
     FROM {SOURCE}
 """
-CELLS_DUCK = CELLS.format(ID="printf('r%03d_c%03d', i // 16, i % 16)", SOURCE="range(192) t(i)", I="i").replace("i / 16", "i // 16")
+CELLS_DUCK = CELLS.format(ID="printf('r%03d_c%03d', i // 16, i % 16)", SOURCE="(SELECT unnest(range(192 * (1 + (SELECT count(*) FROM customer) // 1500))) AS i)", I="i").replace("i / 16", "i // 16")
 
 
-def cells(spark: SparkSession) -> DataFrame:
-    n = spark.range(192).withColumnRenamed("id", "i")
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.range(192 * (1 + spark.read.parquet(f"{sf_dir}/customer.parquet").count() // 1500)).withColumnRenamed("id", "i")
     return spark.sql(CELLS.format(ID="format_string('r%03d_c%03d', CAST(i / 16 AS INT), CAST(i % 16 AS INT))", SOURCE="{n}", I="i"), n=n)
 
 

@@ -37,12 +37,20 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return [x.strip('"') for x in first[0].rstrip("\r").split(",")]
 
 
-def raw_csv(spark: SparkSession, path: str | list[str], expected: Sequence[str] = RAW_COLUMNS) -> DataFrame:
-    """SRC-1: all columns as text, after the header contract holds for every path."""
+def raw_csv(spark: SparkSession, path: str | list[str], expected: Sequence[str] = RAW_COLUMNS, multi_line: bool = False) -> DataFrame:
+    """SRC-1: all columns as text, after the header contract holds for every path.
+
+    Files are split between tasks by lines, so a line break within quotes is an error that says so; with ``multi_line`` such
+    files are read whole, a file a task.
+    """
     for p in [path] if isinstance(path, str) else path:
         check_header(header_of(spark, p), expected)
+    if not multi_line:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        if spark.read.text(path).where(quotes % 2 == 1).limit(1).count():
+            raise HeaderError("a line break within quotes: read with multi_line")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in expected])
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, quote='"', escape='"', multiLine=False, emptyValue="", nullValue=None)
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, quote='"', escape='"', multiLine=multi_line, emptyValue="", nullValue=None)
 
 
 def strict_csv(spark: SparkSession, path: str, schema: T.StructType = RAW) -> DataFrame:
@@ -54,7 +62,9 @@ def counted_csv(spark: SparkSession, path: str, schema: T.StructType = RAW) -> D
     """SRC-7: rows with a column ``malformed`` for those whose field count is not the header's."""
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path, header=True, enforceSchema=False, quote='"', escape='"')
-    return rows.withColumn("malformed", F.col("_bad").isNotNull()).drop("_bad")
+    # a query of this column alone still has to read another one, or Spark refuses it
+    never = F.coalesce(F.length(F.col(schema.fieldNames()[0])) < 0, F.lit(False))
+    return rows.withColumn("malformed", F.col("_bad").isNotNull() | never).drop("_bad")
 
 
 def period(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -121,24 +131,32 @@ def containers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geojson(spark: SparkSession, path: str, crs: str | None = None) -> DataFrame:
-    """SRC-10: (feature_id, properties JSON, geometry WKB) of a FeatureCollection's polygons. A layer that names another
-    reference system than ``crs`` is refused."""
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(2).collect())
-    document = json.loads(text)
-    named = document.get("crs", {}).get("properties", {}).get("name")
-    if crs and named and crs not in named:
-        raise ValueError(f"the layer is in {named}")
-    rows = []
-    for k, f in enumerate(document["features"]):
-        g = f["geometry"]
-        parts = [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"] if g["type"] == "MultiPolygon" else None
-        if parts is None:
-            raise ValueError(f"feature {k} is a {g['type']}")
+    """SRC-10: (feature_id, properties JSON, geometry WKB) of the polygons of FeatureCollections, each file read on an executor.
+    A layer that names another reference system than ``crs``, and a feature that is no polygon, are errors."""
+    files = spark.read.text(path, wholetext=True)
+
+    def read(batches):
         import numpy as np
+        import pyarrow as pa
 
-        polygons = [[np.array(r, float)[:, :2] for r in p] for p in parts]
-        rows.append((str(f.get("id", k)), json.dumps(f.get("properties") or {}, sort_keys=True), bytearray(G.wkb_of(polygons))))
-    return spark.createDataFrame(rows, "feature_id string, properties string, geometry binary")
+        for b in batches:
+            rows = []
+            for text in b.column("value").to_pylist():
+                document = json.loads(text)
+                named = document.get("crs", {}).get("properties", {}).get("name")
+                if crs and named and crs not in named:
+                    raise ValueError(f"the layer is in {named}")
+                for k, f in enumerate(document["features"]):
+                    g = f["geometry"]
+                    parts = [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"] if g["type"] == "MultiPolygon" else None
+                    if parts is None:
+                        raise ValueError(f"feature {k} is a {g['type']}")
+                    polygons = [[np.array(r, float)[:, :2] for r in p] for p in parts]
+                    rows.append((str(f.get("id", k)), json.dumps(f.get("properties") or {}, sort_keys=True), G.wkb_of(polygons)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.string(), pa.binary()), strict=True)], names=["feature_id", "properties", "geometry"])
+
+    return files.mapInArrow(read, "feature_id string, properties string, geometry binary")
 
 
 def json_document(spark: SparkSession, path: str) -> dict:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 
 import pandas as pd
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -93,9 +94,19 @@ def published(target: str, build: Callable[[str], None], overwrite: bool = False
 
 
 def verified(rows: DataFrame, path: str) -> DataFrame:
-    """SNK-8: rows written, read again and compared."""
+    """SNK-8: rows written, read again and compared: names, types and metadata of columns, and the rows."""
     rows.write.parquet(path)
     again = rows.sparkSession.read.parquet(path)
-    if not same_rows(rows, again):
+    facts = lambda df: [(f.name, f.dataType.simpleString(), f.metadata) for f in df.schema.fields]
+    if facts(rows) != facts(again) or not same_rows(rows, again):
         raise ValueError(f"{path} does not hold what was written")
     return again
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir, in the warehouse where that is unset, and in a temporary folder
+    only where all of Spark runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="fathomgrid-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -28,6 +28,23 @@ def upsert(state: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.select("utc_date", held.alias("sha256"), new_state.alias("state"), (F.coalesce("attempts", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("attempts"))
 
 
+def into_skeleton(days: DataFrame, state: DataFrame) -> DataFrame:
+    """STA-4: the state of every date of a period, absent ones with no attempts; a date beyond the period is an error."""
+    if state.join(days, "utc_date", "left_anti").limit(1).count():
+        raise ValueError("a date beyond the period")
+    both = days.select("utc_date").join(state, "utc_date", "left")
+    return both.select("utc_date", "sha256", F.coalesce("state", F.lit("absent")).alias("state"), F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"))
+
+
+def accounting(manifest: DataFrame, observed: DataFrame) -> DataFrame:
+    """STA-9: (utc_date, claimed, found, fault) for each date of a manifest (utc_date, rows) or of the rows themselves (utc_date):
+    sums by date, and what is wrong: missing, unrequested, differs or nothing."""
+    claimed = manifest.groupBy("utc_date").agg(F.sum("rows").alias("claimed"))
+    found = observed.groupBy("utc_date").agg(F.count(F.lit(1)).alias("found"))
+    both = claimed.join(found, "utc_date", "full_outer")
+    return both.withColumn("fault", F.when(F.col("found").isNull(), "missing").when(F.col("claimed").isNull(), "unrequested").when(F.col("claimed") != F.col("found"), "differs").otherwise(""))
+
+
 def failed(state: DataFrame, failures: DataFrame) -> DataFrame:
     """STA-2: failed attempts are counted; a date that holds bytes keeps its state."""
     per_date = failures.groupBy("utc_date").agg(F.count(F.lit(1)).alias("n"))
