@@ -116,6 +116,12 @@ def clip_ring(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> n
 def clip(polygons: Sequence[Polygon], x0: float, y0: float, x1: float, y1: float) -> list[Polygon]:
     out = []
     for p in polygons:
+        lo, hi = p[0].min(0), p[0].max(0)
+        if lo[0] >= x1 or hi[0] <= x0 or lo[1] >= y1 or hi[1] <= y0:
+            continue
+        if lo[0] >= x0 and hi[0] <= x1 and lo[1] >= y0 and hi[1] <= y1:
+            out.append(p)
+            continue
         rings = [clip_ring(r, x0, y0, x1, y1) for r in p]
         if len(rings[0]) >= 3:
             out.append([rings[0], *[r for r in rings[1:] if len(r) >= 3]])

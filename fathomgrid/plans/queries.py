@@ -796,10 +796,10 @@ def _water(spark, sf_dir):
     return I.cells(spark, sf_dir).where("i % 9 >= 2").drop("density").withColumn("water", F.lit(None).cast("binary"))
 
 
-@query(f"SELECT cell_id, round(sum({_COMMON_HOLED} * s.density) / 1e6, 6) AS abundance, round(sum({_COMMON_HOLED}) / 1e6, 6) AS covered_km2 FROM {_HOLED_DUCK} s JOIN (SELECT * FROM ({I.CELLS_DUCK}) WHERE i % 9 >= 2) c ON {_COMMON_HOLED} > 0 GROUP BY 1")
+@query(f"SELECT cell_id, round(sum({_COMMON_HOLED} * s.density) / 1e6, 4) AS abundance, round(sum({_COMMON_HOLED}) / 1e6, 4) AS covered_km2 FROM {_HOLED_DUCK} s JOIN (SELECT * FROM ({I.CELLS_DUCK}) WHERE i % 9 >= 2) c ON {_COMMON_HOLED} > 0 GROUP BY 1")
 def density_transfer_holes(spark, sf_dir):
     """JN-5, SCL-25: densities of polygons with holes onto the cells of water."""
-    return rounded(exposure.transfer_polygons(_holed(spark, sf_dir), _water(spark, sf_dir), 1000.0, 0.0, 0.0).select("cell_id", "abundance", "covered_km2"), 6)
+    return rounded(exposure.transfer_polygons(_holed(spark, sf_dir), _water(spark, sf_dir), 1000.0, 0.0, 0.0).select("cell_id", "abundance", "covered_km2"), 4)
 
 
 @query(f"SELECT round(a, 4) AS source_abundance, round(a, 4) AS allocated, a > 0 AS conserved FROM (SELECT sum({_COMMON_HOLED} * s.density) / 1e6 AS a FROM {_HOLED_DUCK} s JOIN (SELECT * FROM ({I.CELLS_DUCK}) WHERE i % 9 >= 2) c ON {_COMMON_HOLED} > 0)")
