@@ -10,6 +10,7 @@ import json
 import math
 import os
 import re
+import shutil
 import stat
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timedelta
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import GROUPS
+from .contracts import canonical_json
 
 DIGEST = re.compile(r"[0-9a-f]{64}")
 CONTROLS = ("product_max", "separate_input_maxima")
@@ -224,3 +226,36 @@ def display_document(value: Any, contract: str, version: int, identity: str, nam
             at = at.get(k) if isinstance(at, dict) else None
         require(isinstance(at, str) and bool(at), f"no text at {path}")
     return value
+
+
+def staged(files: Mapping[str, str], target: str, release: str) -> dict[str, Any]:
+    """SNK-10: files (name: path) copied into a new folder with an inventory of sizes and SHA-256, and a receipt that names the
+    release and the inventory's own digest. A name that leaves the folder is refused; a folder that exists is left alone."""
+    for name in files:
+        require(bool(re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name)) and name not in ("inventory.json", "receipt.json"), f"no name for a file of a release: {name!r}")
+    os.makedirs(target, exist_ok=False)
+    inventory = {}
+    for name, path in sorted(files.items()):
+        size, digest, _ = fingerprint(path)
+        shutil.copyfile(path, os.path.join(target, name))
+        require(fingerprint(os.path.join(target, name))[1] == digest, f"{path} changed while it was copied")
+        inventory[name] = {"bytes": size, "sha256": digest}
+    text = canonical_json({"files": inventory})
+    receipt = {"release": release, "inventory_sha256": hashlib.sha256(text.encode()).hexdigest(), "files": len(inventory)}
+    for name, body in (("inventory.json", text), ("receipt.json", canonical_json(receipt))):
+        with open(os.path.join(target, name), "x", encoding="utf-8") as f:
+            f.write(body)
+    return receipt
+
+
+def unstaged_faults(target: str) -> list[str]:
+    """SNK-10: what of a staged folder is not as its receipt and inventory say."""
+    with open(os.path.join(target, "inventory.json"), encoding="utf-8") as f:
+        text = f.read()
+    with open(os.path.join(target, "receipt.json"), encoding="utf-8") as f:
+        receipt = json.load(f)
+    out = [] if hashlib.sha256(text.encode()).hexdigest() == receipt["inventory_sha256"] else ["inventory.json"]
+    listed = json.loads(text)["files"]
+    there = set(os.listdir(target)) - {"inventory.json", "receipt.json"}
+    out += sorted(there ^ set(listed))
+    return out + [n for n in sorted(there & set(listed)) if fingerprint(os.path.join(target, n))[1] != listed[n]["sha256"]]

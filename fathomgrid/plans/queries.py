@@ -1000,6 +1000,55 @@ def speed_balance(spark, sf_dir):
     return rounded(period.speed_balance(both).select("grp", "km", (F.col("available_km") + F.col("unavailable_km") + F.col("inconsistent_km")).alias("parts_km"), "conserved"))
 
 
+@query(f"SELECT l.grp, count(*) AS pieces, round(sum(piece_m), 3) AS metres FROM {_LINES} l WHERE l.elapsed_s <= 1800 GROUP BY 1")
+def selected_pieces(spark, sf_dir):
+    """JN-12, SET-3: the pieces of the segments that a rule selects, each of which has some."""
+    done, _ = _box_pieces(spark, sf_dir)
+    selected = _box_segments(spark, sf_dir).where("elapsed_s <= 1800").select("segment_id")
+    return rounded(allocate.pieces_of(done, selected).groupBy("grp").agg(F.count(F.lit(1)).alias("pieces"), F.sum("piece_m").alias("metres")), 3)
+
+
+_HALF = "greatest(0, least(greatest(x0 + t0 * (x1 - x0), x0 + t1 * (x1 - x0)), w.cx0 + 500) - least(x0 + t0 * (x1 - x0), x0 + t1 * (x1 - x0))) / nullif(abs((t1 - t0) * (x1 - x0)), 0)"
+
+
+@query(f"SELECT w.cell_id, count(*) AS pieces, round(sum(CASE WHEN w.i % 9 = 4 THEN piece_m * least(1, {_HALF}) ELSE piece_m END), 2) AS water_m FROM {_LINES} l JOIN (SELECT * FROM ({I.CELLS_DUCK}) WHERE i % 9 >= 2) w USING (row_index, column_index) GROUP BY 1")
+def water_shares(spark, sf_dir):
+    """SCL-24, JN-4: pieces in cells of which only the western half is water, shortened to it."""
+    @F.pandas_udf("binary")
+    def west(x0: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([G.wkb_of([G.box(a, b, a + 500, c)]) for a, b, c in zip(x0, y0, y1, strict=True)])
+
+    done, _ = _box_pieces(spark, sf_dir)
+    part = I.cells(spark, sf_dir).where("i % 9 = 4").select("cell_id", west("cx0", "cy0", "cy1").alias("geometry"))
+    out = allocate.within_water(done.where("status = 'allocated'"), part)
+    return rounded(out.groupBy("cell_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("water_m").alias("water_m")), 2)
+
+
+_KINDS = ("valid", "invalid", "null", "empty", "non_finite", "invalid", "valid")
+
+
+@query(f"SELECT CASE event_id % 7 {' '.join(f'WHEN {k} THEN {n!r}' for k, n in enumerate(_KINDS))} END AS defect, count(*) AS rows FROM events GROUP BY 1")
+def geometry_defects(spark, sf_dir):
+    """VAL-16: rows by what is wrong with their geometry: crossed edges, none, no parts, not finite, no WKB."""
+    ring = G.box(0, 0, 2, 1)[0]
+    made = [G.wkb_of([[ring]]), G.wkb_of([[ring[[0, 2, 1, 3, 0]] + [[0, 0], [0, 0.5], [0, 0], [0, 0], [0, 0]]]]), None, G.wkb_of([]), G.wkb_of([[ring * float("nan")]]), b"no geometry", G.wkb_of([[ring], [ring + 5]])]
+
+    @F.pandas_udf("string")
+    def defect(k: pd.Series) -> pd.Series:
+        return pd.Series([G.defects(made[i]) or "valid" for i in k])
+
+    return I.events(spark, sf_dir).select(defect((F.col("event_id") % 7).cast("int")).alias("defect")).groupBy("defect").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT c_nationkey AS nation, CAST(c_custkey AS VARCHAR) AS largest FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r = 1 AND c_nationkey < 5")
+def bound_rows(spark, sf_dir):
+    """PUB-8: the single row that a selection must match, for a few selections."""
+    c = table(spark, sf_dir, "customer").where("c_nationkey < 5")
+    best = c.groupBy("c_nationkey").agg(F.min_by("c_custkey", F.struct((-F.col("c_acctbal")).alias("b"), "c_custkey")).alias("largest"))
+    rows = [C.one_row(best, c_nationkey=r["c_nationkey"]) for r in best.select("c_nationkey").collect()]  # five at most
+    return spark.createDataFrame([(r["c_nationkey"], str(r["largest"])) for r in rows], "nation long, largest string").select(F.col("nation").cast(c.schema["c_nationkey"].dataType).alias("nation"), "largest")
+
+
 # --- written and read again ----------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import tomllib
+import urllib.request
 import zipfile
 import zlib
 from collections.abc import Sequence
@@ -159,6 +160,20 @@ def geojson(spark: SparkSession, path: str, crs: str | None = None) -> DataFrame
     return files.mapInArrow(read, "feature_id string, properties string, geometry binary")
 
 
+def fetched_geojson(url: str, sha256: str, most: int = 64 << 20, timeout: float = 30.0) -> dict:
+    """SRC-15: a FeatureCollection from an address, if its bytes are those that the digest names; no more than ``most`` are read."""
+    with urllib.request.urlopen(url, timeout=timeout) as r:
+        body = r.read(most + 1)
+    if len(body) > most:
+        raise ValueError(f"more than {most} bytes at {url}")
+    if hashlib.sha256(body).hexdigest() != sha256:
+        raise ValueError(f"{url} does not hold what its digest names")
+    document = json.loads(body)
+    if not isinstance(document, dict) or document.get("type") != "FeatureCollection" or not isinstance(document.get("features"), list):
+        raise ValueError(f"{url} is no FeatureCollection")
+    return document
+
+
 def json_document(spark: SparkSession, path: str) -> dict:
     """SRC-12."""
     return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
