@@ -205,6 +205,15 @@ _FIELDS = ("text", "token", "off", "region", "after", "linked", "anchors")
 _BLOCK = pa.struct([("text", pa.string()), ("token", pa.int64()), *((f, pa.int32()) for f in _FIELDS[2:])])
 
 
+def _read_blocks(column: pa.Array):
+    """The blocks of each page of a batch, field by field."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = column.offsets.to_pylist()
+    fields = [column.values.field(f).to_pylist() for f in _FIELDS]
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield [Block(*x) for x in zip(*(f[a:b] for f in fields), strict=True)]
+
+
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """(id, url, host, page, tags, blocks), written: every page of (id, url, host, html) as its tokens; page is a hash of the
     html."""
@@ -217,8 +226,11 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                 t, b = parsed(page)
                 keys.append(_hash(page))
                 tags.append(t)
-                blocks.append([{f: getattr(x, f) for f in _FIELDS} for x in b])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url", "host")), pa.array(keys, pa.int64()), pa.array(tags, pa.list_(pa.int64())), pa.array(blocks, pa.list_(_BLOCK))], names=["id", "url", "host", "page", "tags", "blocks"])
+                blocks.append(b)
+            flat = [x for b in blocks for x in b]
+            fields = [pa.array([getattr(x, f.name) for x in flat], f.type) for f in _BLOCK]
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, blocks)]), pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_BLOCK)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url", "host")), pa.array(keys, pa.int64()), pa.array(tags, pa.list_(pa.int64())), listed], names=["id", "url", "host", "page", "tags", "blocks"])
 
     kind = pages.schema["id"].dataType.simpleString()
     ints = ", ".join(f"{f}: int" for f in _FIELDS[2:])
@@ -369,9 +381,8 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     def run(batches):
         for batch in batches:
             text = []
-            for tags, blocks, root, valid in zip(*(batch.column(c) for c in ("tags", "blocks", "root", "valid")), strict=True):
-                read = [Block(**b) for b in blocks.as_py()]
-                text.append("\n".join(extracted(tags.as_py(), read, frozenset(root.as_py() or ()), frozenset(valid.as_py() or ()))))
+            for tags, blocks, root, valid in zip(batch.column("tags").to_pylist(), _read_blocks(batch.column("blocks")), *(batch.column(c).to_pylist() for c in ("root", "valid")), strict=True):
+                text.append("\n".join(extracted(tags, blocks, frozenset(root or ()), frozenset(valid or ()))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(text, pa.string()), pa.array(np.array([len(t) for t in text], np.int64))], names=["id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, f"id {both.schema['id'].dataType.simpleString()}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
