@@ -24,7 +24,7 @@ from .common import TextBlock, components, forget, mixed, partitions, scratch_di
 
 K_WORDS = 5
 COLD = 12  # signatures of more sets than this are hot
-BROADCAST_ROWS = 500_000  # of 8 to 40 bytes each
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20  # of narrow rows; both are counted before
 
 
 def _bands() -> np.ndarray:
@@ -269,6 +269,13 @@ def _matched(table: pa.Table) -> pa.Table:
     return out
 
 
+def _matched_part(batches):
+    """``_matched`` of all of a partition, which is one group of about as many records as ``links`` asks for."""
+    batches = list(batches)
+    if batches:
+        yield from _matched(pa.Table.from_batches(batches)).to_batches()
+
+
 def _likely(found: DataFrame, hot: DataFrame | None) -> DataFrame:
     """(a, b) of cold pairs that match often enough. Of a set's segments in a context at most H differ from a linked
     set's, so at least slack + 1, less its hot ones, must match; one is enough where a set has no slack."""
@@ -296,13 +303,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.select("a", "b", (1 - F.col("common") / F.col("union")).alias("distance"), (100 * F.col("common") >= 75 * F.col("union")).alias("linked"))
 
 
+def _small(rows: DataFrame, key: str) -> bool:
+    """Whether a written table of keys is small enough to be broadcast, by its rows and their bytes."""
+    n = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.col(key).cast("string")) + 32).alias("bytes")).first()
+    return n["rows"] <= BROADCAST_ROWS and (n["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def _shingle_sets(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, clashing: frozenset[int]) -> DataFrame:
     """(node, shingles) of the nodes in pairs, each from one of its documents, read again."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
     wanted = written(firsts.join(nodes, "node").select("node", key("first").alias("key")))
     keys = wanted.select("key").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
+    if _small(wanted, "key"):
         keys = F.broadcast(keys)
     some = docs.select(key(id_col).alias("key"), F.col(text_col).alias("text")).join(keys, "key", "left_semi").select("text")
 
@@ -343,7 +356,9 @@ def links(docs: DataFrame, firsts: DataFrame, clashing: frozenset[int], id_col:
     """
     shingles = firsts.agg(F.sum("size")).first()[0] or 0
     groups = max(partitions(docs), -(-4 * shingles // (5 * per_group)))
-    found = written(_packed(docs, text_col, k, groups, clashing).repartition(groups, "g").groupBy("g").applyInArrow(_matched, "kind int, a long, b long, ma long, mb long, times long"))
+    # one group a partition, so that none has several by chance
+    dealt = _packed(docs, text_col, k, groups, clashing).repartitionById(groups, F.col("g"))
+    found = written(dealt.mapInArrow(_matched_part, "kind int, a long, b long, ma long, mb long, times long"))
     hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("sig"), F.col("ma").alias("meta"))
     some_hot = hot.limit(1).count() > 0
     cold = _likely(found, hot if some_hot else None)
@@ -473,6 +488,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     be told apart), and so do all rows of an id that is its component's least.
     """
     gone = written(jaccard_components(docs, id_col, text_col, k).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__nd_id")).distinct())
-    if gone.count() <= BROADCAST_ROWS:
+    if _small(gone, "__nd_id"):
         gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == F.col("__nd_id"), "left_anti")
