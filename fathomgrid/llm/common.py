@@ -112,7 +112,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _PRIME = np.uint64(2**31 - 1)
 _SMALL = _RNG.integers(1, 2**31 - 1, 256, dtype=np.uint64)
 _ROOT = 1_410_000_007 % (2**31 - 1)
-_RESIDUES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_RESIDUES: list[np.ndarray] = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
 _TURN = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -139,9 +139,9 @@ def _residues(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_RESIDUES[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         for k, base in enumerate((_ROOT, pow(_ROOT, -1, int(_PRIME)))):
-            p = np.ones(1, np.uint64)
+            p = np.ones(1, np.uint32)
             while len(p) < size:
-                p = np.concatenate([p, p * np.uint64(pow(base, len(p), int(_PRIME))) % _PRIME])
+                p = np.concatenate([p, (p * np.uint64(pow(base, len(p), int(_PRIME))) % _PRIME).astype(np.uint32)])
             _RESIDUES[k] = p
     return _RESIDUES[0], _RESIDUES[1]
 
@@ -211,7 +211,10 @@ class TextBlock:
 
 
 def trimmed() -> None:
-    """Give freed memory back to the system, so that a reused worker does not hold on to it in later stages."""
+    """Give memory back to the system, that of long tables of powers too, so that a reused worker does not hold on to it in
+    later stages."""
+    for tables in (_POWERS, _RESIDUES):
+        tables[:] = [t[: 1 << 16].copy() for t in tables]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

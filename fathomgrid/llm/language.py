@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, _LOWER, small_blocks
+from .common import TextBlock, _LOWER, small_blocks, trimmed
 
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
@@ -57,12 +57,17 @@ class KernelModel:
         if self._tables is None:
             self._tables, at = [], 1
             for n, codes in enumerate(self.grams, 1):
-                t = np.zeros(1 << 8 * n, np.uint16)
+                t = np.zeros(1 << 8 * n, np.uint16 if sum(map(len, self.grams)) < 1 << 16 else np.uint32)
                 t[codes] = np.arange(at, at + len(codes))
                 at += len(codes)
                 self._tables.append(t)
         return self._tables
 
+    def released(self) -> None:
+        """Keep no tables between tasks: they are made anew in milliseconds."""
+        self._tables = None
+        trimmed()
+
     def presence(self, block: TextBlock) -> np.ndarray:
         """Texts x columns, 1 where an n-gram occurs within the text."""
         width = sum(map(len, self.grams)) + 1
@@ -238,6 +243,7 @@ def identify(docs: DataFrame, model: KernelModel, id_col: str = "doc_id", text_c
         for part in small_blocks(batches, "text"):
             labels, scores = m.predict(TextBlock(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+        m.released()
 
     return some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
@@ -254,5 +260,6 @@ def keep_identified(docs: DataFrame, model: KernelModel, text_col: str = "text")
         m = shared.value
         for part in small_blocks(batches, text_col):
             yield part.filter(pa.array(m.accepts(TextBlock(part.column(part.schema.get_field_index(text_col)))), pa.bool_()))
+        m.released()
 
     return docs.mapInArrow(run, docs.schema)

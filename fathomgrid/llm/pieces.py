@@ -271,7 +271,7 @@ class Encoder:
     ids alone are kept, and a text of such words decodes to what they spell; other texts are decoded id by id.
     """
 
-    def __init__(self, model: PieceModel, most: int = 4_000_000):
+    def __init__(self, model: PieceModel, most: int = 2_000_000):
         self.model, self.most, self.held = model, most, 0
         self.known: dict[str, str | tuple[str]] = {}
 
