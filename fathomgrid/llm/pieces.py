@@ -271,14 +271,14 @@ class Encoder:
     ids alone are kept, and a text of such words decodes to what they spell; other texts are decoded id by id.
     """
 
-    def __init__(self, model: PieceModel, most: int = 2_000_000):
+    def __init__(self, model: PieceModel, most: int = 3_000_000):
         self.model, self.most, self.held = model, most, 0
         self.known: dict[str, str | tuple[str]] = {}
 
     def released(self) -> None:
-        """Keep nothing between tasks: a worker lives on in stages that need the memory."""
+        """Keep no words between tasks: a worker lives on in stages that need the memory. Which pairs of pieces are compatible,
+        150,000 at most, is kept."""
         self.forgotten()
-        self.model.pairs.clear()
         trimmed()
 
     def forgotten(self) -> None:
