@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,24 +53,29 @@ def transfer_boxes(sources: DataFrame, cells: DataFrame, cell: float, x_min: flo
 
 def transfer_polygons(sources: DataFrame, cells: DataFrame, cell: float, x_min: float, y_min: float) -> DataFrame:
     """JN-5 for any polygons: sources (source_id, density, geometry WKB), cells with closed bounds cx0.. and their water
-    as WKB or null (all of it). Candidates come from bounding boxes, areas from clipping in a vectorised function."""
+    as WKB or null (all of it). Candidates come from bounding boxes, areas from clipping in a vectorised function.
+
+    Sources are copied to the cells that they span, so that side is far larger than its tables: the join is merged and nothing of
+    it is broadcast, whatever sizes a plan expects.
+    """
 
     @F.pandas_udf("x0 double, y0 double, x1 double, y1 double")
     def box_of(g: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([G.bounds(G.polygons_of(bytes(w))) for w in g], columns=["x0", "y0", "x1", "y1"])
+        return pd.DataFrame(G.all_bounds([bytes(w) for w in g]), columns=["x0", "y0", "x1", "y1"])
 
     @F.pandas_udf("double")
     def common(g: pd.Series, water: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-        out = []
-        for a, w, *b in zip(g, water, x0, y0, x1, y1, strict=True):
-            part = G.clip(G.polygons_of(bytes(a)), *b)
-            out.append(G.area(part) if w is None else G.overlap_area(part, G.polygons_of(bytes(w))))
-        return pd.Series(out, dtype=float)
+        boxes, whole = np.stack([x0, y0, x1, y1], 1).astype(float), water.isna().to_numpy()
+        out = np.zeros(len(g))
+        out[whole] = G.clipped_areas([bytes(a) for a in g[whole]], boxes[whole])
+        for i in np.flatnonzero(~whole):
+            out[i] = G.overlap_area(G.clip(G.polygons_of(bytes(g.iloc[i])), *boxes[i]), G.polygons_of(bytes(water.iloc[i])))
+        return pd.Series(out)
 
     boxed = sources.withColumn("b", box_of("geometry"))
     span = lambda lo, hi, o: F.sequence(F.floor((F.col(lo) - o) / cell).cast("int"), F.floor((F.col(hi) - o) / cell).cast("int"))
     keyed = boxed.withColumn("row_index", F.explode(span("b.y0", "b.y1", y_min))).withColumn("column_index", F.explode(span("b.x0", "b.x1", x_min)))
-    met = keyed.join(cells, ["row_index", "column_index"]).withColumn("common", common("geometry", "water", "cx0", "cy0", "cx1", "cy1"))
+    met = keyed.join(cells.hint("merge"), ["row_index", "column_index"]).withColumn("common", common("geometry", "water", "cx0", "cy0", "cx1", "cy1"))
     sums = met.where("common > 0").groupBy("cell_id").agg((F.sum(F.col("common") * F.col("density")) / 1e6).alias("abundance"), (F.sum("common") / 1e6).alias("covered_km2"))
     return sums.withColumn("density", F.col("abundance") / F.col("covered_km2"))
 
@@ -136,7 +142,7 @@ def in_source_order(sources: DataFrame) -> DataFrame:
 
     @F.pandas_udf("x0 double, y0 double, x1 double, y1 double")
     def box_of(g: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([G.bounds(G.polygons_of(bytes(w))) for w in g], columns=["x0", "y0", "x1", "y1"])
+        return pd.DataFrame(G.all_bounds([bytes(w) for w in g]), columns=["x0", "y0", "x1", "y1"])
 
     order = ["b.y0", "b.x0", "b.y1", "b.x1", "density", "geometry"]
     ranged = sources.withColumn("b", box_of("geometry")).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -149,7 +155,7 @@ def polygon_overlaps(sources: DataFrame, bucket: float, tolerance: float = 0.01)
 
     @F.pandas_udf("x0 double, y0 double, x1 double, y1 double")
     def box_of(g: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([G.bounds(G.polygons_of(bytes(w))) for w in g], columns=["x0", "y0", "x1", "y1"])
+        return pd.DataFrame(G.all_bounds([bytes(w) for w in g]), columns=["x0", "y0", "x1", "y1"])
 
     @F.pandas_udf("double")
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
