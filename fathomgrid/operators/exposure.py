@@ -180,11 +180,7 @@ def abundance_balance(sources: DataFrame, transferred: DataFrame, domain: list,
 
     @F.pandas_udf("double")
     def within(g: pd.Series) -> pd.Series:
-        out = []
-        for w in g:
-            own = G.polygons_of(bytes(w))
-            out.append(G.slab_area([own, [p for p in G.clip(domain, *G.bounds(own))]], all))
-        return pd.Series(out, dtype=float)
+        return pd.Series(G.covered_areas([bytes(w) for w in g], domain), dtype=float)
 
     expected = sources.agg(A.exact_sum(F.col("density") * within("geometry") / 1e6).alias("source_abundance"))
     got = transferred.agg(A.exact_sum(F.col("abundance")).alias("allocated"))
