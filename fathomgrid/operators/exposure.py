@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import aggregates as A
 from ..functions import geometry as G
@@ -81,14 +86,91 @@ def transfer_polygons(sources: DataFrame, cells: DataFrame, cell: float, x_min:
 
 
 def overlaps(boxes: DataFrame, bucket: float, tolerance: float = 1.0) -> DataFrame:
-    """JN-6, FLT-18: pairs of boxes (i < j) that overlap by more than a tolerance, through buckets of their extents; each
-    pair is kept in the bucket of its common part's lower corner only."""
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / bucket).cast("int"), F.floor(F.col(b) / bucket).cast("int"))
-    keyed = boxes.withColumn("kx", F.explode(span("x0", "x1"))).withColumn("ky", F.explode(span("y0", "y1")))
-    rename = lambda p: keyed.select("kx", "ky", *[F.col(c).alias(f"{p}{c}") for c in ("id", "x0", "y0", "x1", "y1")])
-    both = rename("a").join(rename("b"), ["kx", "ky"]).where("aid < bid")
-    here = (F.floor(F.greatest("ax0", "bx0") / bucket) == F.col("kx")) & (F.floor(F.greatest("ay0", "by0") / bucket) == F.col("ky"))
-    return both.where(here).withColumn("common", box_overlap("a", "b")).where(F.col("common") > tolerance).select("aid", "bid", "common")
+    """JN-6, FLT-18: pairs of boxes (i < j) that overlap by more than a tolerance of 0 or more, through buckets of their extents;
+    each pair is kept in the bucket of its common part's lower corner only. Boxes with null or NaN bounds overlap nothing.
+
+    A bucket's boxes come by their lower sides and meet those that still reach that far, in blocks, so the work is near the
+    number of pairs and memory is bounded by the boxes that one line crosses.
+    """
+    return _swept(boxes.select("id", "x0", "y0", "x1", "y1", F.lit(None).cast("binary").alias("geometry")), bucket, tolerance)
+
+
+def _swept(shapes: DataFrame, bucket: float, tolerance: float) -> DataFrame:
+    """Pairs (aid, bid, common) of shapes (id, bounds x0.., geometry WKB, or null if the bounds are all of it)."""
+    low = lambda c: F.floor(F.col(c) / bucket).cast("int")
+    sides = ("x0", "y0", "x1", "y1")
+    known = shapes.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in sides}).dropna(subset=["id", *sides])
+    keyed = known.withColumn("kx", F.explode(F.sequence(low("x0"), low("x1")))).withColumn("ky", F.explode(F.sequence(low("y0"), low("y1"))))
+    keyed = keyed.withColumns({"lx": low("x0") == F.col("kx"), "ly": low("y0") == F.col("ky")})
+    parts = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that few input rows are not put together: pairs are many
+    lined = keyed.repartition(parts, "kx", "ky").sortWithinPartitions("kx", "ky", "y0")
+    kind = shapes.schema["id"].dataType
+    schema = T.StructType([T.StructField("aid", kind), T.StructField("bid", kind), T.StructField("common", T.DoubleType())])
+
+    def run(batches):
+        key, held = None, None  # the bucket at hand, and its rows that reach the line
+        waiting, n = [], 0
+        for batch in batches:
+            kx, ky, y0 = (batch.column(c).to_numpy() for c in ("kx", "ky", "y0"))
+            cuts = np.flatnonzero((kx[1:] != kx[:-1]) | (ky[1:] != ky[:-1])) + 1
+            for a, b in itertools.pairwise([0, *cuts.tolist(), len(kx)] if len(kx) else []):
+                part = batch.slice(a, b - a)
+                if key != (kx[a], ky[a]):
+                    key, held = (kx[a], ky[a]), None
+                rows = part if held is None else pa.concat_batches([held, part])
+                if rows.num_rows > 1:
+                    for found in _crossed(rows, rows.num_rows - part.num_rows, tolerance):
+                        waiting.append(found)
+                        n += found.num_rows
+                        if n >= 1 << 16:
+                            yield pa.concat_batches(waiting)
+                            waiting, n = [], 0
+                held = rows.filter(pa.array(rows.column("y1").to_numpy() > y0[b - 1]))
+        if waiting:
+            yield pa.concat_batches(waiting)
+
+    return lined.mapInArrow(run, schema)
+
+
+def _crossed(rows: pa.RecordBatch, first: int, tolerance: float, cells: int = 1 << 17):
+    """The pairs of a bucket's rows, by lower side, of which those from ``first`` on are new. The later of a pair has the lower side
+    of the common part, so it must have it in this bucket; blocks of new rows by the rows before them hold about ``cells``."""
+    ids, geometry = rows.column("id"), rows.column("geometry")
+    x0, y0, x1, y1 = (rows.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1"))
+    lx, ly = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lx", "ly"))
+    shaped = geometry.is_valid().to_numpy(zero_copy_only=False)
+    parsed = functools.cache(lambda k: G.polygons_of(geometry[k].as_py()))
+    bound = lambda k: (x0[k], y0[k], x1[k], y1[k])
+
+    def shared(i: int, j: int) -> float:
+        if shaped[i] and shaped[j]:
+            return G.common_area(parsed(i), parsed(j))
+        return G.area(G.clip(parsed(i), *bound(j)) if shaped[i] else G.clip(parsed(j), *bound(i)))
+
+    new, at = np.flatnonzero(ly[first:]) + first, 0
+    while at < len(new):
+        before = np.flatnonzero(y1[: new[at]] > y0[new[at]])
+        block = new[at : at + max(1, min(256, cells // (len(before) + 1)))]
+        at += len(block)
+        live = np.concatenate([before, np.arange(new[at - len(block)], block[-1])])
+        own = block[:, None]
+        common = np.minimum(x1[own], x1[live])
+        common -= np.maximum(x0[own], x0[live])
+        np.maximum(common, 0.0, out=common)
+        common *= np.minimum(y1[own], y1[live]) - y0[own]
+        ok = common > tolerance
+        ok &= lx[own] | lx[live]
+        ok[:, len(before) :] &= live[len(before) :] < own
+        i, j = np.nonzero(ok)
+        common = common[i, j]
+        i, j = block[i], live[j]
+        odd = np.flatnonzero(shaped[i] | shaped[j])
+        if len(odd):
+            common[odd] = [shared(p, q) for p, q in zip(i[odd].tolist(), j[odd].tolist(), strict=True)]
+        a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+        found = pa.record_batch([pc.min_element_wise(a, b), pc.max_element_wise(a, b), pa.array(common)], names=["aid", "bid", "common"])
+        fit = pc.and_(pc.greater(found.column("common"), tolerance), pc.not_equal(a, b))
+        yield found if pc.all(fit).as_py() is not False else found.filter(fit)
 
 
 def overlay_boxes(cells: DataFrame, domain: tuple[float, float, float, float], boundary: tuple[float, float, float, float]) -> DataFrame:
