@@ -233,20 +233,16 @@ def in_source_order(sources: DataFrame) -> DataFrame:
 
 def polygon_overlaps(sources: DataFrame, bucket: float, tolerance: float = 0.01) -> DataFrame:
     """JN-6 for any polygons: (aid, bid, common) of pairs (aid < bid) of sources (source_id, geometry WKB) whose interiors share
-    more than ``tolerance``. Candidates come from ``overlaps`` of bounding boxes, areas from the polygons themselves."""
+    more than ``tolerance``. Candidates come from a sweep of bounding boxes as in ``overlaps``; upright boxes have their areas in
+    closed form, other polygons through clipping."""
 
-    @F.pandas_udf("x0 double, y0 double, x1 double, y1 double")
+    @F.pandas_udf("x0 double, y0 double, x1 double, y1 double, whole boolean")
     def box_of(g: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(G.all_bounds([bytes(w) for w in g]), columns=["x0", "y0", "x1", "y1"])
+        data = [bytes(w) for w in g]
+        return pd.DataFrame(G.all_bounds(data), columns=["x0", "y0", "x1", "y1"]).assign(whole=G.are_boxes(data))
 
-    @F.pandas_udf("double")
-    def common(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([G.common_area(G.polygons_of(bytes(x)), G.polygons_of(bytes(y))) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    near = overlaps(sources.withColumn("b", box_of("geometry")).select(F.col("source_id").alias("id"), "b.*"), bucket, 0.0).select("aid", "bid")
-    side = lambda k: sources.select(F.col("source_id").alias(f"{k}id"), F.col("geometry").alias(k))
-    both = near.join(side("a"), "aid").join(side("b"), "bid")
-    return both.select("aid", "bid", common("a", "b").alias("common")).where(F.col("common") > tolerance)
+    boxed = sources.withColumn("b", box_of("geometry"))
+    return _swept(boxed.select(F.col("source_id").alias("id"), "b.x0", "b.y0", "b.x1", "b.y1", F.when(~F.col("b.whole"), F.col("geometry")).alias("geometry")), bucket, tolerance)
 
 
 def require_disjoint(pairs: DataFrame) -> None:
