@@ -17,8 +17,9 @@ from fathomgrid.llm.queries import PIECES
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is in a learned language stay; texts in none of them, without a letter, empty and null ones go.
 
-    The model learns from the labelled rows of docs; without any, every text with a letter stays. A row stays or goes by
-    its own text alone, so repeated rows fare alike.
+    The string kernels' regression names each text's language, and the text stays if that language's landmarks know enough
+    of its 3-grams. The model learns from the labelled rows of docs; without any, every text with a letter stays. A row stays
+    or goes by its own text alone, so repeated rows fare alike.
     """
     ready(spark)
     return language.keep_identified(docs, language.train(docs))

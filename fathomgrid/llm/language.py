@@ -8,8 +8,9 @@ regression's weights: the same product, associated from the right.
 
 Learning takes at most ``max_train`` rows and ``n_landmarks`` of them as landmarks; scoring reads whole texts.
 
-The regression always names a learned language. Whether a text is in any of them is another question: ``accepts`` asks how
-many of its 3-grams of letters occur in the landmarks, whose share the learning rows that are no landmarks calibrate.
+The regression always names a learned language. Whether a text is in it is another question: ``accepts`` asks how many of its
+3-grams of letters occur in the landmarks of the language that the regression names, whose share the learning rows that are no
+landmarks calibrate.
 """
 
 from __future__ import annotations
@@ -42,14 +43,15 @@ class KernelModel:
 
     def __init__(self, classes: list[str], grams: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray, bias: np.ndarray, floor: float = 0.0):
         self.floor = floor
+        self.own = np.zeros((len(classes), sum(map(len, grams)) + 1), bool)  # which columns (+ 1) each class's landmarks have
         self.classes, self.grams, self.weights, self.bias = classes, grams, weights.astype(np.float32), bias.astype(np.float32)
         self._tables: list[np.ndarray] | None = None
 
     def __getstate__(self):
-        return self.classes, self.grams, self.weights, self.bias, self.floor
+        return self.classes, self.grams, self.weights, self.bias, self.floor, self.own
 
     def __setstate__(self, state):
-        self.classes, self.grams, self.weights, self.bias, self.floor = state
+        self.classes, self.grams, self.weights, self.bias, self.floor, self.own = state
         self._tables = None
 
     def tables(self) -> list[np.ndarray]:
@@ -93,21 +95,26 @@ class KernelModel:
         norm = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
         return x @ self.weights / norm + self.bias
 
-    def predict(self, block: TextBlock) -> tuple[list[str], np.ndarray]:
-        labels, out = [], np.zeros(len(block))
-        for a in range(0, len(block), 512):
-            part = _slice(block, a, min(a + 512, len(block)))
+    def best(self, block: TextBlock, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each text's class and its score, ``rows`` texts at a time."""
+        best, out = np.zeros(len(block), np.int64), np.zeros(len(block))
+        for a in range(0, len(block), rows):
+            part = _slice(block, a, min(a + rows, len(block)))
             s = self.scores(self.presence(part)).astype(float)
-            best = s.argmax(1)
-            labels += [self.classes[k] for k in best]
+            best[a : a + len(part)] = s.argmax(1)
             z = np.exp(6 * (s - s.max(1, keepdims=True)))
             out[a : a + len(part)] = 1 / z.sum(1)
+        return best, out
+
+    def predict(self, block: TextBlock) -> tuple[list[str], np.ndarray]:
+        best, out = self.best(block)
+        labels = [self.classes[k] for k in best]
         for i in np.flatnonzero(~has_letter(block)):
             labels[i], out[i] = UNKNOWN, 1.0
         return labels, out
 
-    def familiarity(self, block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
-        """How many of each text's 3-grams of letters occur in the landmarks, and how many it has."""
+    def familiarity(self, block: TextBlock, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of each text's 3-grams of letters occur in the landmarks of its class (given by number), and how many it has."""
         known, there = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
         t3, bounds = self.tables()[2], block.bounds
         for i in range(len(block)):
@@ -116,13 +123,15 @@ class KernelModel:
                 piece = part[a : a + (1 << 20) + 2]
                 wordly = _WORDLY[piece]
                 some = _codes(piece)[2][: len(piece) - 2][wordly[:-2] & wordly[1:-1] & wordly[2:]]
-                known[i] += np.count_nonzero(t3[some])
+                known[i] += np.count_nonzero(self.own[classes[i]][t3[some]])
                 there[i] += len(some)
         return known, there
 
     def accepts(self, block: TextBlock) -> np.ndarray:
-        """Whether each text has a letter and, if it has enough 3-grams to tell, is in a learned language."""
-        known, there = self.familiarity(block)
+        """Whether each text has a letter and, if it has enough 3-grams to tell, is in the language that the regression names.
+
+        Few texts at a time, so that stages with large workers beside them have room."""
+        known, there = self.familiarity(block, self.best(block, 128)[0])
         return has_letter(block) & ((there < LEAST_GRAMS) | (known >= self.floor * there))
 
 
@@ -149,7 +158,7 @@ def fit(texts: list[str], langs: list[str], n_landmarks: int = 256, ridge: float
 
     ``max_grams`` bounds the columns: beyond it, those of fewest landmarks go (ties by code). The kernel is over the
     columns kept. With one class only, that class is always predicted; with no rows, UNKNOWN. The model's floor is
-    ``STRICTNESS`` times the share of known 3-grams that all but a thousandth of the rows besides the landmarks reach;
+    ``STRICTNESS`` times the share of 3-grams known to the class they get that all but a thousandth of the rows besides the landmarks reach;
     0, so that nothing is rejected, with fewer than ``LEAST_ROWS`` such rows of ``LEAST_GRAMS`` 3-grams or more.
     """
     classes = sorted(set(langs))
@@ -178,7 +187,10 @@ def fit(texts: list[str], langs: list[str], n_landmarks: int = 256, ridge: float
         grams[2] = grams[2][keep]
     model = KernelModel(classes, tuple(grams), np.zeros((sum(map(len, grams)), len(classes))), np.zeros(len(classes)))
     unit = lambda p: p / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))
-    landmarks = unit(model.presence(TextBlock(pa.array([texts[i] for i in marks], pa.large_string()))).astype(np.float32)).astype(np.float32)
+    present = model.presence(TextBlock(pa.array([texts[i] for i in marks], pa.large_string())))
+    for k in range(len(classes)):
+        model.own[k, 1:] = present[y[marks] == k].any(0)
+    landmarks = unit(present.astype(np.float32)).astype(np.float32)
     kernel_parts = []
     for a in range(0, len(texts), 256):
         rows = unit(model.presence(TextBlock(pa.array(texts[a : a + 256], pa.large_string()))).astype(np.float32))
@@ -197,8 +209,8 @@ def fit(texts: list[str], langs: list[str], n_landmarks: int = 256, ridge: float
     beta = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge * len(y) * np.eye(z.shape[1]), z.T @ (g * weight[:, None]))
     model.weights = (landmarks.T.astype(float) @ (root @ beta)).astype(np.float32)
     model.bias = (goal_mean - mean @ beta).astype(np.float32)
-    others = [texts[i] for i in np.setdiff1d(np.arange(len(texts)), marks)]
-    known, there = model.familiarity(TextBlock(pa.array(others, pa.large_string())))
+    others = TextBlock(pa.array([texts[i] for i in np.setdiff1d(np.arange(len(texts)), marks)], pa.large_string()))
+    known, there = model.familiarity(others, model.best(others)[0])
     shares = known[there >= LEAST_GRAMS] / there[there >= LEAST_GRAMS]
     model.floor = STRICTNESS * float(np.quantile(shares, 0.001)) if len(shares) >= LEAST_ROWS else 0.0
     return model
@@ -249,8 +261,8 @@ def identify(docs: DataFrame, model: KernelModel, id_col: str = "doc_id", text_c
 
 
 def keep_identified(docs: DataFrame, model: KernelModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text is in a learned language (``KernelModel.accepts``), all their columns as they were. Null
-    texts and texts without a letter go. Where nothing was learned, all texts with a letter stay.
+    """The rows of docs whose text is in the language that the kernel regression names (``KernelModel.accepts``), all their
+    columns as they were. Null texts and texts without a letter go. Where nothing was learned, all texts with a letter stay.
 
     The rows pass through the scoring batches themselves, so nothing is joined or shuffled.
     """
